@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import scratch, table
 from .digest_cache import count_tokens
 from .packing import pack_documents
+from .quality import quality
+from .simhash import near_duplicates
+from .toxicity import toxicity
 from .wavelet import read_documents, write_shards
 
 
@@ -18,6 +21,18 @@ def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op3_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op4_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, within=3)
+
+
+def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end=2, capacity=1024)
 
@@ -28,6 +43,9 @@ def op10_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wavelet_shards": op2_wavelet_shards,
+    "op3_attention_mil_quality": op3_attention_mil_quality,
+    "op4_simhash_vantage_points": op4_simhash_vantage_points,
+    "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_residual_packing": op7_residual_packing,
     "op10_digest_cache": op10_digest_cache,
 }
