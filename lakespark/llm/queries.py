@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import scratch, table
 from .digest_cache import count_tokens
 from .packing import pack_documents
+from .pii import find_personal_data
 from .quality import quality
+from .secret_scan import scan
 from .simhash import near_duplicates
 from .toxicity import toxicity
 from .wavelet import read_documents, write_shards
@@ -37,6 +39,14 @@ def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end=2, capacity=1024)
 
 
+def op8_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", scratch(spark, "token-cache"), limit=1024)
 
@@ -47,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_vantage_points": op4_simhash_vantage_points,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_residual_packing": op7_residual_packing,
+    "op8_semi_markov_pii": op8_semi_markov_pii,
+    "op9_markov_secrets": op9_markov_secrets,
     "op10_digest_cache": op10_digest_cache,
 }
 
