@@ -13,6 +13,8 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct chunks that a worker keeps; on more it starts anew, so its memory is bounded.
 CACHE_ENTRIES = 1_000_000
@@ -22,6 +24,8 @@ _ENDS = frozenset('.,!?;:|')
 
 #: Begins a piece that no space stands before.
 _MARK = "\x00"
+#: Marks before a space that are cut off at once, where a letter or digit stands before them.
+_APART = (".", ",")
 _LINE = f" {_MARK}\n {_MARK}"
 
 _loaded: dict[str, "Encoder"] = {}
@@ -72,7 +76,7 @@ class Encoder:
         self._flat = None
         return len(self.starts) - 2
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces, in few calls.  A piece of letters and one punctuation mark is put
         together from both, since the tokenizer always cuts there."""
         kept = self.chunks
@@ -134,26 +138,36 @@ class Encoder:
     def _of(self, chunk: int) -> array:
         return self.ids[self.starts[chunk] : self.starts[chunk + 1]]
 
-    def _pieces(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        return (_MARK + text.replace("\n", _LINE)).split(" ")
+    def _cut(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Pieces as numbers into the distinct ones, those, and the number of each text's pieces."""
+        mark = _MARK if self.spaced else ""
+        whole = pa.array([mark + (t or "") for t in texts], pa.large_string())
+        whole = pc.replace_substring(whole, "\n", _LINE if self.spaced else " ")
+        for end in _APART:
+            whole = pc.replace_substring(whole, end + " ", f" {mark}{end} ")
+        pieces = pc.split_pattern(whole, " ")
+        flat = pieces.flatten().dictionary_encode()
+        return flat.indices.to_numpy(), flat.dictionary.to_pylist(), pc.list_value_length(pieces).to_numpy().astype(np.int64)
+
+    def _joined(self, kind: np.ndarray, names: list[str]) -> np.ndarray:
+        """Places of punctuation marks cut off from what isn't a letter or digit; the tokenizer may not cut there."""
+        marks = [(_MARK if self.spaced else "") + x for x in _APART]
+        mark = np.array([n in marks for n in names], bool)
+        word = np.array([(n if self.spaced else n.lower())[-1:].isalnum() for n in names], bool)
+        at = np.flatnonzero(mark[kind])
+        return at[(at == 0) | ~word[kind[at - 1]]]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (uint32), and the number of each text's ids."""
         if len(self.starts) > self.entries:
             self._clear()
-        cut = [self._pieces(t) if t else [] for t in texts]
-        sizes = np.array([len(c) for c in cut], np.int64)
-        flat = [p for c in cut for p in c]
-        del cut
-        found = list(map(self.chunks.get, flat))
+        kind, names, sizes = self._cut(texts)
+        found = list(map(self.chunks.get, names))
         if None in found:
-            self._learn({p for p, k in zip(flat, found) if k is None})
-            found = [self.chunks[p] if k is None else k for p, k in zip(flat, found)]
-        chunk = np.array(found, np.int64)
-        del found
-        del flat
+            self._learn([p for p, k in zip(names, found) if k is None])
+            found = list(map(self.chunks.__getitem__, names))
+        chunk = np.array(found, np.int64)[kind]
+        chunk[self._joined(kind, names)] = 0
         if self._flat is None:
             self._flat = (np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.empty(0, np.uint32)).copy(), np.frombuffer(self.starts, np.int64).copy()
         all_ids, starts = self._flat
@@ -162,16 +176,16 @@ class Encoder:
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         counts = ends[bounds[1:]] - ends[bounds[:-1]]
         ids = all_ids[np.arange(ends[-1]) + np.repeat(starts[chunk] - ends[:-1], n)]
-        if self.spaced and len(chunk) and (chunk == 0).any():
+        if len(chunk) and (chunk == 0).any():
             whole = np.unique(np.searchsorted(bounds, np.flatnonzero(chunk == 0), side="right") - 1)
             at = np.concatenate([[0], np.cumsum(counts)])
-            own = dict(zip(whole.tolist(), self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)))
+            own = dict(zip(whole.tolist(), self.tokenizer.encode_batch_fast([texts[k] or "" for k in whole], add_special_tokens=False)))
             ids = np.concatenate([np.asarray(own[k].ids, np.uint32) if k in own else ids[at[k] : at[k + 1]] for k in range(len(texts))])
             for k, e in own.items():
                 counts[k] = len(e.ids)
         return ids, counts
 
-    def encode_in_blocks(self, texts: list[str | None], characters: int = 2_000_000):
+    def encode_in_blocks(self, texts: list[str | None], characters: int = 4_000_000):
         """(first, last, ids, counts) for blocks of texts of a bounded size (one very long text may exceed it)."""
         at = 0
         while at < len(texts):
