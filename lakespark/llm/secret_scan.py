@@ -136,12 +136,17 @@ def scan(docs: DataFrame, **options) -> DataFrame:
     return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("found").alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text", **options) -> DataFrame:
-    """``docs`` with each secret in ``text`` replaced by ``mark``; overlapping spans are replaced together, null stays null."""
+def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text", length: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with each secret in ``text`` replaced by ``mark``, and the new text's length in ``length`` if there is
+    such a column; overlapping spans are replaced together, null stays null."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("whole"))
     rows = find_secrets(whole, key="row", text="whole", **options)
     clean = f"""aggregate(found, struct(0 as at, '' as out),
         (got, x) -> struct(greatest(got.at, x.stop) as at, case when x.start < got.at then got.out else concat(got.out, substring(text, got.at + 1, x.start - got.at), '{mark}') end as out),
         got -> concat(got.out, substring(text, got.at + 1)))"""
-    fixed = F.expr(f"case when row.`{text}` is null then null when size(found) = 0 then row.`{text}` else {clean} end")
-    return rows.select(*(fixed.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
+    rows = rows.withColumn("clean", F.expr(f"case when size(found) > 0 then {clean} end"))
+    fixed = {text: F.coalesce("clean", F.col("doc_id")[text])}
+    if length in docs.columns:
+        size = F.char_length("clean").cast(docs.schema[length].dataType)
+        fixed[length] = F.when(F.col("clean").isNotNull(), size).otherwise(F.col("doc_id")[length])
+    return rows.select(*(fixed.get(c, F.col("doc_id")[c]).alias(c) for c in docs.columns))

@@ -243,6 +243,15 @@ def links(points: DataFrame, within: int = 3, homes: int = 16_384, least: int =
     return dealt.groupBy("leaf", "hb", "qb").applyInArrow(_search(within), "a long, b long")
 
 
+def _classes(docs: DataFrame, words: int, within: int, key: str, text: str, limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row; and (fp, component_id) of every fingerprint, above ``_NO_ID`` where no row has an id."""
+    rows = stored(fingerprint_table(docs, words, key, text), "fingerprints")
+    unique = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    unique = stored(unique.select("fp", F.coalesce("node", F.lit(_NO_ID) + F.col("fp").bitwiseAND(_NO_ID - 1)).alias("node")), "points")
+    found = components(links(unique, within, **limits))
+    return rows, stored(unique.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, within: int = 3, key: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
@@ -251,10 +260,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, within: int = 3, key: str =
     are no candidates for component_id, which is null if a component has no other; an empty table gives no
     rows.  Other columns are not read.  ``limits`` go to ``links``.
     """
-    rows = stored(fingerprint_table(docs, words, key, text), "fingerprints")
-    unique = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    unique = stored(unique.select("fp", F.coalesce("node", F.lit(_NO_ID) + F.col("fp").bitwiseAND(_NO_ID - 1)).alias("node")), "points")
-    found = components(links(unique, within, **limits))
-    whole = stored(unique.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+    rows, whole = _classes(docs, words, within, key, text, limits)
     of = F.when(F.col("component_id") < _NO_ID, F.col("component_id"))
     return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), of.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 3, within: int = 3, **limits: int) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id; any one of it, if the id is repeated or null."""
+    rows, whole = _classes(docs, words, within, "doc_id", "text", limits)
+    heads = whole.where(F.col("component_id") < _NO_ID).select(F.col("component_id").alias("__head")).distinct()
+    again = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__head"))
+    on = F.col("doc_id") == F.col("__head")
+    if not again.head(1):
+        kept = docs.join(heads.hint("shuffle_hash"), on, "left_semi")
+    else:
+        kept = docs.join(heads.join(again, "__head", "left_anti").hint("shuffle_hash"), on, "left_semi")
+        kept = kept.unionAll(docs.join(heads.join(again, "__head", "left_semi").hint("shuffle_hash"), on, "left_semi").dropDuplicates(["doc_id"]))
+    if rows.where("doc_id is null").head(1):
+        nameless = docs.where("doc_id is null").withColumn("__key", F.coalesce("text", F.lit("")))
+        prints = fingerprint_table(nameless.select(F.xxhash64("__key").alias("doc_id"), "text"), words).distinct()
+        first = whole.where(F.col("component_id") >= _NO_ID).groupBy("component_id").agg(F.min("fp").alias("fp"))
+        keys = prints.join(first, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__head")).select("__head")
+        nameless = nameless.withColumn("__key", F.xxhash64("__key"))
+        kept = kept.unionAll(nameless.join(keys, nameless["__key"] == keys["__head"], "left_semi").dropDuplicates(["__key"]).drop("__key"))
+    return kept

@@ -108,20 +108,20 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     return fit([x for x, t in zip(found, flags) if t], [x for x, t in zip(found, flags) if not t], prior)
 
 
-def _score(model: Model, text: str):
+def _score(model: Model, text: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             logits = np.array([model.logit(t) for t in b.column(text).to_pylist()], np.float64)
-            yield b.append_column("score", pa.array(_sigmoid(logits)))
+            yield b.append_column(name, pa.array(_sigmoid(logits)))
 
     return run
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a last column ``score`` between 0 and 1; null and empty texts get the score of no words."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a last column ``name`` between 0 and 1; null and empty texts get the score of no words."""
     ship(docs.sparkSession)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(model, text), f"{kept}, score double")
+    return docs.mapInArrow(_score(model, text, name), f"{kept}, {name} double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample) -> DataFrame:
@@ -133,3 +133,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sampl
     model = learn(docs, labels, **sample)
     rows = score(renamed(docs, doc_id="doc_id", text="text"), model)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample) -> DataFrame:
+    """``docs`` without the texts that score ``threshold`` or more; the others keep all their columns."""
+    return score(docs, learn(docs, labels, **sample), name="__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
