@@ -9,7 +9,6 @@ its gradient is reversed.  The sample that is fitted on is bounded by parameters
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, renamed, ship
+from .common import held_out, renamed, ship, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -60,20 +59,18 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return theta[:d], float(theta[d])
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, vocabulary: int = 1000, sure: float = 4.0) -> Model:
-    """A model over the words that positives hold more often than the unlabelled, by ``sure`` standard errors."""
-    if not positive or not unlabelled:
+def fit(names: list[str], positive: list[list[str]], unlabelled: list[list[str]], prior: float) -> Model:
+    """A model over the words ``names``, from the words that each text holds of them."""
+    if not names or not positive or not unlabelled:
         return Model({}, float(np.log(prior / (1 - prior))))
-    held, all_held = Counter(w for x in positive for w in x), Counter(w for x in unlabelled for w in x)
-    n, k = len(positive), len(unlabelled)
-    found = []
-    for w, a in held.items():
-        both = (a + all_held[w] + 1) / (n + k + 2)
-        z = (a / n - all_held[w] / k) / np.sqrt(both * (1 - both) * (1 / n + 1 / k))
-        if a >= 5 and z >= sure:
-            found.append((-z, w))
-    names = [w for _, w in sorted(found)[:vocabulary]]
-    matrix = lambda rows: np.array([[w in x for w in names] for x in rows], np.float32).reshape(len(rows), len(names))
+    place = {w: k for k, w in enumerate(names)}
+
+    def matrix(rows: list[list[str]]) -> np.ndarray:
+        m = np.zeros((len(rows), len(names)), np.float32)
+        for k, words in enumerate(rows):
+            m[k, [place[w] for w in words]] = 1
+        return m
+
     weights, bias = fit_nnpu(matrix(positive), matrix(unlabelled), prior)
     return Model(dict(zip(names, weights.tolist())), bias)
 
@@ -84,12 +81,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.string()))], ["toxic", "words"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000, prior: float | None = None) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000, prior: float | None = None, vocabulary: int = 1000, sure: float = 9.0, explained: float = 0.4) -> Model:
     """Fits on at most ``positives`` toxic texts and ``unlabelled`` others, neither from held-out rows.
 
-    The prior is the share of toxic ones among the labels that may be learnt from, unless given.  Rows
-    are chosen by a hash of their ids.  Labels that are null count as none; without positives every score
-    is the prior.
+    The words looked at are the up to ``vocabulary`` ones that positives hold so much more often than the others
+    that chance is below exp(-``sure``), and of whose use by the others positives explain the share ``explained``.  The prior is the share of toxic ones among the labels that may be learnt from,
+    unless given.  Rows are chosen by a hash of their ids.  Labels that are null count as none; without
+    positives every score is the prior.
     """
     ship(docs.sparkSession)
     rows = renamed(docs, doc_id=F.col("doc_id").cast("long"), text="text").where(~held_out(F.col("doc_id")))
@@ -103,9 +101,20 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     others = rows.select("doc_id").join(toxic.select("doc_id"), "doc_id", "left_anti").orderBy(mixed).limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("toxic"))
     chosen = toxic.unionAll(others)  # at most positives + unlabelled ids
     texts = rows.join(F.broadcast(chosen), "doc_id").limit(2 * (positives + unlabelled))
-    sample = texts.select("toxic", "text").mapInArrow(_sets, "toxic int, words array<string>").toArrow()
-    flags, found = sample.column("toxic").to_pylist(), [set(x) for x in sample.column("words").to_pylist()]
-    return fit([x for x, t in zip(found, flags) if t], [x for x, t in zip(found, flags) if not t], prior)
+    sample = stored(texts.select("toxic", "text").mapInArrow(_sets, "toxic int, words array<string>"), "toxicity-sample")
+    sizes = dict(sample.groupBy("toxic").count().collect())
+    n, k = sizes.get(1, 0), sizes.get(0, 0)
+    if not n or not k:
+        return fit([], [], [], prior)
+    held = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    # a Poisson tail: how unlikely so many positives would hold a word if they were like the others
+    usual = n * (F.col("b") + 1) / (k + 1)
+    held = held.withColumn("z", F.col("a") * F.log(F.col("a") / usual) - (F.col("a") - usual))
+    told = (F.col("a") > usual) & (F.col("z") >= sure) & (prior * F.col("a") / n >= explained * F.col("b") / k)
+    names = [r[0] for r in held.where(told).orderBy(F.desc("z"), "word").limit(vocabulary).collect()]
+    few = sample.select("toxic", F.array_intersect("words", F.array(*map(F.lit, names)).cast("array<string>")).alias("words")).toArrow()
+    flags, found = few.column("toxic").to_pylist(), few.column("words").to_pylist()
+    return fit(names, [x for x, t in zip(found, flags) if t], [x for x, t in zip(found, flags) if not t], prior)
 
 
 def _score(model: Model, text: str, name: str):
