@@ -77,9 +77,11 @@ def write_files(rows: DataFrame, root: str, schema: Schema, store, sort: bool =
     tombstones = OPERATION in rows.columns
     keys = [c.strip() for c in schema.options.get("cluster-by", "").split(",") if c.strip()] or list(schema.primary_key)
     if sort and keys:
-        by = [F.col(f"`{k}`") for k in keys]
-        rows = rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)
-        rows = rows.sortWithinPartitions(*[F.col(f"`{k}`") for k in dict.fromkeys([*schema.partition_keys, *keys])])
+        by = [F.col(f"`{k}`") for k in dict.fromkeys([*schema.partition_keys, *keys])]
+        rows = (rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
+    elif schema.partition_keys:
+        # few files for each partition; adaptive execution splits large partitions
+        rows = rows.hint("rebalance", *schema.partition_keys)
     elif files:
         rows = rows.repartition(files)
     data = rows.select(*[F.col(f"`{f.name}`").alias(f.stored) for f in schema.fields], *([F.col(OPERATION)] if tombstones else []), *[F.col(f"`{k}`").cast("string").alias(k) for k in schema.partition_keys])
@@ -98,7 +100,7 @@ def write_files(rows: DataFrame, root: str, schema: Schema, store, sort: bool =
     if not sizes:
         store.delete(staged)
         return []
-    found = _statistics(spark, staged, sizes, schema, indexes)
+    found = _statistics(spark, staged, schema, indexes)
     made = []
     for path, size in sizes.items():
         *folders, name = path.split("/")
@@ -113,14 +115,14 @@ def write_files(rows: DataFrame, root: str, schema: Schema, store, sort: bool =
     return made
 
 
-def _statistics(spark, staged: str, sizes: dict[str, int], schema: Schema, indexes: dict[str, set[str]]) -> dict[str, dict]:
+def _statistics(spark, staged: str, schema: Schema, indexes: dict[str, set[str]]) -> dict[str, dict]:
     """Rows of each file, and least, most, nulls and few values of its indexed and key fields: one pass over those columns."""
     plain = _plain(schema)
     ranged = [n for n in plain if "minmax" in indexes[n] or n in schema.primary_key or n in schema.options.get("cluster-by", "")]
     ranged += [n for n in plain if n in schema.partition_keys and n not in ranged]
     bitmaps = [n for n in plain if "bitmap" in indexes[n]]
     struct = T.StructType([T.StructField(schema[n].stored, schema[n].data_type) for n in dict.fromkeys([*ranged, *bitmaps])])
-    rows = spark.read.schema(struct).parquet(*[f"{staged}/{p}" for p in sizes])
+    rows = spark.read.schema(struct).option("recursiveFileLookup", "true").parquet(staged)
     wanted = [F.count("*").alias("rows")]
     for n in ranged:
         s, c = schema[n].stored, F.col(schema[n].stored)

@@ -20,7 +20,8 @@ from ..operators import predicate as P
 from ..operators.predicate import PartitionPredicate as PP
 from ..operators.transaction import TransactionManager
 from ..sources.exchange import export_files, import_files
-from ..streaming.tables import follow, register_source, sink
+from ..streaming.source import register_source
+from ..streaming.tables import follow, sink
 from ..table import Table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -1,22 +1,18 @@
 """Tables as ends of streams.
 
 A sink publishes each micro-batch once: the query's name and the batch's number mark its commit, and a
-replayed batch finds it.  ``follow`` hands each new version's rows to a function as an ordinary DataFrame, and
-``register_source`` offers the format ``lake`` to ``readStream``, whose offsets are snapshot ids.
+replayed batch finds it.  ``follow`` hands each new version's rows to a function as an ordinary DataFrame.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame
 
 from ..errors import Unsupported
-from ..metadata.log import APPEND, OVERWRITE, Log
-from ..metadata.store import LocalStore
+from ..metadata.log import APPEND, OVERWRITE
 from ..table import Table
 
 
@@ -52,61 +48,3 @@ def follow(table: Table, use: Callable[[DataFrame, int], None], after: int = 0,
             if state:
                 table.store.write(state, json.dumps({"snapshot": n}))
     return after
-
-
-class _File(InputPartition):
-    def __init__(self, path: str, columns: list[tuple[str, str]]):
-        self.path, self.columns = path, columns
-
-
-class _Reader(DataSourceStreamReader):
-    def __init__(self, root: str, start: int, schema: StructType):
-        self.log, self.start, self.schema, self.root = Log(LocalStore(), root), start, schema, root
-
-    def initialOffset(self) -> dict:
-        return {"snapshot": self.start}
-
-    def latestOffset(self) -> dict:
-        return {"snapshot": (self.log.snapshot_ids() or [self.start])[-1]}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        columns = [(f.stored, f.name) for f in self.log.schema().fields]
-        found = []
-        for n in range(start["snapshot"] + 1, end["snapshot"] + 1):
-            s = self.log.snapshot(n)
-            if s.kind == OVERWRITE:
-                raise Unsupported(f"snapshot {n} is an overwrite")
-            if s.kind == APPEND:
-                found += [_File(f"{self.root}/{f.path}", columns) for kind, f in self.log.entries(s.delta) if kind == "ADD"]
-        return found
-
-    def read(self, partition: _File) -> Iterator:
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        wanted = to_arrow_schema(self.schema)
-        with pq.ParquetFile(partition.path) as file:
-            held = set(file.schema_arrow.names)
-            for batch in file.iter_batches(columns=[s for s, _ in partition.columns if s in held]):
-                columns = [batch.column(s).cast(wanted.field(n).type) if s in held else pa.nulls(batch.num_rows, wanted.field(n).type) for s, n in partition.columns]
-                yield pa.RecordBatch.from_arrays(columns, schema=wanted)
-
-
-class LakeSource(DataSource):
-    """``readStream.format("lake").option("path", root of a table).option("after", snapshot)``: rows as they were
-    appended, for warehouses that executors can open as files."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "lake"
-
-    def schema(self) -> StructType:
-        return Log(LocalStore(), self.options["path"]).schema().struct
-
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _Reader(self.options["path"], int(self.options.get("after", 0)), schema)
-
-
-def register_source(spark: SparkSession) -> None:
-    spark.dataSource.register(LakeSource)
