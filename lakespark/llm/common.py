@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
+__all__ = ["held_out", "renamed", "scratch", "ship", "stored", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,17 +42,3 @@ def held_out(doc_id: Column) -> Column:
 def renamed(df: DataFrame, **names: str | Column) -> DataFrame:
     """Only the columns that an operator needs, under its own names, so that further columns can't clash."""
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in names.items()))
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the library to the executors' Python, once for each application."""
-    context = spark.sparkContext
-    if getattr(context, "_lakespark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(prefix="lakespark-"), "lakespark.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    context.addPyFile(archive)
-    context._lakespark_shipped = True
