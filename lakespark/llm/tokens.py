@@ -142,7 +142,7 @@ class Encoder:
         """Pieces as numbers into the distinct ones, those, and the number of each text's pieces."""
         mark = _MARK if self.spaced else ""
         whole = pa.array([mark + (t or "") for t in texts], pa.large_string())
-        whole = pc.replace_substring(whole, "\n", _LINE if self.spaced else " ")
+        whole = pc.replace_substring(whole if self.spaced else pc.ascii_lower(whole), "\n", _LINE if self.spaced else " ")
         for end in _APART:
             whole = pc.replace_substring(whole, end + " ", f" {mark}{end} ")
         pieces = pc.split_pattern(whole, " ")
@@ -151,11 +151,12 @@ class Encoder:
 
     def _joined(self, kind: np.ndarray, names: list[str]) -> np.ndarray:
         """Places of punctuation marks cut off from what isn't a letter or digit; the tokenizer may not cut there."""
-        marks = [(_MARK if self.spaced else "") + x for x in _APART]
-        mark = np.array([n in marks for n in names], bool)
-        word = np.array([(n if self.spaced else n.lower())[-1:].isalnum() for n in names], bool)
-        at = np.flatnonzero(mark[kind])
-        return at[(at == 0) | ~word[kind[at - 1]]]
+        marks = {(_MARK if self.spaced else "") + x for x in _APART}
+        mark = np.array([k for k, n in enumerate(names) if n in marks], np.int64)
+        at = np.flatnonzero(np.isin(kind, mark))
+        ahead, place = np.unique(kind[at - 1], return_inverse=True)
+        word = np.array([(n if self.spaced else n.lower())[-1:].isalnum() for n in map(names.__getitem__, ahead.tolist())], bool)
+        return at[(at == 0) | ~word[place]]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (uint32), and the number of each text's ids."""
@@ -176,8 +177,10 @@ class Encoder:
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         counts = ends[bounds[1:]] - ends[bounds[:-1]]
         ids = all_ids[np.arange(ends[-1]) + np.repeat(starts[chunk] - ends[:-1], n)]
-        if len(chunk) and (chunk == 0).any():
-            whole = np.unique(np.searchsorted(bounds, np.flatnonzero(chunk == 0), side="right") - 1)
+        whole = np.unique(np.searchsorted(bounds, np.flatnonzero(chunk == 0), side="right") - 1)
+        if not self.spaced:  # special tokens are told by case
+            whole = np.union1d(whole, [k for k, t in enumerate(texts) if t and "<|" in t]).astype(np.int64)
+        if len(whole):
             at = np.concatenate([[0], np.cumsum(counts)])
             own = dict(zip(whole.tolist(), self.tokenizer.encode_batch_fast([texts[k] or "" for k in whole], add_special_tokens=False)))
             ids = np.concatenate([np.asarray(own[k].ids, np.uint32) if k in own else ids[at[k] : at[k + 1]] for k in range(len(texts))])
@@ -185,7 +188,7 @@ class Encoder:
                 counts[k] = len(e.ids)
         return ids, counts
 
-    def encode_in_blocks(self, texts: list[str | None], characters: int = 4_000_000):
+    def encode_in_blocks(self, texts: list[str | None], characters: int = 8_000_000):
         """(first, last, ids, counts) for blocks of texts of a bounded size (one very long text may exceed it)."""
         at = 0
         while at < len(texts):

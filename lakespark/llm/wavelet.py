@@ -44,7 +44,7 @@ class WaveletMatrix:
         for shift in range(bits - 1, -1, -1):
             one = (now >> shift) & 1 != 0
             planes.append(np.packbits(one, bitorder="little"))
-            now = np.concatenate([now[~one], now[one]])
+            now = np.concatenate([np.compress(~one, now), np.compress(one, now)])
         return cls(planes, len(ids))
 
     @staticmethod
@@ -130,8 +130,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(now)
-            above[~one] = now[: self.zeros[level]]
-            above[one] = now[self.zeros[level] :] | now.dtype.type(1 << (len(self.planes) - 1 - level))
+            above[np.flatnonzero(~one)] = now[: self.zeros[level]]
+            above[np.flatnonzero(one)] = now[self.zeros[level] :] | now.dtype.type(1 << (len(self.planes) - 1 - level))
             now = above
         return now.astype(np.uint32)
 
