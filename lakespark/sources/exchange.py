@@ -10,7 +10,7 @@ from ..table import Table
 
 FORMATS = ("parquet", "csv", "json", "orc")
 #: Of CSV: a header, quotes doubled inside quotes, and empty text told from null.
-CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "emptyValue": '""', "nullValue": ""}
+CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": ""}
 
 
 def _known(kind: str) -> None:
