@@ -9,8 +9,8 @@ from ..metadata.log import Snapshot
 from ..table import Table
 
 FORMATS = ("parquet", "csv", "json", "orc")
-#: Of CSV: a header, quotes doubled inside quotes, and empty text told from null.
-CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": ""}
+#: Of CSV: a header, quotes doubled inside quotes, and ``\\N`` for null, so that empty text stays text.
+CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "\\N"}
 
 
 def _known(kind: str) -> None:
