@@ -36,27 +36,40 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{N}\x01-\x03]+"), lambda t: t != "")
 
 
-def _with_words(rows: DataFrame) -> DataFrame:
-    first = F.transform("words", lambda t: F.when(t < _REST, F.shiftleft(F.xxhash64(F.substring(t, 1, 1)), 1).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.shiftleft(F.xxhash64(t), 1)))
-    return rows.withColumn("words", _tokens(F.col("text"))).drop("text").withColumn("h1", first)
+#: Columns of both forms of a text's words: with names as placeholders, and with names as words like others, so that
+#: text in other cases is found as well.
+_FORMS = ("words", "plain")
 
 
-def _doubled(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """Adds ``h``: for each size, the hashes of its runs.  Powers of two come first, each made from the one before."""
-    rows = rows.withColumn("h2", F.expr(f"zip_with(h1, slice(h1, 2, size(h1)), {_STEP})"))
-    rows = rows.withColumn("h4", F.expr(f"zip_with(h2, slice(h2, 3, size(h2)), {_STEP})"))
-    for n in sizes:
-        rest = {1: "h1", 2: "h2", 4: "h4"}.get(n - 4) or f"zip_with(h2, slice(h1, 3, size(h1)), {_STEP})"
-        rows = rows.withColumn(f"w{n}", F.expr(f"slice(zip_with(h4, slice({rest}, 5, size(h1)), {_STEP}), 1, greatest(0, size(words) - {n - 1}))"))
+def _with_words(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("words", _tokens(F.col("text"))).drop("text")
+    plain = F.transform("words", lambda t: F.when((t >= _NAME) & (t < _REST), F.substring(t, 2, 1 << 30)).otherwise(t))
+    return rows.withColumn("plain", plain)
+
+
+def _hashed(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Adds, for each form, hashes of its runs of 1, 2 and 4 words, each made from the shorter ones, and of the asked sizes."""
+    run = lambda a, b, by: f"zip_with({a}, slice({b}, {by + 1}, size({b})), {_STEP})"
+    for f in _FORMS:
+        one = lambda t: F.when(t < _REST, F.shiftleft(F.xxhash64(F.substring(t, 1, 1)), 1).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.shiftleft(F.xxhash64(t), 1))
+        rows = rows.withColumn(f"{f}1", F.transform(f, one))
+        rows = rows.withColumn(f"{f}2", F.expr(run(f"{f}1", f"{f}1", 1)))
+        rows = rows.withColumn(f"{f}4", F.expr(run(f"{f}2", f"{f}2", 2)))
+        for n in sizes:
+            rest = f"{f}{n - 4}" if n - 4 in (1, 2, 4) else run(f"{f}2", f"{f}1", 2)
+            rows = rows.withColumn(f"{f}w{n}", F.expr(f"slice({run(f'{f}4', rest, 4)}, 1, greatest(0, size({f}) - {n - 1}))"))
     return rows
 
 
 def _windows(rows: DataFrame, sizes: list[int], keep: str = "true") -> DataFrame:
     """A row for each window whose hash ``h`` passes ``keep``: its place and its words."""
-    per_size = [f"transform(filter(transform(w{n}, (h, i) -> struct(h as h, i as place)), x -> {keep.replace('$h', 'x.h')}), x -> struct(x.h as h, x.place as place, slice(words, x.place + 1, {n}) as slots))" for n in sizes]
-    found = F.expr(f"concat({', '.join(per_size)})")
-    others = [c for c in rows.columns if c not in ("words", "h1")]
-    return _doubled(rows, sizes).select(*others, F.inline(found))
+    per_size = [
+        f"transform(filter(transform({f}w{n}, (h, i) -> struct(h as h, i as place)), x -> {keep.replace('$h', 'x.h')}), x -> struct(x.h as h, x.place as place, slice({f}, x.place + 1, {n}) as slots))"
+        for f in _FORMS
+        for n in sizes
+    ]
+    others = [c for c in rows.columns if c not in _FORMS]
+    return _hashed(rows, sizes).select(*others, F.inline(F.expr(f"concat({', '.join(per_size)})")))
 
 
 def _canonical(slots: str) -> str:
@@ -79,8 +92,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
     # an item is cut into windows of one size: the full one, or all of its words
     own = items.withColumn("own", F.least(F.size("words"), F.lit(WINDOW)))
     windows = _windows(own, sizes).where(f"size(slots) = own and size(filter(slots, t -> t >= '{_REST}')) >= {LITERAL}")
-    windows = stored(windows.select("item", "item_id", "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")), "benchmark-windows")
-    sizes_of = windows.groupBy("item").agg(F.count("*").alias("item_windows"))
+    windows = stored(windows.select("item", "item_id", "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
+    sizes_of = windows.groupBy("item").agg(F.count_distinct("item_place").alias("item_windows"))
     windows = windows.join(sizes_of, "item")
     # bit (h >> 1) of the bitmap; at most _BITMAP rows come to the driver
     bits = windows.select(F.expr(f"pmod(shiftright(h, 1), {_BITMAP})").alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 13), 64) as int))").alias("bit"))
