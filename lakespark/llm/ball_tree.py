@@ -24,6 +24,8 @@ _HITS = "query_id long, query_row long, vec_id long, score long"
 
 def quantised(vectors: pa.Array) -> np.ndarray:
     """floor(64 * x) of vectors of one length, as whole doubles."""
+    if not len(vectors):
+        return np.empty((0, 0))
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return np.floor(64 * flat).reshape(len(vectors), -1)
 

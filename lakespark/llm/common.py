@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["held_out", "renamed", "scratch", "ship", "stored", "table"]
+__all__ = ["held_out", "renamed", "scratch", "ship", "stored", "table", "with_column"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +42,12 @@ def held_out(doc_id: Column) -> Column:
 def renamed(df: DataFrame, **names: str | Column) -> DataFrame:
     """Only the columns that an operator needs, under its own names, so that further columns can't clash."""
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in names.items()))
+
+
+def with_column(docs: DataFrame, text: str, name: str, kind: str, batches) -> DataFrame:
+    """``docs`` with a last column that ``batches`` computes: a function of an iterator of record batches whose column
+    ``text`` it is to read.  Columns travel under plain names, so that theirs may be anything."""
+    ship(docs.sparkSession)
+    plain = ["text" if c == text else f"c{k}" for k, c in enumerate(docs.columns)]
+    schema = ", ".join(f"`{p}` {f.dataType.simpleString()}" for p, f in zip(plain, docs.schema))
+    return docs.toDF(*plain).mapInArrow(batches, f"{schema}, value {kind}").toDF(*docs.columns, name)

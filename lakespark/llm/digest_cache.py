@@ -63,6 +63,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
     chosen = missing.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).hint("shuffle_hash")
     same = (texts["digest"] == chosen["digest"]) & texts["doc_id"].eqNullSafe(chosen["doc_id"])
     counts = texts.join(chosen, same, "left_semi").select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
+    counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows can be repeated with their ids
     counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     found = keys.join(cached_counts(spark, cache, version), "digest")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

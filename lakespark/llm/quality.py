@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, renamed, ship
+from .common import held_out, renamed, ship, with_column
 
 #: Bytes of a passage.
 PASSAGE = 1024
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, documents: int = 4000) -> Model |
     ship(docs.sparkSession)
     known = renamed(labels, doc_id=F.col("doc_id").cast("long"), quality=F.col("quality").cast("int")).where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(9))).limit(documents)
-    texts = renamed(docs, doc_id=F.col("doc_id").cast("long"), text="text").join(F.broadcast(chosen), "doc_id").limit(documents)
+    texts = renamed(docs, doc_id=F.col("doc_id").cast("long"), text="text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     sample = texts.select("quality", "text").mapInArrow(_describe, "quality int, x binary").toArrow()
     if not sample.num_rows:
         return None
@@ -136,22 +136,20 @@ def learn(docs: DataFrame, labels: DataFrame, documents: int = 4000) -> Model |
     return fit(np.concatenate(bags), np.array([len(b) for b in bags]), sample.column("quality").to_numpy().astype(np.float32))
 
 
-def _score(model: Model | None, text: str):
+def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                got = np.full(part.num_rows, 0.5) if model is None else model.scores(*passages(part.column(text).to_pylist()))
-                yield part.append_column("score", pa.array(got, pa.float64()))
+                got = np.full(part.num_rows, 0.5) if model is None else model.scores(*passages(part.column("text").to_pylist()))
+                yield part.append_column("value", pa.array(got, pa.float64()))
 
     return run
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with a last column ``score`` between 0 and 1; null counts as the empty text, one empty passage."""
-    ship(docs.sparkSession)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(model, text), f"{kept}, score double")
+def score(docs: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a last column ``name`` between 0 and 1; null counts as the empty text, one empty passage."""
+    return with_column(docs, text, name, "double", _score(model))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, documents: int = 4000) -> DataFrame:

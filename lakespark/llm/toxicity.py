@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, renamed, ship, stored
+from .common import held_out, renamed, ship, stored, with_column
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -100,7 +100,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     toxic = known.where("toxic = 1").orderBy(mixed).limit(positives).select("doc_id", F.lit(1).alias("toxic"))
     others = rows.select("doc_id").join(toxic.select("doc_id"), "doc_id", "left_anti").orderBy(mixed).limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("toxic"))
     chosen = toxic.unionAll(others)  # at most positives + unlabelled ids
-    texts = rows.join(F.broadcast(chosen), "doc_id").limit(2 * (positives + unlabelled))
+    texts = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     sample = stored(texts.select("toxic", "text").mapInArrow(_sets, "toxic int, words array<string>"), "toxicity-sample")
     sizes = dict(sample.groupBy("toxic").count().collect())
     n, k = sizes.get(1, 0), sizes.get(0, 0)
@@ -117,20 +117,18 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     return fit(names, [x for x, t in zip(found, flags) if t], [x for x, t in zip(found, flags) if not t], prior)
 
 
-def _score(model: Model, text: str, name: str):
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logits = np.array([model.logit(t) for t in b.column(text).to_pylist()], np.float64)
-            yield b.append_column(name, pa.array(_sigmoid(logits)))
+            logits = np.array([model.logit(t) for t in b.column("text").to_pylist()], np.float64)
+            yield b.append_column("value", pa.array(_sigmoid(logits)))
 
     return run
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a last column ``name`` between 0 and 1; null and empty texts get the score of no words."""
-    ship(docs.sparkSession)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(model, text, name), f"{kept}, {name} double")
+    return with_column(docs, text, name, "double", _score(model))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample) -> DataFrame:
