@@ -28,6 +28,10 @@ _MARK = "\x00"
 _APART = (".", ",")
 _LINE = f" {_MARK}\n {_MARK}"
 
+#: How byte-level tokenizers spell bytes: visible characters stand for themselves, the rest follow from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -113,9 +117,27 @@ class Encoder:
         return p if not self.spaced else p[1:] if p[:1] == _MARK else " " + p
 
     def _words(self, names: list[str], before: str, after: str, edge: np.ndarray) -> None:
-        """Encodes words as one text; ``edge`` marks the ids at which one ends or the next begins."""
-        for at in range(0, len(names), 20_000):
-            part = names[at : at + 20_000]
+        """Encodes words.  Latin ones go to the library's model at once: its normalizer and pre-tokenizer would do no
+        more than lower their case and spell their bytes.  Others are encoded as one text, in which ``edge``
+        marks the ids at which one ends or the next begins."""
+        tokenize, lead = self.tokenizer.model.tokenize, before.translate(_SPELLING)
+        others, known, flat, sizes = [], [], [], []
+        for p in names:
+            word = p[1:] if p[0] == _MARK else p
+            if word.isascii():
+                spelt = word if self.spaced else word.lower()
+            elif max(word) < "\u0250" and "\u0130" not in word:
+                spelt = (word if self.spaced else "".join(map(str.lower, word))).encode().decode("latin-1").translate(_SPELLING)
+            else:
+                others.append(p)
+                continue
+            got = tokenize(lead + spelt)
+            known.append(p)
+            sizes.append(len(got))
+            flat += [x.id for x in got]
+        self._append(known, np.array(flat, np.uint32), np.cumsum(sizes))
+        for at in range(0, len(others), 20_000):
+            part = others[at : at + 20_000]
             text = "".join([before + p.lstrip(_MARK) + after for p in part])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(edge[ids])
@@ -129,11 +151,14 @@ class Encoder:
                 ends = np.append(cuts[1:], len(ids))
             else:
                 ends = cuts + 1
-            n, base = len(self.starts) - 1, len(self.ids)
-            self.ids.frombytes(ids.tobytes())
-            self.starts.frombytes((ends + base).astype(np.int64).tobytes())
-            self.chunks.update(zip(part, range(n, n + len(part))))
-            self._flat = None
+            self._append(part, ids, ends)
+
+    def _append(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, base = len(self.starts) - 1, len(self.ids)
+        self.ids.frombytes(ids.tobytes())
+        self.starts.frombytes((ends + base).astype(np.int64).tobytes())
+        self.chunks.update(zip(names, range(n, n + len(names))))
+        self._flat = None
 
     def _of(self, chunk: int) -> array:
         return self.ids[self.starts[chunk] : self.starts[chunk + 1]]
@@ -172,12 +197,16 @@ class Encoder:
         if self._flat is None:
             self._flat = (np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.empty(0, np.uint32)).copy(), np.frombuffer(self.starts, np.int64).copy()
         all_ids, starts = self._flat
-        n = starts[chunk + 1] - starts[chunk]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        counts = ends[bounds[1:]] - ends[bounds[:-1]]
-        ids = all_ids[np.arange(ends[-1]) + np.repeat(starts[chunk] - ends[:-1], n)]
-        whole = np.unique(np.searchsorted(bounds, np.flatnonzero(chunk == 0), side="right") - 1)
+        n = (starts[1:] - starts[:-1])[chunk]
+        ends = np.cumsum(n)
+        last = np.concatenate([[0], np.cumsum(sizes)])
+        before = np.concatenate([[0], ends])[last]
+        counts = before[1:] - before[:-1]
+        place = np.repeat((starts[chunk] - ends + n).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = all_ids[place]
+        del place
+        whole = np.unique(np.searchsorted(last, np.flatnonzero(chunk == 0), side="right") - 1)
         if not self.spaced:  # special tokens are told by case
             whole = np.union1d(whole, [k for k, t in enumerate(texts) if t and "<|" in t]).astype(np.int64)
         if len(whole):
