@@ -59,30 +59,38 @@ def _plain(schema: Schema) -> list[str]:
 
 
 def latest_of_batch(rows: DataFrame, schema: Schema, sequence: str | None = None) -> DataFrame:
-    """One row of each key: the last by the sequence field, or else by place in the input."""
-    if sequence:
-        return merge_rows(rows, list(schema.primary_key), [F.col(f"`{sequence}`")])
-    return merge_rows(rows.withColumn("_row", F.monotonically_increasing_id()), list(schema.primary_key), [F.col("_row")]).drop("_row")
+    """One row of each key: the last by the sequence field, or else by place in the input.
+
+    Without partition keys, rows are parted by ranges of the key here: the same shuffle then serves the
+    window and the order of the files.
+    """
+    order = f"`{sequence}`" if sequence else "_row"
+    if not sequence:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    if not schema.partition_keys:
+        rows = rows.repartitionByRange(*[F.col(f"`{k}`") for k in schema.primary_key])
+    rows = merge_rows(rows, list(schema.primary_key), [F.col(order)])
+    return rows if sequence else rows.drop("_row")
 
 
-def write_files(rows: DataFrame, root: str, schema: Schema, store, sort: bool = True, files: int | None = None) -> list[DataFile]:
+def write_files(rows: DataFrame, root: str, schema: Schema, store, dealt: bool = False, files: int | None = None) -> list[DataFile]:
     """Writes conforming rows (unique by key, if there is one) and tells what each file holds.
 
     Rows of a primary-key table, and of tables with the option ``cluster-by``, are parted by ranges, so
-    that files can be told apart by their least and most keys.
+    that files can be told apart by their least and most keys; ``dealt`` tells that this has been done.
     """
     spark = rows.sparkSession
     batch = uuid.uuid4().hex
     staged = f"{root}/_staging/{batch}"
     tombstones = OPERATION in rows.columns
     keys = [c.strip() for c in schema.options.get("cluster-by", "").split(",") if c.strip()] or list(schema.primary_key)
-    if sort and keys:
+    if keys and not dealt:
         by = [F.col(f"`{k}`") for k in dict.fromkeys([*schema.partition_keys, *keys])]
         rows = (rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
-    elif schema.partition_keys:
+    elif schema.partition_keys and not dealt:
         # few files for each partition; adaptive execution splits large partitions
         rows = rows.hint("rebalance", *schema.partition_keys)
-    elif files:
+    elif files and not dealt:
         rows = rows.repartition(files)
     data = rows.select(*[F.col(f"`{f.name}`").alias(f.stored) for f in schema.fields], *([F.col(OPERATION)] if tombstones else []), *[F.col(f"`{k}`").cast("string").alias(k) for k in schema.partition_keys])
     indexes = indexed(schema)

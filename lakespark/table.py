@@ -155,11 +155,14 @@ class Table:
 
     # writes
 
-    def _batch(self, rows: DataFrame, schema: Schema, sequence: str | None) -> DataFrame:
+    def _files(self, rows: DataFrame, schema: Schema, sequence: str | None) -> list[DataFile]:
         rows = conform(rows, schema)
-        if OPERATION in rows.columns and not schema.primary_key:
-            raise Unsupported("deletions need a primary key")
-        return latest_of_batch(rows, schema, sequence or schema.options.get("sequence.field")) if schema.primary_key else rows
+        if not schema.primary_key:
+            if OPERATION in rows.columns:
+                raise Unsupported("deletions need a primary key")
+            return write_files(rows, self.root, schema, self.store)
+        rows = latest_of_batch(rows, schema, sequence or schema.options.get("sequence.field"))
+        return write_files(rows, self.root, schema, self.store, dealt=not schema.partition_keys and "cluster-by" not in schema.options)
 
     def prepare(self, rows: DataFrame, sequence: str | None = None) -> Write:
         """Writes files and leaves them out of sight until ``commit``.
@@ -173,7 +176,7 @@ class Table:
             op = F.regexp_replace(F.upper(F.coalesce(F.col(OPERATION), F.lit("I"))), r"^\+", "")
             rows = rows.withColumn(OPERATION, op).where(f"{OPERATION} not in ('-U', 'UPDATE_BEFORE')")
             rows = rows.withColumn(OPERATION, F.when(F.col(OPERATION).isin("D", "-D", "DELETE"), "D").otherwise("I"))
-        return Write(self, write_files(self._batch(rows, schema, sequence), self.root, schema, self.store))
+        return Write(self, self._files(rows, schema, sequence))
 
     def write(self, rows: DataFrame, sequence: str | None = None, user: str | None = None, identifier: int | None = None, watermark: int | None = None, properties: dict[str, str] | None = None) -> Snapshot | None:
         """Appends rows; in a primary-key table they replace those of the same keys.  No rows make no snapshot."""
@@ -188,7 +191,7 @@ class Table:
             partition = PartitionPredicate.of(partition)
         if partition is not None:
             rows = conform(rows, schema).where(partition.column())
-        added = write_files(self._batch(rows, schema, sequence), self.root, schema, self.store)
+        added = self._files(rows, schema, sequence)
         removed = lambda last: [f for f in self.log.files(last).values() if partition is None or partition(f.partition)]
         return Write(self, added, removed, OVERWRITE).commit(**commit)
 
