@@ -32,6 +32,8 @@ class Snapshot:
     delta_rows: int
     watermark: int | None = None
     properties: dict[str, str] = field(default_factory=dict)
+    #: The largest number that a user has given a commit of a kind, of users that number theirs.
+    numbered: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -127,7 +129,11 @@ class Log:
     # commits
 
     def committed(self, user: str, identifier: int, kind: str) -> Snapshot | None:
-        """The snapshot of an earlier try of the same commit.  All of the user's are looked through: replays can come late."""
+        """The snapshot of an earlier try of the same commit.  Replays can come late, so all are looked through, unless
+        the number is above all that this user has given."""
+        last = self.latest()
+        if last is None or identifier > last.numbered.get(f"{user} {kind}", identifier - 1):
+            return None
         for n in reversed(self.snapshot_ids()):
             s = self.snapshot(n)
             if (s.user, s.identifier, s.kind) == (user, identifier, kind):
@@ -185,8 +191,11 @@ class Log:
                 whole = [f for p, f in active.items() if p not in paths] + new
                 manifests = (self._put_manifest(f"base-{number}", [("ADD", f) for f in whole]),)
             plus, minus = sum(f.rows for f in new), sum(f.rows for f in gone)
+            numbered = dict(last.numbered) if last else {}
+            if repeat:
+                numbered[f"{user} {kind}"] = max(identifier, numbered.get(f"{user} {kind}", identifier))
             made = Snapshot(
-                number, last.schema_id if schema_id is None and last and not added else schema_id or 0, kind, user, identifier, int(time.time() * 1000), manifests, delta, (last.total_rows if last else 0) + plus - minus, plus - minus, watermark, properties or {}
+                number, last.schema_id if schema_id is None and last and not added else schema_id or 0, kind, user, identifier, int(time.time() * 1000), manifests, delta, (last.total_rows if last else 0) + plus - minus, plus - minus, watermark, properties or {}, numbered
             )
             if self.store.create(f"{self.root}/snapshot/snapshot-{number}", json.dumps(asdict(made), indent=1)):
                 return made

@@ -11,6 +11,8 @@ from ..metadata.schema import Schema
 from .pruning import _order
 
 SEQUENCE, OPERATION = "_sequence", "_op"
+#: Of data files, told by their suffix.
+FORMATS = ("parquet", "orc")
 #: With more commits than this, a row's commit comes from a join with the names of files instead of a union.
 UNION = 24
 #: Rows of that join which may be broadcast; a row is a file's name and a number.
@@ -23,7 +25,11 @@ def stored_struct(schema: Schema) -> T.StructType:
 
 def _scan(spark: SparkSession, root: str, files: list[DataFile], schema: Schema, more: tuple[T.StructField, ...] = ()) -> DataFrame:
     struct = T.StructType([*stored_struct(schema).fields, *more])
-    return spark.read.schema(struct).parquet(*[f"{root}/{f.path}" for f in files])
+    parts = [spark.read.schema(struct).format(kind).load([f"{root}/{f.path}" for f in files if f.path.endswith(f".{kind}")]) for kind in FORMATS if any(f.path.endswith(f".{kind}") for f in files)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionAll(p)
+    return whole
 
 
 def _columns(schema: Schema) -> list[Column]:
@@ -88,8 +94,11 @@ def with_sequence(spark: SparkSession, root: str, files: list[DataFile], schema:
     # files of one write that are in several partitions can share a name, and then their number
     names = spark.createDataFrame(sorted({(f.path.rsplit("/", 1)[-1], f.sequence) for f in files}), f"file string, {SEQUENCE} long")
     names = F.broadcast(names) if len(files) <= BROADCAST_FILES else names
-    rows = _scan(spark, root, files, schema, more)
-    return rows.withColumn("file", F.col("_metadata.file_name")).join(names, "file").drop("file")
+    named = [_scan(spark, root, part, schema, more).withColumn("file", F.col("_metadata.file_name")) for kind in FORMATS if (part := [f for f in files if f.path.endswith(f".{kind}")])]
+    rows = named[0]
+    for p in named[1:]:
+        rows = rows.unionAll(p)
+    return rows.join(names, "file").drop("file")
 
 
 def merge_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SchemaError
+from ..errors import SchemaError, Unsupported
 from ..metadata.files import DataFile
 from ..metadata.schema import Schema
-from .read import OPERATION, merge_rows
+from .read import FORMATS, OPERATION, merge_rows
 
 _PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Hive's name for the directory of null.
@@ -103,12 +103,15 @@ def write_files(rows: DataFrame, root: str, schema: Schema, store, dealt: bool =
             writer = writer.option(f"parquet.bloom.filter.expected.ndv#{stored}", schema.options.get("bloom.ndv", "1000000"))
     if schema.partition_keys:
         writer = writer.partitionBy(*schema.partition_keys)
-    writer.parquet(staged)
-    sizes = {p: n for p, n in store.sizes(staged).items() if p.endswith(".parquet")}
+    kind = schema.options.get("file.format", "parquet").lower()
+    if kind not in FORMATS:
+        raise Unsupported(f"data files in {kind!r}; known: {FORMATS}")
+    writer.format(kind).save(staged)
+    sizes = {p: n for p, n in store.sizes(staged).items() if p.endswith(f".{kind}")}
     if not sizes:
         store.delete(staged)
         return []
-    found = _statistics(spark, staged, schema, indexes)
+    found = _statistics(spark, staged, schema, indexes, kind)
     made = []
     for path, size in sizes.items():
         *folders, name = path.split("/")
@@ -123,14 +126,14 @@ def write_files(rows: DataFrame, root: str, schema: Schema, store, dealt: bool =
     return made
 
 
-def _statistics(spark, staged: str, schema: Schema, indexes: dict[str, set[str]]) -> dict[str, dict]:
+def _statistics(spark, staged: str, schema: Schema, indexes: dict[str, set[str]], kind: str) -> dict[str, dict]:
     """Rows of each file, and least, most, nulls and few values of its indexed and key fields: one pass over those columns."""
     plain = _plain(schema)
     ranged = [n for n in plain if "minmax" in indexes[n] or n in schema.primary_key or n in schema.options.get("cluster-by", "")]
     ranged += [n for n in plain if n in schema.partition_keys and n not in ranged]
     bitmaps = [n for n in plain if "bitmap" in indexes[n]]
     struct = T.StructType([T.StructField(schema[n].stored, schema[n].data_type) for n in dict.fromkeys([*ranged, *bitmaps])])
-    rows = spark.read.schema(struct).option("recursiveFileLookup", "true").parquet(staged)
+    rows = spark.read.schema(struct).option("recursiveFileLookup", "true").format(kind).load(staged)
     wanted = [F.count("*").alias("rows")]
     for n in ranged:
         s, c = schema[n].stored, F.col(schema[n].stored)

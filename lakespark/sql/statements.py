@@ -322,7 +322,44 @@ def _change(catalog, text: str, word: str) -> DataFrame:
         changes = {a.key().sql().strip("`"): F.expr(a.value().sql()) for a in _items(plan.assignments())}
         where = plan.condition().get().sql() if plan.condition().isDefined() else None
         return _snapshot(catalog, t.update(changes, where))
-    raise Unsupported(f"{word.upper()} as text; use Table.{word}")
+    if kind == "MergeIntoTable":
+        return _merge(catalog, text, plan)
+    raise Unsupported(f"{word.upper()}: {kind}")
+
+
+def _alias(node) -> str | None:
+    return node.alias() if node.getClass().getSimpleName() == "SubqueryAlias" else None
+
+
+def _merge(catalog, text: str, plan) -> DataFrame:
+    target = _relation(plan.targetTable())
+    t = catalog.table(_name(_parts(target)))
+    given = plan.sourceTable()
+    inner = given.child() if _alias(given) else given
+    if inner.getClass().getSimpleName() == "UnresolvedRelation":
+        name = _name(_parts(inner))
+        source = catalog.read(name) if catalog.table_exists(Identifier.parse(name, catalog.current)) else catalog.spark.table(name)
+        using = _alias(given) or _parts(inner)[-1]
+    else:
+        m = re.search(r"\busing\s*\(", text, re.I)
+        source = query(catalog, text[m.end() : _closing(text, m.end() - 1)])
+        using = _alias(given)
+    names = t.schema.names
+    own = {c.lower() for c in source.columns}
+
+    def clause(action) -> tuple:
+        condition = F.expr(action.condition().get().sql()) if action.condition().isDefined() else None
+        kind = action.getClass().getSimpleName()
+        if kind == "DeleteAction":
+            return condition, None
+        if kind in ("UpdateStarAction", "InsertStarAction"):
+            return condition, {n: F.col(f"`{using}`.`{n}`") for n in names if n.lower() in own}
+        return condition, {a.key().sql().split(".")[-1].strip("`"): F.expr(a.value().sql()) for a in _items(action.assignments())}
+
+    if _items(plan.notMatchedBySourceActions()):
+        raise Unsupported("WHEN NOT MATCHED BY SOURCE")
+    matched, unmatched = [clause(x) for x in _items(plan.matchedActions())], [clause(x) for x in _items(plan.notMatchedActions())]
+    return _snapshot(catalog, t.merge_clauses(source, F.expr(plan.mergeCondition().sql()), matched, unmatched, _alias(plan.targetTable()) or t.identifier.table, using))
 
 
 def _relation(node):

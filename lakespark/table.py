@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, replace
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import CommitConflict, SchemaError, Unsupported
@@ -256,27 +256,55 @@ class Table:
         return self.rewrite(change, where, **commit)
 
     def merge(self, source: DataFrame, on: Sequence[str], update: dict[str, Column] | bool = True, insert: bool = True, delete: Column | None = None, **commit) -> Snapshot | None:
-        """Joins rows with ``source`` (aliased ``s``; unique by ``on``) and updates, deletes (if ``delete`` is true) or
+        """Joins rows (``t``) with ``source`` (``s``; unique by ``on``) and updates, deletes (if ``delete`` is true) or
         inserts.  ``update`` is True for all fields of the source, False for none, or new values by field."""
+        condition = F.lit(True)
+        for c in on:
+            condition = condition & F.col(f"t.`{c}`").eqNullSafe(F.col(f"s.`{c}`"))
+        given = {c.lower() for c in source.columns}
+        matched: list[tuple[Column | None, dict[str, Column] | None]] = [(delete, None)] if delete is not None else []
+        if update:
+            matched.append((None, {n: F.col(f"s.`{n}`") for n in self.schema.names if n.lower() in given} if update is True else update))
+        new = [(None, {n: F.col(f"s.`{n}`") for n in self.schema.names if n.lower() in given})] if insert else []
+        return self.merge_clauses(source, condition, matched, new, **commit)
+
+    def merge_clauses(self, source: DataFrame, on: Column, matched: list[tuple[Column | None, dict[str, Column] | None]], unmatched: list[tuple[Column | None, dict[str, Column]]], target: str = "t", using: str = "s", **commit) -> Snapshot | None:
+        """MERGE: for each row with a partner the first clause of ``matched`` whose condition holds sets fields, or takes
+        the row away (None); rows of the source without one are inserted by the first clause of ``unmatched`` that
+        holds.  A row that meets two of the source is an error."""
         schema, last = self.schema, self.log.latest()
-        if last is None:
-            return self.write(source, **commit) if insert else None
-        files = list(self.log.files(last).values())
+        files = list(self.log.files(last).values()) if last else []
         rows = (read_merged if schema.primary_key else read_rows)(self.spark, self.root, files, schema)
-        t, s = rows.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
-        both = t.join(s, [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in on], "full" if insert else "left")
-        matched = F.col("_t").isNotNull() & F.col("_s").isNotNull()
-        if delete is not None:
-            both = both.where(~(matched & F.coalesce(delete, F.lit(False))))
-        given = {c.lower() for c in source.columns}
+        t = rows.withColumn("_t", F.monotonically_increasing_id()).alias(target)
+        s = source.withColumn("_s", F.lit(True)).alias(using)
+        both = t.join(s, on, "full" if unmatched else "left")
+        pair, lone = F.col("_t").isNotNull() & F.col("_s").isNotNull(), F.col("_t").isNull()
+        which = F.when(F.lit(False), F.lit(0))
+        for k, (condition, _) in enumerate(matched):
+            which = which.when(pair & (F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))), k)
+        for k, (condition, _) in enumerate(unmatched, len(matched)):
+            which = which.when(lone & (F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))), k)
+        both = both.withColumn("_clause", which.otherwise(F.when(lone, -2).otherwise(-1)))
+        gone = [-2, *(k for k, (_, sets) in enumerate(matched) if sets is None)]
         columns = []
         for f in schema.fields:
-            old = F.col(f"t.{f.name}")
-            new = F.col(f"s.{f.name}") if f.name.lower() in given else F.lit(None).cast(f.data_type)
-            changed = (new if f.name.lower() in given else old) if update is True else update.get(f.name, old) if update else old
-            columns.append(F.when(matched, changed).when(F.col("_t").isNull(), new).otherwise(old).cast(f.data_type).alias(f.name))
-        added = write_files(conform(both.select(*columns), schema), self.root, schema, self.store)
-        return Write(self, added, files, OVERWRITE, last.id).commit(**commit)
+            value = F.when(F.col("_clause") == -1, F.col(f"{target}.`{f.name}`"))
+            for k, (_, sets) in enumerate([*matched, *unmatched]):
+                if sets is not None:
+                    kept = F.col(f"{target}.`{f.name}`") if k < len(matched) else F.lit(None)
+                    value = value.when(F.col("_clause") == k, {schema[n].name: c for n, c in sets.items()}.get(f.name, kept).cast(f.data_type))
+            columns.append(value.cast(f.data_type).alias(f.name))
+        # rows with several partners are rare; only if there are any do rows have to be gathered by target row
+        several = both.where(pair).groupBy("_t").agg(F.count("*").alias("n"), F.sum((F.col("_clause") >= 0).cast("int")).alias("hits")).where("n > 1")
+        worst = several.orderBy(F.desc("hits")).head()
+        if worst and worst.hits > 1:
+            raise SchemaError("a row of the table meets two of the source")
+        if worst:
+            key = F.coalesce(F.col("_t"), -1 - F.monotonically_increasing_id())
+            both = both.withColumn("_key", key).withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_clause")))).where("_place = 1")
+        checked = both.where(~F.col("_clause").isin(gone)).select(*columns)
+        added = write_files(conform(checked, schema), self.root, schema, self.store)
+        return Write(self, added, files, OVERWRITE, last.id if last else None).commit(**commit)
 
     # maintenance
 

@@ -104,3 +104,16 @@ def test_databases(catalog, sql):
         sql("DROP DATABASE shop")
     sql("DROP DATABASE shop CASCADE")
     assert rows(sql("SHOW DATABASES")) == [("default",)]
+
+
+def test_merge(catalog, sql):
+    sql("CREATE TABLE news (id INT NOT NULL, name STRING, age INT)")
+    sql("INSERT INTO news VALUES (1, 'A', 1), (2, 'gone', 2), (8, 'new', 8), (9, 'skipped', 9)")
+    sql("MERGE INTO users USING news AS n ON users.id = n.id WHEN MATCHED AND n.name = 'gone' THEN DELETE WHEN MATCHED THEN UPDATE SET name = concat(users.name, n.name) WHEN NOT MATCHED AND n.id < 9 THEN INSERT *")
+    assert rows(sql("SELECT * FROM users")) == [(1, "AliceA", 25), (3, "Charlie", 35), (4, "David", 28), (5, "Eve", 22), (8, "new", 8)]
+    sql("MERGE INTO users u USING (SELECT id, name, 0 AS age FROM news WHERE id <> 2) s ON u.id = s.id WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT (id, name) VALUES (s.id, upper(s.name))")
+    assert rows(sql("SELECT * FROM users WHERE id IN (1, 8, 9)")) == [(1, "A", 0), (8, "new", 0), (9, "SKIPPED", None)]
+    with pytest.raises(errors.SchemaError):
+        sql("MERGE INTO users u USING (SELECT 1 AS id UNION ALL SELECT 1) s ON u.id = s.id WHEN MATCHED THEN DELETE")
+    sql("MERGE INTO users u USING (SELECT 1 AS id UNION ALL SELECT 1) s ON u.id = s.id WHEN MATCHED AND u.name = 'none' THEN DELETE")
+    assert rows(sql("SELECT count(*), count(DISTINCT id) FROM users")) == [(6, 6)]

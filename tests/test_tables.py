@@ -458,3 +458,14 @@ def test_streams(catalog, spark, tmp_path):
     last = follow(t, lambda df, n: seen.append((n, df.count())), state=state)
     assert last == t.log.latest().id and len(seen) == 4
     assert follow(t, lambda df, n: seen.append(n), state=state) == last and len(seen) == 4
+
+
+def test_orc_files_beside_parquet(catalog, spark):
+    t = catalog.create_table("o", "id int, s string", ["id"], options={"file.format": "orc"})
+    t.write(spark.createDataFrame([(1, "a"), (2, "b")], t.schema.struct))
+    t.set_options(**{"file.format": "parquet"})
+    t.write(spark.createDataFrame([(2, "c"), (3, "d")], t.schema.struct))
+    assert rows(t.read()) == [(1, "a"), (2, "c"), (3, "d")] and {f.path.rsplit(".", 1)[1] for f in t.plan()} == {"orc", "parquet"}
+    t.set_options(**{"file.format": "sst"})
+    with pytest.raises(errors.Unsupported):
+        t.write(spark.createDataFrame([(4, "e")], t.schema.struct))
