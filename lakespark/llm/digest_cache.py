@@ -58,12 +58,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
     version = tokenizer_version(tokenizer)
     texts = renamed(docs, doc_id=key, text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("digest", F.unhex(F.sha2("text", 256)))
     keys = stored(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    missing = keys.join(cached_counts(spark, cache, version), "digest", "left_anti")
+    # counts are stored before they are joined: then only the join needs rows of a digest together, and adaptive
+    # execution can split one that a large part of all rows share
+    missing = keys.join(stored(cached_counts(spark, cache, version), "known-counts"), "digest", "left_anti")
     # one row stands for each distinct missing text; only that row's text is encoded
     chosen = missing.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).hint("shuffle_hash")
     same = (texts["digest"] == chosen["digest"]) & texts["doc_id"].eqNullSafe(chosen["doc_id"])
     counts = texts.join(chosen, same, "left_semi").select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows can be repeated with their ids
     counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    found = keys.join(cached_counts(spark, cache, version), "digest")
+    found = keys.join(stored(cached_counts(spark, cache, version), "counts"), "digest")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
