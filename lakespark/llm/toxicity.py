@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; texts whose labels are not looked at are the unlabelled.  A linear
-classifier over the words that a text holds minimises the class-prior-corrected risk
+classifier over the words that a text holds, and over beginnings of words, so that inflected forms count together,
+minimises the class-prior-corrected risk
 ``prior * P[loss(f)] + max(0, U[loss(-f)] - prior * P[loss(-f)])``; where the second part falls below zero,
 its gradient is reversed.  The sample that is fitted on is bounded by parameters.
 """
@@ -10,11 +11,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, renamed, ship, stored, with_column
@@ -22,24 +23,55 @@ from .common import held_out, renamed, ship, stored, with_column
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Lengths of the beginnings of words that are features.
+STEMS = range(3, 9)
+#: Words whose features a worker keeps.
+_KNOWN = 300_000
+
+
 def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def features_of(word: str) -> list[str]:
+    """The word, and its beginnings with a hyphen."""
+    return [word, *(f"{word[:k]}-" for k in STEMS if len(word) > k)]
+
+
+def _all_features(words: str) -> Column:
+    """The same for an array of words, each once."""
+    stems = ", ".join(f"case when char_length(w) > {k} then concat(left(w, {k}), '-') end" for k in STEMS)
+    return F.expr(f"array_distinct(filter(flatten(transform({words}, w -> array(w, {stems}))), f -> f is not null))")
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+
+    def found(self, text: str | None) -> set[str]:
+        """The features with weights that a text holds."""
+        known, held = self.known, set()
+        if len(known) > _KNOWN:
+            known.clear()
+        for w in words_of(text):
+            got = known.get(w)
+            if got is None:
+                got = known[w] = tuple(f for f in features_of(w) if f in self.weights)
+            if got:
+                held.update(got)
+        return held
 
     def logit(self, text: str | None) -> float:
-        return self.bias + sum(map(self.weights.__getitem__, sorted(words_of(text) & self.weights.keys())))
+        return self.bias + sum(map(self.weights.__getitem__, sorted(self.found(text))))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 1000, rate: float = 0.05, decay: float = 1e-5, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear classifier, by Adam on the non-negative risk with the logistic loss."""
     d = positive.shape[1]
     theta, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
@@ -59,20 +91,46 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return theta[:d], float(theta[d])
 
 
+def screen(positive: np.ndarray, unlabelled: np.ndarray, prior: float, price: float = 10.0, share: float = 0.002) -> list[int]:
+    """Features that tell something new, one after the other.
+
+    Of texts that no chosen feature holds yet, a feature gains the share of all texts that it finds among
+    positives, less ``price`` times what unlabelled texts hold beyond that (and beyond a standard error).  It must
+    find a ``share`` of the positives, and four.
+    """
+    chosen: list[int] = []
+    p, u = np.ones(len(positive), bool), np.ones(len(unlabelled), bool)
+    while positive.shape[1] > len(chosen):
+        new = positive[p].sum(0, dtype=np.int64)
+        right = prior * new / len(positive)
+        held = unlabelled[u].sum(0, dtype=np.int64)
+        wrong = np.maximum((held - np.sqrt(held)) / len(unlabelled) - right, 0)
+        gain = np.where(new >= max(4, share * len(positive)), right - price * wrong, 0)
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            break
+        chosen.append(best)
+        p &= ~positive[:, best]
+        u &= ~unlabelled[:, best]
+    return chosen
+
+
 def fit(names: list[str], positive: list[list[str]], unlabelled: list[list[str]], prior: float) -> Model:
-    """A model over the words ``names``, from the words that each text holds of them."""
+    """A model over those of the features ``names`` that pass ``screen``, from the ones that each text holds."""
     if not names or not positive or not unlabelled:
         return Model({}, float(np.log(prior / (1 - prior))))
     place = {w: k for k, w in enumerate(names)}
 
     def matrix(rows: list[list[str]]) -> np.ndarray:
-        m = np.zeros((len(rows), len(names)), np.float32)
+        m = np.zeros((len(rows), len(names)), bool)
         for k, words in enumerate(rows):
-            m[k, [place[w] for w in words]] = 1
+            m[k, [place[w] for w in words]] = True
         return m
 
-    weights, bias = fit_nnpu(matrix(positive), matrix(unlabelled), prior)
-    return Model(dict(zip(names, weights.tolist())), bias)
+    p, u = matrix(positive), matrix(unlabelled)
+    chosen = screen(p, u, prior)
+    weights, bias = fit_nnpu(p[:, chosen].astype(np.float32), u[:, chosen].astype(np.float32), prior)
+    return Model(dict(zip((names[k] for k in chosen), weights.tolist())), bias)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +139,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.string()))], ["toxic", "words"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000, prior: float | None = None, vocabulary: int = 1000, sure: float = 9.0, explained: float = 0.4) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 12_000, prior: float | None = None, vocabulary: int = 1000, sure: float = 9.0, explained: float = 0.4) -> Model:
     """Fits on at most ``positives`` toxic texts and ``unlabelled`` others, neither from held-out rows.
 
-    The words looked at are the up to ``vocabulary`` ones that positives hold so much more often than the others
-    that chance is below exp(-``sure``), and of whose use by the others positives explain the share ``explained``.  The prior is the share of toxic ones among the labels that may be learnt from,
+    The features looked at are the up to ``vocabulary`` ones that positives hold so much more often than the others
+    that chance is below exp(-``sure``), and of whose use by the others positives explain the part ``explained``.  The prior is the share of toxic ones among the labels that may be learnt from,
     unless given.  Rows are chosen by a hash of their ids.  Labels that are null count as none; without
     positives every score is the prior.
     """
@@ -94,25 +152,26 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     known = renamed(labels, doc_id=F.col("doc_id").cast("long"), toxic=F.col("toxic").cast("int")).where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
-        share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-        prior = float(np.clip(0.1 if share is None else share, 0.001, 0.5))
+        mean = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+        prior = float(np.clip(0.1 if mean is None else mean, 0.001, 0.5))
     mixed = F.xxhash64("doc_id", F.lit(5))
     toxic = known.where("toxic = 1").orderBy(mixed).limit(positives).select("doc_id", F.lit(1).alias("toxic"))
-    others = rows.select("doc_id").join(toxic.select("doc_id"), "doc_id", "left_anti").orderBy(mixed).limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("toxic"))
+    # the unlabelled stand for all texts, toxic ones among them
+    others = rows.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(6))).limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("toxic"))
     chosen = toxic.unionAll(others)  # at most positives + unlabelled ids
-    texts = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "toxic"])
     sample = stored(texts.select("toxic", "text").mapInArrow(_sets, "toxic int, words array<string>"), "toxicity-sample")
     sizes = dict(sample.groupBy("toxic").count().collect())
     n, k = sizes.get(1, 0), sizes.get(0, 0)
     if not n or not k:
         return fit([], [], [], prior)
-    held = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    held = sample.select("toxic", F.explode(_all_features("words")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     # a Poisson tail: how unlikely so many positives would hold a word if they were like the others
     usual = n * (F.col("b") + 1) / (k + 1)
     held = held.withColumn("z", F.col("a") * F.log(F.col("a") / usual) - (F.col("a") - usual))
-    told = (F.col("a") > usual) & (F.col("z") >= sure) & (prior * F.col("a") / n >= explained * F.col("b") / k)
+    told = (F.col("a") >= 5) & (F.col("a") > usual) & (F.col("z") >= sure) & (prior * F.col("a") / n >= explained * F.col("b") / k)
     names = [r[0] for r in held.where(told).orderBy(F.desc("z"), "word").limit(vocabulary).collect()]
-    few = sample.select("toxic", F.array_intersect("words", F.array(*map(F.lit, names)).cast("array<string>")).alias("words")).toArrow()
+    few = sample.select("toxic", F.array_intersect(_all_features("words"), F.array(*map(F.lit, names)).cast("array<string>")).alias("words")).toArrow()
     flags, found = few.column("toxic").to_pylist(), few.column("words").to_pylist()
     return fit(names, [x for x, t in zip(found, flags) if t], [x for x, t in zip(found, flags) if not t], prior)
 
