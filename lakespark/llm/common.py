@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["held_out", "renamed", "scratch", "ship", "stored", "table", "with_column"]
+__all__ = ["held_out", "release", "renamed", "scratch", "ship", "stored", "table", "with_column"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="lakespark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/lakespark/{name}-{uuid.uuid4().hex}"
+    return f"{root}/lakespark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has put into the shared folder; results that still read it must be written before."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/lakespark/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
