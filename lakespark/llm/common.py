@@ -8,11 +8,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import ship as _ship
 
 __all__ = ["held_out", "release", "renamed", "scratch", "ship", "stored", "table", "with_column"]
 
 
+#: Rows of an Arrow batch, where the session has Spark's own number: texts are long, and workers hold a batch whole.
+BATCH_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the executors' Python ready: the library's files, and batches of a size that fits long texts."""
+    _ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
