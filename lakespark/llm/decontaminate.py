@@ -20,9 +20,7 @@ WINDOW, LEAST_WORDS = 8, 5
 LITERAL = 4
 _NUMBER, _UNIT, _NAME, _REST = "\x01", "\x02", "\x03", "\x04"
 _UNITS = "percent|dollars?|cents?|euros?|pounds?|meters?|metres?|km|kilometers?|kilometres?|cm|mm|miles?|feet|foot|inch|inches|yards?|kg|kilograms?|grams?|g|mg|ounces?|lbs?|tons?|liters?|litres?|ml|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|mph|kmh|watts?|volts?"
-#: Joins the hashes of two runs; the lowest bit tells whether a placeholder is in them.
-_STEP = "(a, b) -> shiftleft(xxhash64(a, b), 1) | ((a | b) & 1L)"
-#: 64-bit words of the bitmap.
+#: 64-bit words of the bitmap; a power of two.
 _BITMAP = 4096
 
 
@@ -49,10 +47,9 @@ def _with_words(rows: DataFrame) -> DataFrame:
 
 def _hashed(rows: DataFrame, sizes: list[int]) -> DataFrame:
     """Adds, for each form, hashes of its runs of 1, 2 and 4 words, each made from the shorter ones, and of the asked sizes."""
-    run = lambda a, b, by: f"zip_with({a}, slice({b}, {by + 1}, size({b})), {_STEP})"
+    run = lambda a, b, by: f"zip_with({a}, slice({b}, {by + 1}, size({b})), (a, b) -> xxhash64(a, b))"
     for f in _FORMS:
-        one = lambda t: F.when(t < _REST, F.shiftleft(F.xxhash64(F.substring(t, 1, 1)), 1).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.shiftleft(F.xxhash64(t), 1))
-        rows = rows.withColumn(f"{f}1", F.transform(f, one))
+        rows = rows.withColumn(f"{f}1", F.expr(f"transform({f}, t -> xxhash64(case when t < '{_REST}' then left(t, 1) else t end))"))
         rows = rows.withColumn(f"{f}2", F.expr(run(f"{f}1", f"{f}1", 1)))
         rows = rows.withColumn(f"{f}4", F.expr(run(f"{f}2", f"{f}2", 2)))
         for n in sizes:
@@ -64,7 +61,7 @@ def _hashed(rows: DataFrame, sizes: list[int]) -> DataFrame:
 def _windows(rows: DataFrame, sizes: list[int], keep: str = "true") -> DataFrame:
     """A row for each window whose hash ``h`` passes ``keep``: its place and its words."""
     per_size = [
-        f"transform(filter(transform({f}w{n}, (h, i) -> struct(h as h, i as place)), x -> {keep.replace('$h', 'x.h')}), x -> struct(x.h as h, x.place as place, slice({f}, x.place + 1, {n}) as slots))"
+        f"transform(array_compact(transform({f}w{n}, (h, i) -> case when {keep} then i end)), i -> struct(element_at({f}w{n}, i + 1) as h, i as place, slice({f}, i + 1, {n}) as slots))"
         for f in _FORMS
         for n in sizes
     ]
@@ -95,13 +92,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
     windows = stored(windows.select("item", "item_id", "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
     sizes_of = windows.groupBy("item").agg(F.count_distinct("item_place").alias("item_windows"))
     windows = windows.join(sizes_of, "item")
-    # bit (h >> 1) of the bitmap; at most _BITMAP rows come to the driver
-    bits = windows.select(F.expr(f"pmod(shiftright(h, 1), {_BITMAP})").alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 13), 64) as int))").alias("bit"))
+    # twelve bits of a hash choose a word of the bitmap and six more a bit; at most _BITMAP rows come to the driver
+    bits = windows.select(F.expr(f"cast(h & {_BITMAP - 1}L as int) as word"), F.expr("shiftleft(1L, cast(shiftright(h, 12) & 63L as int)) as bit"))
     words = [0] * _BITMAP
     for word, bit in bits.groupBy("word").agg(F.bit_or("bit")).collect():
         words[word] = bit
     bitmap = f"cast(split('{','.join(map(str, words))}', ',') as array<bigint>)"
-    keep = f"(shiftright(element_at({bitmap}, cast(pmod(shiftright($h, 1), {_BITMAP}) as int) + 1), cast(pmod(shiftright($h, 13), 64) as int)) & 1L) = 1L"
+    keep = f"getbit(get({bitmap}, cast(h & {_BITMAP - 1}L as int)), cast(shiftright(h, 12) & 63L as int)) = 1"
     if windows.count() <= broadcast:
         windows = F.broadcast(windows)
     rows = renamed(docs, doc_id=key, text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
