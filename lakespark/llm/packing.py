@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import renamed, scratch, ship
-from .tokens import crc32, encoder
+from .tokens import crc32, encoder, gathered
 
 BINS = "sequence_id long, size int, doc_id array<long>, piece array<int>, start array<long>, length array<int>, ids_crc32 array<long>"
 _LISTS = ("doc_id", "piece", "start", "length", "ids_crc32")
@@ -71,9 +71,8 @@ def _first(tokenizer: str, end: int, capacity: int, pieces: int):
             held = []
             return out
 
-        for b in batches:
-            docs = b.column("doc_id").to_pylist()
-            for first, last, ids, counts in own.encode_in_blocks(b.column("text").to_pylist()):
+        for docs, texts in gathered(batches):
+            for first, last, ids, counts in own.encode_in_blocks(texts):
                 ids = np.insert(ids, np.cumsum(counts), end)
                 ends = np.cumsum(counts + 1)
                 for doc, stop, n in zip(docs[first:last], ends.tolist(), (counts + 1).tolist()):

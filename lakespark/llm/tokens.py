@@ -11,13 +11,14 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a worker keeps; on more it starts anew, so its memory is bounded.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 
 #: Punctuation that both pre-tokenizers part from a word before it.
 _ENDS = frozenset('.,!?;:|')
@@ -44,10 +45,11 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(name: str) -> "Encoder":
-    """The worker's encoder for a tokenizer file; kept between tasks."""
-    if name not in _loaded:
-        _loaded[name] = Encoder(vocabulary_path(name))
+def encoder(name: str, entries: int = CACHE_ENTRIES) -> "Encoder":
+    """The worker's encoder for a tokenizer file; kept between tasks, and the only one that is."""
+    if name not in _loaded or _loaded[name].entries != entries:
+        _loaded.clear()
+        _loaded[name] = Encoder(vocabulary_path(name), entries)
     return _loaded[name]
 
 
@@ -217,7 +219,7 @@ class Encoder:
                 counts[k] = len(e.ids)
         return ids, counts
 
-    def encode_in_blocks(self, texts: list[str | None], characters: int = 8_000_000):
+    def encode_in_blocks(self, texts: list[str | None], characters: int = 4_000_000):
         """(first, last, ids, counts) for blocks of texts of a bounded size (one very long text may exceed it)."""
         at = 0
         while at < len(texts):
@@ -229,6 +231,23 @@ class Encoder:
             at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], characters: int = 4_000_000) -> Iterator[tuple[list, list[str | None]]]:
+    """doc_id and text of record batches, put together up to a size: chunks that texts share are then looked up once."""
+    docs: list = []
+    texts: list[str | None] = []
+    size = 0
+    for b in batches:
+        more = b.column("text").to_pylist()
+        docs += b.column("doc_id").to_pylist()
+        texts += more
+        size += sum(len(t) for t in more if t)
+        if size >= characters:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def crc32(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())

@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import renamed, ship
-from .tokens import crc32, encoder
+from .tokens import crc32, encoder, gathered
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
 BLOCK = 512
+#: Distinct chunks that a writer keeps, and characters that it encodes at once.
+CACHE, BLOCK_CHARACTERS = 1_000_000, 8_000_000
 
 
 class WaveletMatrix:
@@ -165,7 +167,7 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
 
 def _write(tokenizer: str, end: int | None, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, shard = encoder(tokenizer, CACHE), TaskContext.get().partitionId(), 0
         bits = max(own.vocabulary - 1, end or 0, 1).bit_length()
         keys: list[int | None] = []
         counts: list[np.ndarray] = []
@@ -180,9 +182,8 @@ def _write(tokenizer: str, end: int | None, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
 
         names = ["part", "shard", "n_docs", "n_tokens", "payload"]
-        for b in batches:
-            docs = b.column("doc_id").to_pylist()
-            for first, last, got, n in own.encode_in_blocks(b.column("text").to_pylist()):
+        for docs, texts in gathered(batches, BLOCK_CHARACTERS):
+            for first, last, got, n in own.encode_in_blocks(texts, BLOCK_CHARACTERS):
                 if end is not None:
                     got, n = np.insert(got, np.cumsum(n), end), n + 1
                 keys += docs[first:last]
