@@ -90,7 +90,7 @@ class Encoder:
         others: dict[str, None] = {}
         parts: list[tuple[str, str, str]] = []
         for p in pieces:
-            core = p[1:] if p[:1] == _MARK else p
+            core = p[1:] if self.spaced and p[:1] == _MARK else p
             if core.isalpha():
                 words[p] = None
             elif self.spaced and core != "\n" and (not core or core[0].isspace() or core[-1].isspace() or _MARK in core):
@@ -209,8 +209,9 @@ class Encoder:
         ids = all_ids[place]
         del place
         whole = np.unique(np.searchsorted(last, np.flatnonzero(chunk == 0), side="right") - 1)
-        if not self.spaced:  # special tokens are told by case
-            whole = np.union1d(whole, [k for k, t in enumerate(texts) if t and "<|" in t]).astype(np.int64)
+        # the mark itself in a text; special tokens, which are told by case
+        odd = _MARK if self.spaced else "<|"
+        whole = np.union1d(whole, [k for k, t in enumerate(texts) if t and odd in t]).astype(np.int64)
         if len(whole):
             at = np.concatenate([[0], np.cumsum(counts)])
             own = dict(zip(whole.tolist(), self.tokenizer.encode_batch_fast([texts[k] or "" for k in whole], add_special_tokens=False)))

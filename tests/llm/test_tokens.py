@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from lakespark.llm.tokens import Encoder, crc32, vocabulary_path
 
 ODD = ["", " ", "  a", "a\n b", "a \n\nb", "x\t y", "foo<|endoftext|> bar", " a <|endoftext|>  ", "a\n\tb", "don't  stop", "a\nb\nc d\n", "\n", "İx İ. foo Σas. a!, b.. c..\nX\nY\n", "a \x1cb\x85c", "a\x00b c", "\x00 a", "1, 2. ½. x",
-       "日本語。 你好. ٣٤ x", "ab\xa0\ncd e", "<|startoftext|> x<|endoftext|>. y", "<|STARTOFTEXT|> A", "Á b́. ́", "'s 't.foo. it's. o'reilly\nthe\r\nfoo", "İ, ı. x", "foo.\nBar, baz.\n\nqux. ", "a\x00. b"]
+       "日本語。 你好. ٣٤ x", "ab\xa0\ncd e", "<|startoftext|> x<|endoftext|>. y", "<|STARTOFTEXT|> A", "Á b́. ́", "'s 't.foo. it's. o'reilly\nthe\r\nfoo", "İ, ı. x", "foo.\nBar, baz.\n\nqux. ", "a\x00. b", "\x00A", "x \x00A. y", "\x00 A"]
 
 
 @pytest.fixture(scope="module", params=["byte_bpe_50k.json", "word_bpe_49k.json"])
