@@ -8,7 +8,7 @@ from lakespark.llm.common import stored, table
 from lakespark.llm.decontaminate import remove_contaminated
 from lakespark.llm.packing import pack_documents
 from lakespark.llm.secret_scan import redact
-from lakespark.llm.simhash import one_of_each
+from lakespark.llm.shingles import one_of_each_similar
 from lakespark.llm.toxicity import remove_toxic
 
 
@@ -17,7 +17,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, words=3, within=3)
+    return one_of_each_similar(docs, words=5, least=16)  # a Jaccard similarity of 16 / 20
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

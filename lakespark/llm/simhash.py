@@ -9,7 +9,7 @@ found, which loses no component.  Components are then found over all leaves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -268,19 +268,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, within: int = 3, key: str =
 def one_of_each(docs: DataFrame, words: int = 3, within: int = 3, **limits: int) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest id; any one of it, if the id is repeated or null."""
     rows, whole = _classes(docs, words, within, "doc_id", "text", limits)
-    heads = whole.where(F.col("component_id") < _NO_ID).select(F.col("component_id").alias("__head")).distinct()
+    return heads(docs, rows, whole, lambda df: fingerprint_table(df, words))
+
+
+def heads(docs: DataFrame, rows: DataFrame, whole: DataFrame, prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with one row of each component, by (doc_id, fp) of every row and (fp, component_id); ``prints`` gives (doc_id, fp) of further rows."""
+    first_ids = whole.where(F.col("component_id") < _NO_ID).select(F.col("component_id").alias("__head")).distinct()
     again = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__head"))
     on = F.col("doc_id") == F.col("__head")
     if not again.head(1):
-        kept = docs.join(heads.hint("shuffle_hash"), on, "left_semi")
+        kept = docs.join(first_ids.hint("shuffle_hash"), on, "left_semi")
     else:
-        kept = docs.join(heads.join(again, "__head", "left_anti").hint("shuffle_hash"), on, "left_semi")
-        kept = kept.unionAll(docs.join(heads.join(again, "__head", "left_semi").hint("shuffle_hash"), on, "left_semi").dropDuplicates(["doc_id"]))
+        kept = docs.join(first_ids.join(again, "__head", "left_anti").hint("shuffle_hash"), on, "left_semi")
+        kept = kept.unionAll(docs.join(first_ids.join(again, "__head", "left_semi").hint("shuffle_hash"), on, "left_semi").dropDuplicates(["doc_id"]))
     if rows.where("doc_id is null").head(1):
         nameless = docs.where("doc_id is null").withColumn("__key", F.coalesce("text", F.lit("")))
-        prints = fingerprint_table(nameless.select(F.xxhash64("__key").alias("doc_id"), "text"), words).distinct()
+        keyed = prints(nameless.select(F.xxhash64("__key").alias("doc_id"), "text")).distinct()
         first = whole.where(F.col("component_id") >= _NO_ID).groupBy("component_id").agg(F.min("fp").alias("fp"))
-        keys = prints.join(first, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__head")).select("__head")
+        keys = keyed.join(first, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__head")).select("__head")
         nameless = nameless.withColumn("__key", F.xxhash64("__key"))
         kept = kept.unionAll(nameless.join(keys, nameless["__key"] == keys["__head"], "left_semi").dropDuplicates(["__key"]).drop("__key"))
     return kept
