@@ -3,8 +3,9 @@
 Numbers, units after them, and names (words of one capital and small letters) become typed placeholders.
 Windows of canonical words are joined by hash with those of the benchmark; a bitmap of the benchmark's
 hashes, of fixed size, sorts out nearly all others before they become rows.  Windows that line up (same
-distance between both places) count together if their slots are consistent: a benchmark value always meets
-the same value in the document.  So verbatim passages are found, and questions with other values as well.
+distance between both places) count together if they are verbatim, or if the slots of neighbouring ones are
+consistent: a benchmark value always meets the same value in the document.  So verbatim passages are found,
+whatever the rest of the copy holds, and questions with other values as well.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
     """A row for each document and benchmark item that it holds: ``row`` (a hash of the document's id and
     text), doc_id, item_id, n_windows, item_windows, place (in words) and reparameterised.
 
-    A pair counts if ``enough`` windows line up consistently (13 words; all windows, if the item has
+    A pair counts if ``enough`` windows line up verbatim, or neighbouring ones consistently (13 words; all windows, if the item has
     fewer).  Items of fewer than five words, or none but placeholders, can't be told and never match.  Null texts are empty; repeated documents
     or items count once; null ids are kept; without documents or items there are no rows.  The
     benchmark's windows are broadcast only if there are at most ``broadcast`` of them.
@@ -104,10 +105,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
     rows = renamed(docs, doc_id=key, text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     hits = _windows(_with_words(rows), sizes, keep).join(windows, "h").where(f"{_canonical('slots')} = {_canonical('item_slots')}")
     pairs = F.expr(f"filter(zip_with(item_slots, slots, (b, d) -> struct(b as b, d as d)), p -> p.b < '{_REST}')")
-    lines = hits.withColumn("pairs", pairs).groupBy("row", "doc_id", "item", "item_id", "item_windows", (F.col("place") - F.col("item_place")).alias("line"))
-    lines = lines.agg(F.count_distinct("item_place").alias("n_windows"), F.min("place").alias("place"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    sound = lines.where(F.col("n_windows") >= F.least("item_windows", F.lit(enough))).where("size(array_distinct(transform(pairs, p -> p.b))) = size(pairs)")
-    found = sound.withColumn("reparameterised", F.expr("exists(pairs, p -> p.b <> p.d)"))
+    lines = hits.select("*", pairs.alias("pairs"), F.expr("case when slots = item_slots then item_place end").alias("verbatim")).groupBy("row", "doc_id", "item", "item_id", "item_windows", (F.col("place") - F.col("item_place")).alias("line"))
+    lines = lines.agg(F.count_distinct("item_place").alias("n_windows"), F.count_distinct("verbatim").alias("n_verbatim"), F.min("place").alias("place"), F.array_sort(F.collect_set(F.struct("item_place", "pairs"))).alias("held"))
+    lines = lines.withColumn("need", F.least("item_windows", F.lit(enough))).where("n_windows >= need")
+    # slots are to be consistent in a stretch of as many neighbouring windows as are needed, not on the whole line
+    lines = lines.withColumn("places", F.expr("array_distinct(transform(held, x -> x.item_place))"))
+    stretch = "array_distinct(flatten(transform(filter(held, x -> x.item_place between places[i] and places[i + need - 1]), x -> x.pairs)))"
+    sound = f"exists(sequence(0, size(places) - cast(need as int)), i -> exists(array({stretch}), s -> size(array_distinct(transform(s, p -> p.b))) = size(s)))"
+    found = lines.where(f"case when n_verbatim >= need then true else {sound.replace('need - 1', 'cast(need as int) - 1')} end").withColumn("reparameterised", F.expr("n_verbatim < need"))
     return found.groupBy("row", "doc_id", "item_id", "item_windows").agg(
         F.max("n_windows").alias("n_windows"), F.min("place").alias("place"), F.min("reparameterised").alias("reparameterised")
     ).select("row", "doc_id", "item_id", "n_windows", "item_windows", "place", "reparameterised")
