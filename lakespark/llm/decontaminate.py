@@ -1,6 +1,7 @@
 """Benchmark decontamination by template windows, in DataFrame expressions only.
 
-Numbers, units after them, and names (words of one capital and small letters) become typed placeholders.
+Numbers, units after them, and names (words of one capital and small letters, and runs of them) become typed
+placeholders, each of them one word whatever its length.
 Windows of canonical words are joined by hash with those of the benchmark; a bitmap of the benchmark's
 hashes, of fixed size, sorts out nearly all others before they become rows.  Windows that line up (same
 distance between both places) count together if they are verbatim, or if the slots of neighbouring ones are
@@ -20,28 +21,38 @@ WINDOW, LEAST_WORDS = 8, 5
 #: Words of a window that aren't placeholders, at least.
 LITERAL = 4
 _NUMBER, _UNIT, _NAME, _REST = "\x01", "\x02", "\x03", "\x04"
+#: Between the names of a run.
+_JOIN = "\x07"
 _UNITS = "percent|dollars?|cents?|euros?|pounds?|meters?|metres?|km|kilometers?|kilometres?|cm|mm|miles?|feet|foot|inch|inches|yards?|kg|kilograms?|grams?|g|mg|ounces?|lbs?|tons?|liters?|litres?|ml|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|mph|kmh|watts?|volts?"
 #: 64-bit words of the bitmap; a power of two.
 _BITMAP = 4096
 
 
 def _tokens(text: Column) -> Column:
-    """Lower-case words; placeholders begin with a character of their type and keep their value."""
-    marked = F.regexp_replace(text, r"[\x01-\x04]", " ")
-    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", f"{_NAME}$0")
-    numbers = F.regexp_replace(marked, r"[0-9]+", f" {_NUMBER}$0 ")
-    numbers = F.regexp_replace(numbers, rf"(\x01[0-9]+ +)(?i:({_UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}$2")
+    """Lower-case words; placeholders begin with a character of their type and keep their value.  A number is one word with
+    its separators, decimals or fraction, and a run of names is one with ``_JOIN`` between them."""
+    marked = F.regexp_replace(text, r"[\x01-\x07]", " ")
+    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", f"{_NAME}$0\x06")
+    marked = F.regexp_replace(marked, r"\x06\s+\x03", _JOIN)
+    numbers = F.regexp_replace(marked, r"(?<=[0-9])(?:[.,/]|\x20(?=[0-9]+/[0-9]))(?=[0-9])", "\x05")
+    numbers = F.regexp_replace(numbers, r"[0-9][0-9\x05]*", f" {_NUMBER}$0 ")
+    numbers = F.regexp_replace(numbers, rf"(\x01[0-9\x05]+ +)(?i:({_UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}$2")
     marked = F.when(text.rlike("[0-9]"), numbers).otherwise(marked)
-    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{N}\x01-\x03]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{N}\x01-\x03\x05\x07]+"), lambda t: t != "")
 
 
-#: Columns of both forms of a text's words: with names as placeholders, and with names as words like others, so that
-#: text in other cases is found as well.
-_FORMS = ("words", "plain")
+#: Columns of the forms of a text's words: with each name as a placeholder, with names as words like others, so that
+#: text in other cases is found as well, and with each run of names as one placeholder (only of texts that have such runs).
+_FORMS = ("words", "plain", "runs")
 
 
 def _with_words(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("words", _tokens(F.col("text"))).drop("text")
+    """Adds the forms, and ``at``: the place in ``runs`` of each word, empty where it is the word's own place."""
+    rows = rows.withColumn("runs", _tokens(F.col("text"))).withColumn("joined", F.expr(f"exists(runs, t -> contains(t, '{_JOIN}'))")).drop("text")
+    apart = f"flatten(transform(runs, t -> case when contains(t, '{_JOIN}') then transform(split(substring(t, 2), '{_JOIN}'), w -> concat('{_NAME}', w)) else array(t) end))"
+    rows = rows.withColumn("words", F.expr(f"case when joined then {apart} else runs end"))
+    rows = rows.withColumn("at", F.expr(f"case when joined then flatten(transform(runs, (t, i) -> array_repeat(i, size(split(t, '{_JOIN}'))))) else cast(array() as array<int>) end"))
+    rows = rows.withColumn("runs", F.expr("case when joined then runs else cast(array() as array<string>) end")).drop("joined")
     plain = F.transform("words", lambda t: F.when((t >= _NAME) & (t < _REST), F.substring(t, 2, 1 << 30)).otherwise(t))
     return rows.withColumn("plain", plain)
 
@@ -60,13 +71,15 @@ def _hashed(rows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def _windows(rows: DataFrame, sizes: list[int], keep: str = "true") -> DataFrame:
-    """A row for each window whose hash ``h`` passes ``keep``: its place and its words."""
+    """A row for each window whose hash ``h`` passes ``keep``: its place in words and among ``runs``, its form and its words."""
+    place = {f: ("i", "coalesce(get(at, i), i)") for f in _FORMS}
+    place["runs"] = ("cast(array_position(at, i) - 1 as int)", "i")
     per_size = [
-        f"transform(array_compact(transform({f}w{n}, (h, i) -> case when {keep} then i end)), i -> struct(element_at({f}w{n}, i + 1) as h, i as place, slice({f}, i + 1, {n}) as slots))"
-        for f in _FORMS
+        f"transform(array_compact(transform({f}w{n}, (h, i) -> case when {keep} then i end)), i -> struct(element_at({f}w{n}, i + 1) as h, {place[f][0]} as place, {place[f][1]} as run_place, {k}Y as form, slice({f}, i + 1, {n}) as slots))"
+        for k, f in enumerate(_FORMS)
         for n in sizes
     ]
-    others = [c for c in rows.columns if c not in _FORMS]
+    others = [c for c in rows.columns if c not in (*_FORMS, "at")]
     return _hashed(rows, sizes).select(*others, F.inline(F.expr(f"concat({', '.join(per_size)})")))
 
 
@@ -85,14 +98,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
     """
     items = renamed(benchmark, item_id=F.col("item_id"), text=F.coalesce(F.col("text"), F.lit(""))).distinct()
     items = stored(_with_words(items.withColumn("item", F.xxhash64(F.col("item_id").cast("string"), "text"))), "benchmark-words")
-    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).where(f"n >= {LEAST_WORDS}").distinct().collect()]
-    sizes = sorted(set(lengths) | {WINDOW})  # at most four
     # an item is cut into windows of one size: the full one, or all of its words
-    own = items.withColumn("own", F.least(F.size("words"), F.lit(WINDOW)))
-    windows = _windows(own, sizes).where(f"size(slots) = own and size(filter(slots, t -> t >= '{_REST}')) >= {LITERAL}")
-    windows = stored(windows.select("item", "item_id", "h", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
-    sizes_of = windows.groupBy("item").agg(F.count_distinct("item_place").alias("item_windows"))
-    windows = windows.join(sizes_of, "item")
+    own = items.withColumn("own", F.least(F.size("words"), F.lit(WINDOW))).withColumn("run_words", F.expr("case when size(runs) > 0 then size(runs) else size(words) end"))
+    own = own.withColumn("run_own", F.least("run_words", F.lit(WINDOW)))
+    lengths = [r[0] for r in own.select(F.explode(F.array("own", "run_own")).alias("n")).where(f"n >= {LEAST_WORDS}").distinct().collect()]
+    sizes = sorted(set(lengths) | {WINDOW})  # at most four
+    windows = _windows(own, sizes).where(f"size(slots) = case when form = 2 then run_own else own end and size(filter(slots, t -> t >= '{_REST}')) >= {LITERAL}")
+    windows = windows.withColumn("starts", F.expr("run_words - run_own"))
+    windows = stored(windows.select("item", "item_id", "h", "form", "starts", F.col("place").alias("item_place"), F.col("run_place").alias("item_run_place"), F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
+    places = [F.expr("count(distinct case when form < 2 then item_place end)").alias("item_windows"), F.expr("count(distinct case when item_run_place <= starts then item_run_place end)").alias("run_windows")]
+    windows = windows.drop("form", "starts").join(windows.groupBy("item").agg(*places), "item")
     # twelve bits of a hash choose a word of the bitmap and six more a bit; at most _BITMAP rows come to the driver
     bits = windows.select(F.expr(f"cast(h & {_BITMAP - 1}L as int) as word"), F.expr("shiftleft(1L, cast(shiftright(h, 12) & 63L as int)) as bit"))
     words = [0] * _BITMAP
@@ -104,13 +119,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
         windows = F.broadcast(windows)
     rows = renamed(docs, doc_id=key, text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     hits = _windows(_with_words(rows), sizes, keep).join(windows, "h").where(f"{_canonical('slots')} = {_canonical('item_slots')}")
-    pairs = F.expr(f"filter(zip_with(item_slots, slots, (b, d) -> struct(b as b, d as d)), p -> p.b < '{_REST}')")
-    lines = hits.select("*", pairs.alias("pairs"), F.expr("case when slots = item_slots then item_place end").alias("verbatim")).groupBy("row", "doc_id", "item", "item_id", "item_windows", (F.col("place") - F.col("item_place")).alias("line"))
-    lines = lines.agg(F.count_distinct("item_place").alias("n_windows"), F.count_distinct("verbatim").alias("n_verbatim"), F.min("place").alias("place"), F.array_sort(F.collect_set(F.struct("item_place", "pairs"))).alias("held"))
-    lines = lines.withColumn("need", F.least("item_windows", F.lit(enough))).where("n_windows >= need")
+    # of a run of names the last one is compared: words before it may be none, such as the first of a sentence
+    value = lambda x: f"case when contains({x}, '{_JOIN}') then concat('{_NAME}', substring_index({x}, '{_JOIN}', -1)) else {x} end"
+    pairs = F.expr(f"transform(filter(zip_with(item_slots, slots, (b, d) -> struct(b as b, d as d)), p -> p.b < '{_REST}'), p -> struct({value('p.b')} as b, {value('p.d')} as d))")
+    # windows line up by words, and by words with runs of names as one, whose numbers of words may differ
+    by = [f"struct({k} as by, {at} - item_{at} as line, item_{at} as spot, least({n}, {enough}) as need)" for k, (at, n) in enumerate((("place", "item_windows"), ("run_place", "run_windows")))]
+    hits = hits.select("*", pairs.alias("pairs"), F.expr(f"inline(array({', '.join(by)}))")).withColumn("verbatim", F.expr("case when slots = item_slots then spot end"))
+    lines = hits.groupBy("row", "doc_id", "item", "item_id", "item_windows", "by", "line", "need")
+    lines = lines.agg(F.count_distinct("spot").alias("n_windows"), F.count_distinct("verbatim").alias("n_verbatim"), F.min("place").alias("place"), F.array_sort(F.collect_set(F.struct("spot", "pairs"))).alias("held"))
+    lines = lines.where("need > 0 and n_windows >= need")
     # slots are to be consistent in a stretch of as many neighbouring windows as are needed, not on the whole line
-    lines = lines.withColumn("places", F.expr("array_distinct(transform(held, x -> x.item_place))"))
-    stretch = "array_distinct(flatten(transform(filter(held, x -> x.item_place between places[i] and places[i + need - 1]), x -> x.pairs)))"
+    lines = lines.withColumn("places", F.expr("array_distinct(transform(held, x -> x.spot))"))
+    stretch = "array_distinct(flatten(transform(filter(held, x -> x.spot between places[i] and places[i + need - 1]), x -> x.pairs)))"
     sound = f"exists(sequence(0, size(places) - cast(need as int)), i -> exists(array({stretch}), s -> size(array_distinct(transform(s, p -> p.b))) = size(s)))"
     found = lines.where(f"case when n_verbatim >= need then true else {sound.replace('need - 1', 'cast(need as int) - 1')} end").withColumn("reparameterised", F.expr("n_verbatim < need"))
     return found.groupBy("row", "doc_id", "item_id", "item_windows").agg(

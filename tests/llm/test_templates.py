@@ -15,5 +15,20 @@ def test_an_edited_value_hides_no_verbatim_run(spark):
 def test_values_are_consistent_in_a_stretch(spark):
     item = "Alice put seven blue stones into the wooden box and then Alice closed the heavy box with a small key before Alice went home to sleep until morning"
     text = item.replace("Alice", "Carol", 2).replace("Alice", "Erin").replace("small key", "large lock")
-    got = leaks(spark, [FILLER + text, item.replace("Alice", "Carol", 1).replace("Alice", "Erin", 1).replace("put", "set").replace("heavy", "light").replace("morning", "evening")], [item])
+    got = leaks(spark, [FILLER + text, item.replace("Alice", "Carol", 1).replace("Alice", "Erin", 1).replace("put", "set").replace("heavy", "light").replace("morning", "evening").replace("key", "lock")], [item])
     assert set(got) == {(0, 0)} and got[0, 0].reparameterised
+
+
+def test_values_of_other_lengths(spark):
+    item = "the shop sold 500 red lamps in Paris last year and each of them cost 3 dollars so how much money did the shop in Paris earn from 500 lamps"
+    swapped = [
+        item.replace("500", "1,250").replace("Paris", "New York"),
+        item.replace("500", "2.5").replace("3 dollars", "1/2 dollars"),
+        item.replace("3 dollars", "1 1/2 dollars").replace("500", "12,000,000"),
+        item.replace("Paris", "Rio De Janeiro"),
+        item.replace("PARIS", "x").lower(),
+    ]
+    long = item.replace("500", "1,250").replace("Paris", "New York")
+    got = leaks(spark, [FILLER + t for t in swapped] + [FILLER * 3], [item, long])
+    assert {(k, i) for k in range(5) for i in (0, 1)} <= set(got) and not any(d == 5 for d, _ in got)
+    assert not got[0, 1].reparameterised and not got[4, 0].reparameterised
