@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import renamed, stored
 
-#: Words of a window; shorter benchmark texts of at least ``LEAST_WORDS`` words are one window.
+#: Words of a window; shorter benchmark texts are one window, and if below ``LEAST_WORDS`` a verbatim one.
 WINDOW, LEAST_WORDS = 8, 5
-#: Words of a window that aren't placeholders, at least.
+#: Words that aren't placeholders in a window that may be re-parameterised, at least; others must be verbatim.
 LITERAL = 4
 _NUMBER, _UNIT, _NAME, _REST = "\x01", "\x02", "\x03", "\x04"
 #: Between the names of a run.
@@ -57,21 +57,26 @@ def _with_words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("plain", plain)
 
 
-def _hashed(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """Adds, for each form, hashes of its runs of 1, 2 and 4 words, each made from the shorter ones, and of the asked sizes."""
+def _hashed(rows: DataFrame, sizes: list[int], exact: list[int] | tuple = ()) -> DataFrame:
+    """Adds, for each form, hashes of its runs of 1, 2 and 4 words, each made from the shorter ones, and of the asked sizes
+    (those of ``exact`` for the plain form only)."""
     run = lambda a, b, by: f"zip_with({a}, slice({b}, {by + 1}, size({b})), (a, b) -> xxhash64(a, b))"
     for f in _FORMS:
         rows = rows.withColumn(f"{f}1", F.expr(f"transform({f}, t -> xxhash64(case when t < '{_REST}' then left(t, 1) else t end))"))
         rows = rows.withColumn(f"{f}2", F.expr(run(f"{f}1", f"{f}1", 1)))
         rows = rows.withColumn(f"{f}4", F.expr(run(f"{f}2", f"{f}2", 2)))
-        for n in sizes:
+        for n in sorted({*sizes, *(exact if f == "plain" else ())}):
+            if n == 3:
+                rows = rows.withColumn("plainw3", F.expr(run("plain2", "plain1", 2)))
+                continue
             rest = f"{f}{n - 4}" if n - 4 in (1, 2, 4) else run(f"{f}2", f"{f}1", 2)
             rows = rows.withColumn(f"{f}w{n}", F.expr(f"slice({run(f'{f}4', rest, 4)}, 1, greatest(0, size({f}) - {n - 1}))"))
     return rows
 
 
-def _windows(rows: DataFrame, sizes: list[int], keep: str = "true") -> DataFrame:
-    """A row for each window whose hash ``h`` passes ``keep``: its place in words and among ``runs``, its form and its words."""
+def _windows(rows: DataFrame, sizes: list[int], keep: str = "true", exact: dict[int, str] | None = None) -> DataFrame:
+    """A row for each window whose hash ``h`` passes ``keep``: its place in words and among ``runs``, its form and its words.
+    Windows of ``plain`` whose hash passes ``exact`` (by size) come as form 3, with a hash of their values."""
     place = {f: ("i", "coalesce(get(at, i), i)") for f in _FORMS}
     place["runs"] = ("cast(array_position(at, i) - 1 as int)", "i")
     per_size = [
@@ -79,20 +84,36 @@ def _windows(rows: DataFrame, sizes: list[int], keep: str = "true") -> DataFrame
         for k, f in enumerate(_FORMS)
         for n in sizes
     ]
+    exact = exact or {}
+    per_size += [
+        f"transform(array_compact(transform({'plain%d' % n if n in (1, 2, 4) else 'plainw%d' % n}, (h, i) -> case when {test} then i end)), i -> struct(xxhash64(slice(plain, i + 1, {n}), 'exact') as h, i as place, coalesce(get(at, i), i) as run_place, 3Y as form, slice(plain, i + 1, {n}) as slots))"
+        for n, test in exact.items()
+    ]
     others = [c for c in rows.columns if c not in (*_FORMS, "at")]
-    return _hashed(rows, sizes).select(*others, F.inline(F.expr(f"concat({', '.join(per_size)})")))
+    return _hashed(rows, sizes, [n for n in exact if n not in (1, 2, 4)]).select(*others, F.inline(F.expr(f"concat({', '.join(per_size)})")))
 
 
 def _canonical(slots: str) -> str:
     return f"transform({slots}, t -> case when t < '{_REST}' then left(t, 1) else t end)"
 
 
+def _bitmap(hashes: DataFrame, h: str) -> str:
+    """A test whether ``h`` may be among ``hashes``: twelve bits choose a word of the bitmap and six more a bit; at most _BITMAP rows come to the driver."""
+    bits = hashes.select(F.expr(f"cast(h & {_BITMAP - 1}L as int) as word"), F.expr("shiftleft(1L, cast(shiftright(h, 12) & 63L as int)) as bit"))
+    words = [0] * _BITMAP
+    for word, bit in bits.groupBy("word").agg(F.bit_or("bit")).collect():
+        words[word] = bit
+    bitmap = f"cast(split('{','.join(map(str, words))}', ',') as array<bigint>)"
+    return f"getbit(get({bitmap}, cast({h} & {_BITMAP - 1}L as int)), cast(shiftright({h}, 12) & 63L as int)) = 1"
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadcast: int = 1_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document and benchmark item that it holds: ``row`` (a hash of the document's id and
     text), doc_id, item_id, n_windows, item_windows, place (in words) and reparameterised.
 
     A pair counts if ``enough`` windows line up verbatim, or neighbouring ones consistently (13 words; all windows, if the item has
-    fewer).  Items of fewer than five words, or none but placeholders, can't be told and never match.  Null texts are empty; repeated documents
+    fewer).  Windows with fewer than four words that are no placeholders, and items of
+    fewer than five words, count only where they are verbatim.  Null texts are empty; repeated documents
     or items count once; null ids are kept; without documents or items there are no rows.  The
     benchmark's windows are broadcast only if there are at most ``broadcast`` of them.
     """
@@ -100,39 +121,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
     items = stored(_with_words(items.withColumn("item", F.xxhash64(F.col("item_id").cast("string"), "text"))), "benchmark-words")
     # an item is cut into windows of one size: the full one, or all of its words
     own = items.withColumn("own", F.least(F.size("words"), F.lit(WINDOW))).withColumn("run_words", F.expr("case when size(runs) > 0 then size(runs) else size(words) end"))
-    own = own.withColumn("run_own", F.least("run_words", F.lit(WINDOW)))
+    own = own.withColumn("run_own", F.least("run_words", F.lit(WINDOW))).withColumn("size_of", F.size("words"))
     lengths = [r[0] for r in own.select(F.explode(F.array("own", "run_own")).alias("n")).where(f"n >= {LEAST_WORDS}").distinct().collect()]
     sizes = sorted(set(lengths) | {WINDOW})  # at most four
     windows = _windows(own, sizes).where(f"size(slots) = case when form = 2 then run_own else own end and size(filter(slots, t -> t >= '{_REST}')) >= {LITERAL}")
-    windows = windows.withColumn("starts", F.expr("run_words - run_own"))
-    windows = stored(windows.select("item", "item_id", "h", "form", "starts", F.col("place").alias("item_place"), F.col("run_place").alias("item_run_place"), F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
-    places = [F.expr("count(distinct case when form < 2 then item_place end)").alias("item_windows"), F.expr("count(distinct case when item_run_place <= starts then item_run_place end)").alias("run_windows")]
-    windows = windows.drop("form", "starts").join(windows.groupBy("item").agg(*places), "item")
-    # twelve bits of a hash choose a word of the bitmap and six more a bit; at most _BITMAP rows come to the driver
-    bits = windows.select(F.expr(f"cast(h & {_BITMAP - 1}L as int) as word"), F.expr("shiftleft(1L, cast(shiftright(h, 12) & 63L as int)) as bit"))
-    words = [0] * _BITMAP
-    for word, bit in bits.groupBy("word").agg(F.bit_or("bit")).collect():
-        words[word] = bit
-    bitmap = f"cast(split('{','.join(map(str, words))}', ',') as array<bigint>)"
-    keep = f"getbit(get({bitmap}, cast(h & {_BITMAP - 1}L as int)), cast(shiftright(h, 12) & 63L as int)) = 1"
+    # windows of few words that are no placeholders, and short items, count where they are verbatim
+    few = _windows(own, [], exact=dict.fromkeys(range(1, WINDOW + 1), "true")).where(f"size(slots) = own and (own < {LEAST_WORDS} or size(filter(slots, t -> t >= '{_REST}')) < {LITERAL})")
+    windows = windows.unionByName(few).withColumn("starts", F.expr("run_words - run_own")).withColumn("all_windows", F.expr("size_of - own + 1"))
+    windows = stored(windows.select("item", "item_id", "h", "form", "starts", "all_windows", F.col("place").alias("item_place"), F.col("run_place").alias("item_run_place"), F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
+    places = [F.expr("count(distinct case when form < 2 then item_place end)").alias("literal_windows"), F.expr("count(distinct case when form < 3 and item_run_place <= starts then item_run_place end)").alias("run_windows")]
+    windows = windows.withColumn("item_form", F.expr("form = 3")).drop("form", "starts").join(windows.groupBy("item").agg(*places), "item").withColumnRenamed("all_windows", "item_windows")
+    sizes_few = [r[0] for r in windows.where("item_form").select(F.size("item_slots")).distinct().collect()]
+    keep = _bitmap(windows.where("not item_form").select("h"), "h")
+    canonical = lambda n: f"xxhash64(slice(plain, i + 1, {n}), 'exact')"
+    exact = {n: _bitmap(windows.where(f"item_form and size(item_slots) = {n}").select("h"), canonical(n)) for n in sizes_few}
     if windows.count() <= broadcast:
         windows = F.broadcast(windows)
     rows = renamed(docs, doc_id=key, text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    hits = _windows(_with_words(rows), sizes, keep).join(windows, "h").where(f"{_canonical('slots')} = {_canonical('item_slots')}")
+    hits = _windows(_with_words(rows), sizes, keep, exact).join(windows, "h").where(f"(form = 3) = item_form and case when item_form then slots = item_slots else {_canonical('slots')} = {_canonical('item_slots')} end")
     # of a run of names the last one is compared: words before it may be none, such as the first of a sentence
     value = lambda x: f"case when contains({x}, '{_JOIN}') then concat('{_NAME}', substring_index({x}, '{_JOIN}', -1)) else {x} end"
     pairs = F.expr(f"transform(filter(zip_with(item_slots, slots, (b, d) -> struct(b as b, d as d)), p -> p.b < '{_REST}'), p -> struct({value('p.b')} as b, {value('p.d')} as d))")
     # windows line up by words, and by words with runs of names as one, whose numbers of words may differ
-    by = [f"struct({k} as by, {at} - item_{at} as line, item_{at} as spot, least({n}, {enough}) as need)" for k, (at, n) in enumerate((("place", "item_windows"), ("run_place", "run_windows")))]
-    hits = hits.select("*", pairs.alias("pairs"), F.expr(f"inline(array({', '.join(by)}))")).withColumn("verbatim", F.expr("case when slots = item_slots then spot end"))
+    by = [f"struct({k} as by, {at} - item_{at} as line, item_{at} as spot, least({n}, {enough}) as need, {k} = 0 as in_words)" for k, (at, n) in enumerate((("place", "literal_windows"), ("run_place", "run_windows")))]
+    hits = hits.select("*", pairs.alias("pairs"), F.expr(f"inline(array({', '.join(by)}))")).withColumn("verbatim", F.expr("case when slots = item_slots and in_words then spot end")).withColumn("loose", F.expr(f"case when not item_form or need = {enough} then spot end"))
     lines = hits.groupBy("row", "doc_id", "item", "item_id", "item_windows", "by", "line", "need")
-    lines = lines.agg(F.count_distinct("spot").alias("n_windows"), F.count_distinct("verbatim").alias("n_verbatim"), F.min("place").alias("place"), F.array_sort(F.collect_set(F.struct("spot", "pairs"))).alias("held"))
-    lines = lines.where("need > 0 and n_windows >= need")
+    lines = lines.agg(F.count_distinct("spot").alias("n_windows"), F.count_distinct("verbatim").alias("n_verbatim"), F.min("place").alias("place"), F.array_sort(F.collect_set(F.expr("case when loose is not null then struct(spot, pairs) end"))).alias("held"))
+    lines = lines.withColumn("is_verbatim", F.expr(f"n_verbatim >= least(item_windows, {enough})"))
     # slots are to be consistent in a stretch of as many neighbouring windows as are needed, not on the whole line
     lines = lines.withColumn("places", F.expr("array_distinct(transform(held, x -> x.spot))"))
     stretch = "array_distinct(flatten(transform(filter(held, x -> x.spot between places[i] and places[i + need - 1]), x -> x.pairs)))"
-    sound = f"exists(sequence(0, size(places) - cast(need as int)), i -> exists(array({stretch}), s -> size(array_distinct(transform(s, p -> p.b))) = size(s)))"
-    found = lines.where(f"case when n_verbatim >= need then true else {sound.replace('need - 1', 'cast(need as int) - 1')} end").withColumn("reparameterised", F.expr("n_verbatim < need"))
+    sound = f"exists(sequence(0, size(places) - cast(need as int)), i -> exists(array({stretch}), s -> size(array_distinct(transform(s, p -> p.b))) = size(s)))".replace("need - 1", "cast(need as int) - 1")
+    found = lines.where(f"case when is_verbatim then true when need > 0 and size(places) >= need then {sound} else false end").withColumn("reparameterised", ~F.col("is_verbatim"))
     return found.groupBy("row", "doc_id", "item_id", "item_windows").agg(
         F.max("n_windows").alias("n_windows"), F.min("place").alias("place"), F.min("reparameterised").alias("reparameterised")
     ).select("row", "doc_id", "item_id", "n_windows", "item_windows", "place", "reparameterised")

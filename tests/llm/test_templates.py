@@ -32,3 +32,10 @@ def test_values_of_other_lengths(spark):
     got = leaks(spark, [FILLER + t for t in swapped] + [FILLER * 3], [item, long])
     assert {(k, i) for k in range(5) for i in (0, 1)} <= set(got) and not any(d == 5 for d, _ in got)
     assert not got[0, 1].reparameterised and not got[4, 0].reparameterised
+
+
+def test_few_words_and_short_items_match_verbatim(spark):
+    sums, short, numbers = "Compute 12 * 7 + 30 / 5 - 2 * 9 + 4", "What is 12 + 30?", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3 2 3 8 4"
+    texts = [FILLER + sums + " now.", FILLER + short, FILLER + numbers, FILLER + sums.replace("12", "13"), FILLER + "What is 12 + 31?", FILLER + numbers.replace("9", "8"), "so what is 12 + 30 then", "Compute 12 * 7"]
+    got = leaks(spark, texts, [sums, short, numbers])
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (6, 1)} and not any(r.reparameterised for r in got.values())
