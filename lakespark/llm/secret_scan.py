@@ -100,8 +100,8 @@ def _ratio(hit: str, ratios: str) -> str:
 def find_secrets(docs: DataFrame, samples: Iterable[tuple[str, bool]] | None = None, least: float = 8.0, mean: float = 0.25, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text and ``found``: array<struct<start, kind, stop>> (kind: place in ``KINDS``), in order, of every row.
 
-    Base spans come from the patterns.  A candidate string that holds a digit and a letter and overlaps no
-    base span is added as ``random`` if its log-likelihood ratio is ``least`` nats or more, and ``mean``
+    Base spans come from the patterns.  A candidate string that doesn't lie wholly inside a base
+    span is added as ``random``, beside those that it overlaps, if its log-likelihood ratio is ``least`` nats or more, and ``mean``
     or more for each character.  Null text is empty and has no spans; repeated rows and null ids give a
     row each; an empty table gives none.
     """
@@ -113,11 +113,11 @@ def find_secrets(docs: DataFrame, samples: Iterable[tuple[str, bool]] | None = N
         _found("text", ASSIGN, f"char_length(regexp_extract(x.hit, r'{ASSIGN}', 1)) >= 12").alias("assign"),
         F.when(F.col("text").contains("AKIA"), _found("text", ACCESS)).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int,hit:string>>)")).alias("access"),
         _found("text", HEX).alias("hex"),
-        _found("text", CANDIDATE, "x.hit rlike '[0-9]' and x.hit rlike '[A-Za-z]'").alias("candidates"),
+        _found("text", CANDIDATE).alias("candidates"),
     )
     spans = [f"transform({kind}, x -> struct(x.start as start, {k} as kind, x.stop as stop))" for k, kind in enumerate(KINDS[:3])]
     rows = rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(spans)}))"))
-    free = "not exists(base, b -> b.start < x.stop and x.start < b.stop)"
+    free = "not exists(base, b -> b.start <= x.start and x.stop <= b.stop)"
     score = _ratio("x.hit", ratios)
     sure = f"{score} >= {round(1000 * least)} and {score} >= {round(1000 * mean)} * (char_length(x.hit) - 1)"
     added = F.expr(f"case when size(candidates) > 0 then transform(filter(candidates, x -> {free} and {sure}), x -> struct(x.start as start, 3 as kind, x.stop as stop)) else cast(array() as array<struct<start:int,kind:int,stop:int>>) end")
