@@ -50,8 +50,8 @@ def _sets(words: int):
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
                 found = [shingles(t, words) for t in part.column("text").to_pylist()]
                 digests = np.array([xxh64_intdigest(x.tobytes(), 7) if len(x) else 0 for x in found], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fp", "members"])
@@ -61,17 +61,19 @@ def _sets(words: int):
 
 def _first(least: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = b.column("members").value_lengths().to_numpy().astype(np.int64)
-            flat = b.column("members").flatten().to_numpy()
-            late = np.isin(flat, hot) if len(hot) else np.zeros(len(flat), bool)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((late, of))  # stable: by hash among the frequent, and among the others
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            firsts = np.array([first_members(n, least) for n in sizes.tolist()], np.int64)
-            kept = place < firsts[of] if len(of) else np.zeros(0, bool)
-            who = of[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[order][kept]), pa.array(b.column("fp").to_numpy()[who]), pa.array(sizes[who].astype(np.int32))], ["member", "fp", "size"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                b = whole.slice(at, 100)
+                sizes = b.column("members").value_lengths().to_numpy().astype(np.int64)
+                flat = b.column("members").flatten().to_numpy()
+                late = np.isin(flat, hot) if len(hot) else np.zeros(len(flat), bool)
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((late, of))  # stable: by hash among the frequent, and among the others
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                firsts = np.array([first_members(n, least) for n in sizes.tolist()], np.int64)
+                kept = place < firsts[of] if len(of) else np.zeros(0, bool)
+                who = of[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[order][kept]), pa.array(b.column("fp").to_numpy()[who]), pa.array(sizes[who].astype(np.int32))], ["member", "fp", "size"])
 
     return run
 
