@@ -1,9 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exactly.
-
-Two sets with a similarity of at least t share one of their first |x| - ceil(t |x|) + 1 members in any order that
-holds for all sets (prefix filtering), so rows of those members alone give every candidate pair.  The order is that of
-the hashes, with the most frequent members last, so that lines which many texts share make few candidates.  Pairs whose
-shared first members leave the similarity possible are held against the whole sets.
+"""Near-duplicates by the Jaccard similarity of word shingles, exactly, behind SimHash.
+
+Fingerprints over the same shingles are searched by vantage-point trees first (``simhash.links``), and what links there
+is confirmed by the whole sets: that joins copies that differ in little, whatever their number.  The rest is completed
+by prefix filtering: two sets with a similarity of at least t share one of their first |x| - ceil(t |x|) + 1 members in
+any order that holds for all sets.  The order is that of the hashes, with the most frequent members last, so that lines
+which many texts share make few candidates.  Only components are asked for, so of the texts that share a member one is
+held against the others first, in a few rounds; pairs are then made between those alone that are still in different
+components.  Every link counts only if the whole sets confirm it, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -15,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, ship, stored
+from .common import identified, ship, stored, tidy
 from .components import components
-from .simhash import _NO_ID, heads
+from .simhash import _majorities, heads, links
 
 #: The similarity that links two texts, in twentieths, so that tests of it are exact.
 LEAST = 16
@@ -25,20 +28,29 @@ LEAST = 16
 _BITMAP = 1 << 18
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of a text's runs of words; a shorter text is one run, one without words has none."""
+#: Digests that a task remembers, so that it passes on what hangs on them once.
+_SEEN = 500_000
+
+
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's runs of words, repeats included; a shorter text is one run, one without words has none."""
     from xxhash import xxh64_intdigest
 
     parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not parts:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     whole = b" ".join(parts)
     n = max(1, len(parts) - words + 1)
     if n == 1:
-        return np.array([xxh64_intdigest(whole, 42)], np.uint64).view(np.int64)
+        return np.array([xxh64_intdigest(whole, 42)], np.uint64)
     ends = np.cumsum([len(p) + 1 for p in parts])
     firsts = np.concatenate([[0], ends])[:n].tolist()
-    return np.unique(np.array([xxh64_intdigest(whole[a:z], 42) for a, z in zip(firsts, (ends[words - 1 :] - 1).tolist())], np.uint64).view(np.int64))
+    return np.array([xxh64_intdigest(whole[a:z], 42) for a, z in zip(firsts, (ends[words - 1 :] - 1).tolist())], np.uint64)
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's runs of words."""
+    return np.unique(_hashes(text, words).view(np.int64))
 
 
 def first_members(size: int, least: int = LEAST) -> int:
@@ -52,16 +64,38 @@ def _sets(words: int):
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
-                found = [shingles(t, words) for t in part.column("text").to_pylist()]
+                runs = [_hashes(t, words) for t in part.column("body").to_pylist()]
+                prints = _majorities(np.concatenate(runs), np.array([len(x) for x in runs], np.int64)).view(np.int64)
+                found = [np.unique(x.view(np.int64)) for x in runs]
                 digests = np.array([xxh64_intdigest(x.tobytes(), 7) if len(x) else 0 for x in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fp", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(digests), pa.array(prints), pa.array(found, pa.list_(pa.int64()))], ["id", "row", "digest", "print", "members"])
+        tidy()
 
     return run
 
 
+class _New:
+    """Which digests a task meets for the first time, as far as it remembers."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, digests: np.ndarray) -> np.ndarray:
+        if len(self.seen) > _SEEN:
+            self.seen.clear()
+        kept = np.zeros(len(digests), bool)
+        for k, d in enumerate(digests.tolist()):
+            if d not in self.seen:
+                self.seen.add(d)
+                kept[k] = True
+        return kept
+
+
 def _first(least: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = _New()
         for whole in batches:
+            whole = whole.filter(pa.array(new(whole.column("digest").to_numpy())))
             for at in range(0, whole.num_rows, 100):
                 b = whole.slice(at, 100)
                 sizes = b.column("members").value_lengths().to_numpy().astype(np.int64)
@@ -73,65 +107,116 @@ def _first(least: int, hot: np.ndarray):
                 firsts = np.array([first_members(n, least) for n in sizes.tolist()], np.int64)
                 kept = place < firsts[of] if len(of) else np.zeros(0, bool)
                 who = of[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[order][kept]), pa.array(b.column("fp").to_numpy()[who]), pa.array(sizes[who].astype(np.int32))], ["member", "fp", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[order][kept]), pa.array(b.column("digest").to_numpy()[who]), pa.array(sizes[who].astype(np.int32))], ["member", "digest", "size"])
+        tidy()
 
     return run
 
 
 def _passing(bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = _New()
         for b in batches:
-            fp = b.column("fp").to_numpy()
-            yield b.filter(pa.array((bitmap[fp & (_BITMAP - 1)] >> ((fp >> 18) & 63)) & 1 == 1))
+            digest = b.column("digest").to_numpy()
+            b = b.filter(pa.array((bitmap[digest & (_BITMAP - 1)] >> ((digest >> 18) & 63)) & 1 == 1))
+            yield b.filter(pa.array(new(b.column("digest").to_numpy())))
 
     return run
 
 
 def _only(sets: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows of ``sets`` whose digests are asked for; a bitmap of fixed size spares nearly all others the shuffle."""
-    bits = asked.select(F.expr(f"cast(fp & {_BITMAP - 1}L as int) as word"), F.expr("shiftleft(1L, cast(shiftright(fp, 18) & 63L as int)) as bit"))
-    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    """(digest, members) for the digests that are asked for; a bitmap of fixed size spares nearly all others the shuffle."""
+    bits = asked.select(F.expr(f"cast(digest & {_BITMAP - 1}L as int) as word"), F.expr("shiftleft(1L, cast(shiftright(digest, 18) & 63L as int)) as bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most _BITMAP rows
     bitmap = np.zeros(_BITMAP, np.int64)
     bitmap[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
-    return sets.mapInArrow(_passing(bitmap), sets.schema).join(asked, "fp", "left_semi")
+    sets = sets.select("digest", "members")
+    return sets.mapInArrow(_passing(bitmap), sets.schema).join(asked, "digest", "left_semi").dropDuplicates(["digest"])
+
 
+def confirmed(sets: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Of stored pairs (a, b) of digests those whose whole sets (digest, members) have a similarity of ``least`` twentieths or more."""
+    asked = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select("b")).distinct()
+    whole = stored(_only(sets, asked), "candidate-sets")
+    of = lambda digest, members: whole.select(F.col("digest").alias(digest), F.col("members").alias(members))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return both.where(f"{20 + least} * size(array_intersect(x, y)) >= {least} * (size(x) + size(y))").select("a", "b")
 
-def linked(sets: DataFrame, least: int = LEAST, often: int = 50, most: int = 50_000, share: int = 8) -> DataFrame:
-    """(a, b): all pairs of digests of ``sets`` (fp, members) whose similarity is ``least`` twentieths or more.
+
+def first_rows(sets: DataFrame, least: int = LEAST, often: int = 50, most: int = 50_000, share: int = 8) -> DataFrame:
+    """(member, digest, size): the first members of each set that more than one set begins with.
 
     At most ``most`` members, those that about ``often`` or more sets begin with (counted in one of ``share`` sets: any
-    choice of members gives the same pairs), come to the driver and are put last.
+    choice of members gives the same links), come to the driver and are put last.
     """
-    form = "member long, fp long, size int"
-    sets = sets.select("fp", "members")
+    form = "member long, digest long, size int"
+    sets = sets.select("digest", "members")
     once = lambda some, hot: some.mapInArrow(_first(least, hot), form).repartition("member").distinct()
-    counts = once(sets.where(F.expr(f"pmod(fp, {share}) = 0")), np.empty(0, np.int64)).groupBy("member").count().where(F.col("count") >= max(2, often // share))
+    counts = once(sets.where(F.expr(f"pmod(digest, {share}) = 0")), np.empty(0, np.int64)).groupBy("member").count().where(F.col("count") >= max(2, often // share))
     hot = np.sort(counts.orderBy(F.desc("count"), "member").limit(most).select("member").toPandas()["member"].to_numpy(np.int64))
     rows = once(sets, hot)
-    met = rows.groupBy("member").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("member")
-    rows = stored(rows.join(met, "member", "left_semi"), "shared-members")
-    a, b = rows.select("member", F.col("fp").alias("a"), F.col("size").alias("n")), rows.select("member", F.col("fp").alias("b"), F.col("size").alias("m"))
-    pairs = a.join(b, "member").where(f"a < b and 20 * least(n, m) >= {least} * greatest(n, m)").groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
-    # behind the end of one of both beginnings only the rest of that set can be shared: at most floor(size * least / 20), rounded up, less one
-    rest = lambda n: f"(cast(ceil({least} * {n} / 20) as int) - 1)"
-    pairs = stored(pairs.where(f"{20 + least} * (shared + greatest({rest('n')}, {rest('m')})) >= {least} * (n + m)").select("a", "b"), "candidates")
-    asked = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
-    whole = stored(_only(sets, asked).dropDuplicates(["fp"]), "candidate-sets")
-    both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("members").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("members").alias("y")), "b")
-    return both.where(f"{20 + least} * size(array_intersect(x, y)) >= {least} * (size(x) + size(y))").select("a", "b")
+    met = rows.groupBy("member").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("member")
+    return stored(rows.join(met, "member", "left_semi"), "shared-members")
+
+
+def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(member, digest, size, part) of the members that digests of several components so far share."""
+    parts = rows.join(found, F.col("digest") == F.col("node"), "left").select("member", "digest", "size", F.coalesce("component", "digest").alias("part"))
+    met = parts.groupBy("member").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("member")
+    return stored(parts.join(met, "member", "left_semi"), "members-apart")
 
 
-def one_of_each_similar(docs: DataFrame, words: int = 5, least: int = LEAST, **limits: int) -> DataFrame:
+def _possible(n: str, m: str, least: int) -> str:
+    return f"20 * least({n}, {m}) >= {least} * greatest({n}, {m})"
+
+
+def _with_one(rows: DataFrame, turn: int, least: int) -> DataFrame:
+    """(a, b): of the digests that share a member, one with each of another component; a row for each of ``rows`` at most."""
+    one = (F.max_by if turn % 2 else F.min_by)(F.struct(F.col("digest").alias("a"), F.col("size").alias("n"), F.col("part").alias("p")), F.xxhash64("digest", F.lit(turn // 2)))
+    hubs = rows.groupBy("member").agg(one.alias("hub")).select("member", "hub.*")
+    return rows.join(hubs, "member").where(f"part <> p and {_possible('n', 'size', least)}").select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
+
+
+def _all_apart(rows: DataFrame, least: int) -> DataFrame:
+    """(a, b): all pairs of different components that share as many members as the similarity asks for."""
+    a = rows.select("member", F.col("digest").alias("a"), F.col("size").alias("n"), F.col("part").alias("p"))
+    b = rows.select("member", F.col("digest").alias("b"), F.col("size").alias("m"), F.col("part").alias("q"))
+    pairs = a.join(b, (a["member"] == b["member"]) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & F.expr(_possible("n", "m", least)))
+    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    # behind the end of one of both beginnings only the rest of that set can be shared: at most floor(size * least / 20), rounded up, less one
+    rest = lambda n: f"(cast(ceil({least} * {n} / 20) as int) - 1)"
+    return pairs.where(f"{20 + least} * (shared + greatest({rest('n')}, {rest('m')})) >= {least} * (n + m)").select("a", "b")
+
+
+def similar_components(sets: DataFrame, least: int = LEAST, within: int = 3, rounds: int = 1, **limits: int) -> DataFrame:
+    """(node, component) of the digests of ``sets`` (digest, print, members) that links of a similarity of ``least``
+    twentieths or more join to others.  ``limits`` go to ``first_rows``."""
+    prints = stored(sets.select("print", "digest").distinct().groupBy("print").agg(F.min("digest").alias("digest"), F.count("*").alias("n")), "prints")
+    near = links(prints.select(F.col("print").alias("fp")), within)
+    first = lambda c: prints.select(F.col("print").alias(c), F.col("digest").alias(f"{c}_digest"))
+    pairs = near.join(first("a"), "a").join(first("b"), "b").select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b"))
+    alike = sets.select("print", F.col("digest").alias("b")).distinct().join(prints.where("n > 1").select("print", F.col("digest").alias("a")), "print").where("a <> b").select("a", "b")
+    links_so_far = stored(confirmed(sets, stored(pairs.unionAll(alike), "simhash-links"), least), "confirmed")
+    rows = first_rows(sets, least, **limits)
+    found = stored(components(links_so_far), "components")
+    for turn in range(rounds + 1):
+        apart = _apart(rows, found)
+        pairs = stored(_with_one(apart, turn, least) if turn < rounds else _all_apart(apart, least), "candidates")
+        more = stored(confirmed(sets, pairs, least), "confirmed")
+        links_so_far = links_so_far.unionAll(more)
+        found = stored(components(links_so_far), "components")
+    return found
+
+
+def one_of_each_similar(docs: DataFrame, words: int = 5, least: int = LEAST, within: int = 3, **limits: int) -> DataFrame:
     """``docs`` with one row of each group that pairs of similar texts link: that of its smallest id, as in
-    ``simhash.one_of_each``.  Null and empty texts are alike; ``limits`` go to ``linked``."""
+    ``simhash.heads``.  Null and empty texts are alike; repeated ids, repeated rows and null ids are told apart by the
+    whole row; an empty table gives none; a text's cost is in proportion to its length.  ``limits`` go to ``first_rows``."""
     ship(docs.sparkSession)
-    digests = lambda df: renamed(df, doc_id=F.col("`doc_id`").cast("long"), text="text").mapInArrow(_sets(words), "doc_id long, fp long, members array<long>")
-    sets = stored(digests(docs), "shingles")
-    rows = sets.select("doc_id", "fp")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    nodes = stored(nodes.select("fp", F.coalesce("node", F.lit(_NO_ID) + F.col("fp").bitwiseAND(_NO_ID - 1)).alias("node")), "points")
-    pairs = linked(sets, least, **limits)
-    pairs = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    found = components(pairs.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    whole = stored(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
-    return heads(docs, rows, whole, lambda df: digests(df).select("doc_id", "fp"))
+    own = identified(docs)
+    sets = stored(own.select("id", "row", "body").mapInArrow(_sets(words), "id long, row long, digest long, print long, members array<long>"), "shingles")
+    rows = sets.select("id", "row", F.col("digest").alias("node"))
+    found = similar_components(sets.select("digest", "print", "members"), least, within, **limits)
+    nodes = rows.select("node").distinct()
+    classes = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return heads(own, rows, classes).toDF(*docs.columns)

@@ -9,18 +9,16 @@ found, which loses no component.  Components are then found over all leaves.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, ship, stored
+from .common import among, identified, renamed, ship, stored, without
 from .components import components
 
-#: Nodes for ids that are null stand above this and below no document id.
-_NO_ID = 1 << 62
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -143,9 +141,9 @@ def route(tree, points: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray
 def _route(tree, within: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, node = b.column("fp").to_numpy(), b.column("node").to_numpy()
+            fp = b.column("fp").to_numpy()
             who, leaf, home = route(tree, fp.view(np.uint64), within)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(fp[who]), pa.array(node[who]), pa.array(home)], ["leaf", "fp", "node", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(fp[who]), pa.array(home)], ["leaf", "fp", "home"])
 
     return run
 
@@ -208,21 +206,21 @@ def search(points: np.ndarray, homes: np.ndarray, queries: np.ndarray, within: i
 
 def _search(within: int):
     def run(rows: pa.Table) -> pa.Table:
-        fp, node, home = rows.column("fp").to_numpy(), rows.column("node").to_numpy(), rows.column("home").to_numpy()
+        fp, home = rows.column("fp").to_numpy(), rows.column("home").to_numpy()
         # a fingerprint can come as a home and as a query
-        nodes, first, place = np.unique(node, return_index=True, return_inverse=True)
-        top = search(fp[first].view(np.uint64), np.unique(place[home]), np.unique(place[~home]), within)
+        points, place = np.unique(fp, return_inverse=True)
+        top = search(points.view(np.uint64), np.unique(place[home]), np.unique(place[~home]), within)
         linked = np.flatnonzero(top != np.arange(len(top)))
-        return pa.table({"a": nodes[linked], "b": nodes[top[linked]]})
+        return pa.table({"a": points[linked], "b": points[top[linked]]})
 
     return run
 
 
-def links(points: DataFrame, within: int = 3, homes: int = 16_384, least: int = 16, most: int = 1024, block: int = 65_536) -> DataFrame:
-    """(a, b): a forest of links between the nodes of distinct fingerprints (fp, node) at ``within`` or fewer bits.
+def links(points: DataFrame, within: int = 3, homes: int = 16_384, least: int = 16, most: int = 65_536, block: int = 262_144) -> DataFrame:
+    """(a, b): a forest of links between distinct fingerprints (column ``fp``) at ``within`` or fewer bits.
 
     The routing tree is grown from at most 64 fingerprints for each of its leaves, of which there are
-    ``least`` to ``most``, so it has a bounded size.  A leaf with more than ``block`` homes, or four times
+    ``least`` to ``most``, as the table grows, so it has a bounded size.  A leaf with more than ``block`` homes, or four times
     as many queries, is searched in blocks of homes by blocks of queries.
     """
     spark = points.sparkSession
@@ -232,60 +230,76 @@ def links(points: DataFrame, within: int = 3, homes: int = 16_384, least: int =
     if not len(sample):
         return spark.createDataFrame([], "a long, b long")
     tree = routing_tree(sample.view(np.uint64), leaves, within)
-    visits = stored(points.mapInArrow(_route(tree, within), "leaf int, fp long, node long, home boolean"), "visits")
+    visits = stored(points.select("fp").mapInArrow(_route(tree, within), "leaf int, fp long, home boolean"), "visits")
     sizes = visits.groupBy("leaf").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count("*").alias("q"))
     sizes = sizes.select("leaf", F.ceil(F.col("h") / block).cast("int").alias("hs"), F.ceil(F.col("q") / (4 * block)).cast("int").alias("qs"))
     visits = visits.join(F.broadcast(sizes), "leaf").where("hs > 0")  # one row for each of at most `most` leaves
     asked = visits.withColumn("hb", F.explode(F.expr("sequence(0, hs - 1)"))).withColumn("qb", F.expr("cast(pmod(xxhash64(fp), qs) as int)"))
     held = visits.where("home").withColumn("qb", F.explode(F.expr("sequence(0, qs - 1)"))).withColumn("hb", F.expr("cast(pmod(xxhash64(fp, 1), hs) as int)"))
-    columns = ("leaf", "hb", "qb", "fp", "node")
+    columns = ("leaf", "hb", "qb", "fp")
     dealt = asked.select(*columns, F.lit(False).alias("home")).unionAll(held.select(*columns, F.lit(True).alias("home")))
     return dealt.groupBy("leaf", "hb", "qb").applyInArrow(_search(within), "a long, b long")
 
 
-def _classes(docs: DataFrame, words: int, within: int, key: str, text: str, limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row; and (fp, component_id) of every fingerprint, above ``_NO_ID`` where no row has an id."""
-    rows = stored(fingerprint_table(docs, words, key, text), "fingerprints")
-    unique = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    unique = stored(unique.select("fp", F.coalesce("node", F.lit(_NO_ID) + F.col("fp").bitwiseAND(_NO_ID - 1)).alias("node")), "points")
-    found = components(links(unique, within, **limits))
-    return rows, stored(unique.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+def _classes(points: DataFrame, within: int, limits: dict[str, int]) -> DataFrame:
+    """(fp, component) of every distinct fingerprint; component is the smallest fingerprint reachable."""
+    found = components(links(points, within, **limits))
+    return points.select("fp").join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, within: int = 3, key: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
     Rows link at ``within`` or fewer differing bits; component_id is the smallest id reachable.  Null and
-    empty texts have fingerprint zero and link like any other; repeated rows share a component; null ids
+    empty texts have fingerprint zero and link like any other; rows with one id and different texts are
+    rows of their own, so an id can be in several components; repeated rows share a component; null ids
     are no candidates for component_id, which is null if a component has no other; an empty table gives no
-    rows.  Other columns are not read.  ``limits`` go to ``links``.
+    rows.  A text's cost is in proportion to its length.  Other columns are not read.  ``limits`` go to ``links``.
     """
-    rows, whole = _classes(docs, words, within, key, text, limits)
-    of = F.when(F.col("component_id") < _NO_ID, F.col("component_id"))
-    return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), of.alias("component_id"))
+    rows = stored(fingerprint_table(docs, words, key, text), "fingerprints")
+    points = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    whole = points.join(_classes(points, within, limits), "fp")
+    heads = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    whole = stored(whole.join(heads, "component").select("fp", "component_id"), "classes")
+    return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _fingerprint_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(fingerprints(part.column("body").to_pylist(), words))], ["id", "row", "node"])
+
+    return run
 
 
 def one_of_each(docs: DataFrame, words: int = 3, within: int = 3, **limits: int) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id; any one of it, if the id is repeated or null."""
-    rows, whole = _classes(docs, words, within, "doc_id", "text", limits)
-    return heads(docs, rows, whole, lambda df: fingerprint_table(df, words))
-
-
-def heads(docs: DataFrame, rows: DataFrame, whole: DataFrame, prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``docs`` with one row of each component, by (doc_id, fp) of every row and (fp, component_id); ``prints`` gives (doc_id, fp) of further rows."""
-    first_ids = whole.where(F.col("component_id") < _NO_ID).select(F.col("component_id").alias("__head")).distinct()
-    again = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__head"))
-    on = F.col("doc_id") == F.col("__head")
-    if not again.head(1):
-        kept = docs.join(first_ids.hint("shuffle_hash"), on, "left_semi")
-    else:
-        kept = docs.join(first_ids.join(again, "__head", "left_anti").hint("shuffle_hash"), on, "left_semi")
-        kept = kept.unionAll(docs.join(first_ids.join(again, "__head", "left_semi").hint("shuffle_hash"), on, "left_semi").dropDuplicates(["doc_id"]))
-    if rows.where("doc_id is null").head(1):
-        nameless = docs.where("doc_id is null").withColumn("__key", F.coalesce("text", F.lit("")))
-        keyed = prints(nameless.select(F.xxhash64("__key").alias("doc_id"), "text")).distinct()
-        first = whole.where(F.col("component_id") >= _NO_ID).groupBy("component_id").agg(F.min("fp").alias("fp"))
-        keys = keyed.join(first, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__head")).select("__head")
-        nameless = nameless.withColumn("__key", F.xxhash64("__key"))
-        kept = kept.unionAll(nameless.join(keys, nameless["__key"] == keys["__head"], "left_semi").dropDuplicates(["__key"]).drop("__key"))
+    """``docs`` with one row of each component, the one of the smallest id; see ``heads``.  ``docs`` keeps its columns,
+    whatever their names; an empty table gives none; null and empty texts are alike."""
+    ship(docs.sparkSession)
+    own = identified(docs)
+    rows = stored(own.select("id", "row", "body").mapInArrow(_fingerprint_rows(words), "id long, row long, node long"), "fingerprints")
+    points = stored(rows.select(F.col("node").alias("fp")).distinct(), "points")
+    return heads(own, rows, _classes(points, within, limits).withColumnRenamed("fp", "node")).toDF(*docs.columns)
+
+
+def heads(own: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of ``own`` (see ``identified``) the row of each component with the smallest id, without the added columns.
+
+    ``rows`` has (id, row, node) of every row and ``classes`` (node, component).  A null id comes after all
+    others, and of rows with one id the one with the smallest ``row`` stays, so the choice is determined; of rows that
+    are alike in all columns one stays.  Only the keys of rows to drop are joined with the documents.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("head")
+    nodes = rows.groupBy("node").agg(first).join(classes, "node")
+    best = nodes.groupBy("component").agg(F.min("head").alias("head"))
+    to = stored(nodes.select("node", "component").join(best, "component").select("node", F.col("head.id").alias("head_id"), F.col("head.row").alias("head_row")), "heads")
+    told = rows.join(to, "node").withColumn("stays", F.col("id").eqNullSafe(F.col("head_id")) & (F.col("row") == F.col("head_row")))
+    told = stored(told.groupBy("id", "row").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "rows-to-drop")
+    plain = [c for c in own.columns if c not in ("id", "row", "body")]
+    kept = without(own, told, ["id", "row"]).select(*plain)
+    again = told.where("stays")
+    if again.head(1):
+        kept = kept.unionAll(among(own, again, ["id", "row"]).dropDuplicates(["id", "row"]).select(*plain))
     return kept

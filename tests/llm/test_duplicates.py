@@ -55,10 +55,13 @@ def clustered(n, seed=0):
 def test_links_lose_no_component(spark, limits):
     fps = clustered(300)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    points = spark.createDataFrame([(fp, k) for k, fp in enumerate(signed)], "fp long, node long").repartition(5)
+    points = spark.createDataFrame([(fp,) for fp in signed], "fp long").repartition(5)
     got = {r.node: r.component for r in components(simhash.links(points, 3, **limits)).collect()}
     want = plain_components(fps)
-    assert [got.get(k, k) for k in range(len(fps))] == want and len(set(want)) < len(fps)
+    least: dict = {}
+    for fp, g in zip(signed, want):
+        least[g] = min(fp, least.get(g, fp))
+    assert [got.get(fp, fp) for fp in signed] == [least[g] for g in want] and len(set(want)) < len(fps)
 
 
 def test_components(spark):
@@ -90,6 +93,37 @@ def test_near_duplicates(spark, odd, none, documents):
     assert simhash.near_duplicates(none).count() == 0
 
 
+A, NEAR_A, B = (" ".join(f"{w}{k}" for k in range(400)) for w in ("a", "a", "b"))
+NEAR_A = NEAR_A.replace("a399", "x")
+
+
+def test_repeated_ids_with_other_texts(spark):
+    assert bin(plain_fingerprint(A) ^ plain_fingerprint(NEAR_A)).count("1") <= 3 < bin(plain_fingerprint(A) ^ plain_fingerprint(B)).count("1")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(make([(1, NEAR_A), (3, A), (3, B), (9, B)])).collect()}
+    of = lambda i, t: got[i, f"{plain_fingerprint(t):016x}"]
+    assert [of(1, NEAR_A), of(3, A), of(3, B), of(9, B)] == [1, 1, 3, 3]
+    kept = simhash.one_of_each(make([(1, A), (3, A), (3, B), (9, B)])).collect()
+    assert sorted(tuple(r) for r in kept) == [(1, A), (3, B)]
+    # two rows of one id in one component: a determined one stays, whatever the partitions
+    twice = [(2, A), (2, NEAR_A), (2, A), (2, B), (2, B)]
+    runs = [sorted(tuple(r) for r in simhash.one_of_each(make(rows)).collect()) for rows in (twice, twice[::-1], [twice[k] for k in (2, 4, 1, 3, 0)])]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 2 and (2, B) in runs[0]
+
+
+@pytest.mark.parametrize("most", [0, 250_000])
+def test_rows_stay_whole_with_any_names(spark, most, monkeypatch):
+    from lakespark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_KEYS", most)
+    names = ["doc_id", "text", "id", "row", "body", "node", "component", "stays", "id_held", "row_held", "head", "c0", "c1"]
+    rows = [(1, A, *[f"x{k}" for k in range(11)]), (1, A, *["y"] * 11), (1, A, *["y"] * 11), (None, A, *["z"] * 11), (4, None, *[None] * 11), (4, "", *["w"] * 11)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    kept = simhash.one_of_each(df)
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == names and len(got) == 2 and set(got) <= set(rows) and sorted(r[0] for r in got) == [1, 4]
+
+
 def test_one_of_each(spark, odd, none, documents):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns

@@ -61,8 +61,9 @@ def test_templates(spark):
     filler = "Some other words stand here before the question begins. "
     texts = [filler + ITEM, ITEM.upper().lower(), filler + ITEM.replace("Alice", "Carol").replace("Bob", "Dan").replace("14", "7").replace("km", "miles"), filler + ITEM.replace("Alice has", "Carol has"), filler * 4, ITEM[:60], "", None, ITEM + " " + ITEM]
     got = leaks(spark, texts, [ITEM, "too short", "", None, "12 13 14 15 16 17 18 19 20"])
-    assert set(got) == {(0, 0), (1, 0), (2, 0), (8, 0)}
-    assert not got[0, 0].reparameterised and got[2, 0].reparameterised and got[0, 0].place == 9
+    # one changed name leaves 23 words verbatim
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (8, 0)}
+    assert not got[0, 0].reparameterised and got[2, 0].reparameterised and not got[3, 0].reparameterised and got[0, 0].place == 9
 
 
 def test_short_items_and_copies(spark):
@@ -142,8 +143,9 @@ def test_trees_prune():
 
 def test_pipeline(spark, documents):
     import corpus_pipeline as cp
-    from lakespark.llm import simhash, toxicity
+    from lakespark.llm import toxicity
     from lakespark.llm.common import stored
+    from test_similar import plain_heads
 
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
     rows, seen = documents, []
@@ -154,7 +156,7 @@ def test_pipeline(spark, documents):
     labels, bench = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     assert ids(seen[0]) == ids(toxicity.toxicity(documents, labels).where("predicted = 0"))
-    assert ids(seen[1]) == {r.component_id for r in simhash.near_duplicates(seen[0]).collect()}
+    assert ids(seen[1]) == plain_heads(sorted((r.doc_id, r.text) for r in seen[0].collect()))
     items = [r.text for r in bench.collect()]
     assert ids(seen[2]) == {r.doc_id for r in seen[1].collect() if not any(t in r.text for t in items)}
     texts = {r.doc_id: r.text for r in seen[2].collect()}

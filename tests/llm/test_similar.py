@@ -50,8 +50,36 @@ def test_every_similar_pair_is_found(spark, documents):
     near = {frozenset((shingles.shingles(rows[i][1]).tobytes(), shingles.shingles(rows[j][1]).tobytes())) for j in range(len(rows)) for i in range(j) if sets[i] != sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     for limits in ({}, {"often": 2, "most": 100, "share": 1}):
         assert {r.doc_id for r in shingles.one_of_each_similar(df, **limits).collect()} == plain_heads(rows)
-    held = spark.createDataFrame([(k, shingles.shingles(t).tolist()) for k, t in rows], "fp long, members array<long>").dropDuplicates(["members"])
-    assert near and shingles.linked(held, often=5).count() == len(near)
+    # with nothing joined before, all pairs come from the first members
+    held = spark.createDataFrame([(k, shingles.shingles(t).tolist()) for k, t in rows], "digest long, members array<long>").dropDuplicates(["members"])
+    apart = shingles._apart(shingles.first_rows(held, often=5), spark.createDataFrame([], "node long, component long"))
+    assert near and shingles.confirmed(held, shingles.stored(shingles._all_apart(apart, shingles.LEAST), "pairs")).count() == len(near)
     assert {r.doc_id for r in cp.near_duplicates(spark, df, DATA).collect()} == plain_heads(rows)
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     assert {r.doc_id for r in cp.near_duplicates(spark, documents, DATA).collect()} == plain_heads(rows)
+
+
+def test_large_groups_of_near_copies(spark):
+    """Texts that each differ from one text, and more from each other, are one group; the links of both ends are found."""
+    rng = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(2000)]
+    rows = []
+    for group in range(3):
+        base = rng.choices(vocabulary, k=180)
+        for _ in range(80):
+            copy = list(base)
+            for at in rng.sample(range(180), rng.randint(0, 3)):
+                copy[at] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for rounds in (0, 1, 3):
+        sets = df.selectExpr("doc_id as id", "doc_id as row", "text as body").mapInArrow(shingles._sets(5), "id long, row long, digest long, print long, members array<long>")
+        found = shingles.similar_components(shingles.stored(sets, "sets").select("digest", "print", "members"), rounds=rounds)
+        assert len({r.component for r in found.collect()}) == len(plain_heads(rows))
+
+
+def test_odd_rows(spark, odd, none):
+    kept = shingles.one_of_each_similar(odd)
+    assert kept.columns == odd.columns and shingles.one_of_each_similar(none).count() == 0
+    got = sorted((r.doc_id for r in kept.collect()), key=repr)
+    assert got == [1, 2, 3, 6, 8, 9, None]
