@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship as _ship
 
-__all__ = ["held_out", "identified", "among", "release", "renamed", "scratch", "ship", "stored", "table", "tidy", "with_column", "without"]
+__all__ = ["held_out", "identified", "among", "release", "renamed", "scratch", "ship", "stored", "table", "tidy", "valued", "with_column", "without"]
 
 
 #: Rows of an Arrow batch, where the session has Spark's own number: texts are long, and workers hold a batch whole.
@@ -77,13 +77,18 @@ def renamed(df: DataFrame, **names: str | Column) -> DataFrame:
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in names.items()))
 
 
-def with_column(docs: DataFrame, text: str, name: str, kind: str, batches) -> DataFrame:
-    """``docs`` with a last column that ``batches`` computes: a function of an iterator of record batches whose column
-    ``text`` it is to read.  Columns travel under plain names, so that theirs may be anything."""
+def valued(docs: DataFrame, text: str, kind: str, batches) -> DataFrame:
+    """``docs`` under plain names with a last column ``value`` that ``batches`` computes: a function of an iterator of
+    record batches whose column ``text`` it is to read.  ``toDF`` gives the columns their names back, whatever they are."""
     ship(docs.sparkSession)
     plain = ["text" if c == text else f"c{k}" for k, c in enumerate(docs.columns)]
     schema = ", ".join(f"`{p}` {f.dataType.simpleString()}" for p, f in zip(plain, docs.schema))
-    return docs.toDF(*plain).mapInArrow(batches, f"{schema}, value {kind}").toDF(*docs.columns, name)
+    return docs.toDF(*plain).mapInArrow(batches, f"{schema}, value {kind}")
+
+
+def with_column(docs: DataFrame, text: str, name: str, kind: str, batches) -> DataFrame:
+    """``docs`` with a last column ``name``; see ``valued``."""
+    return valued(docs, text, kind, batches).toDF(*docs.columns, name)
 
 
 def tidy() -> None:

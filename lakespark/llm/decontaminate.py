@@ -3,7 +3,7 @@
 Numbers, units after them, and names (words of one capital and small letters, and runs of them) become typed
 placeholders, each of them one word whatever its length.
 Windows of canonical words are joined by hash with those of the benchmark; a bitmap of the benchmark's
-hashes, of fixed size, sorts out nearly all others before they become rows.  Windows that line up (same
+hashes, whose size follows their number up to a bound, sorts out nearly all others before they become rows.  Windows that line up (same
 distance between both places) count together if they are verbatim, or if the slots of neighbouring ones are
 consistent: a benchmark value always meets the same value in the document.  So verbatim passages are found,
 whatever the rest of the copy holds, and questions with other values as well.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, stored
+from .common import identified, renamed, stored, without
 
 #: Words of a window; shorter benchmark texts are one window, and if below ``LEAST_WORDS`` a verbatim one.
 WINDOW, LEAST_WORDS = 8, 5
@@ -24,8 +24,9 @@ _NUMBER, _UNIT, _NAME, _REST = "\x01", "\x02", "\x03", "\x04"
 #: Between the names of a run.
 _JOIN = "\x07"
 _UNITS = "percent|dollars?|cents?|euros?|pounds?|meters?|metres?|km|kilometers?|kilometres?|cm|mm|miles?|feet|foot|inch|inches|yards?|kg|kilograms?|grams?|g|mg|ounces?|lbs?|tons?|liters?|litres?|ml|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|mph|kmh|watts?|volts?"
-#: 64-bit words of the bitmap; a power of two.
-_BITMAP = 4096
+#: 64-bit words of the bitmap at least and at most (2 MB), powers of two; in between it has 16 bits for each of the
+#: benchmark's windows, so that about one in 16 others passes.
+_BITMAP = 1 << 12, 1 << 18
 
 
 def _tokens(text: Column) -> Column:
@@ -74,37 +75,45 @@ def _hashed(rows: DataFrame, sizes: list[int], exact: list[int] | tuple = ()) ->
     return rows
 
 
-def _windows(rows: DataFrame, sizes: list[int], keep: str = "true", exact: dict[int, str] | None = None) -> DataFrame:
-    """A row for each window whose hash ``h`` passes ``keep``: its place in words and among ``runs``, its form and its words.
-    Windows of ``plain`` whose hash passes ``exact`` (by size) come as form 3, with a hash of their values."""
+def _windows(rows: DataFrame, sizes: list[int], test: "_Bitmap | None" = None, exact: list[int] | tuple = ()) -> DataFrame:
+    """A row for each window whose hash ``h`` passes ``test``: its place in words and among ``runs``, its form and its words.
+    Windows of ``plain`` of the sizes ``exact`` come as form 3, with a hash of their values."""
+    keep = (lambda h: test.holds(h)) if test else (lambda h: "true")
     place = {f: ("i", "coalesce(get(at, i), i)") for f in _FORMS}
     place["runs"] = ("cast(array_position(at, i) - 1 as int)", "i")
     per_size = [
-        f"transform(array_compact(transform({f}w{n}, (h, i) -> case when {keep} then i end)), i -> struct(element_at({f}w{n}, i + 1) as h, {place[f][0]} as place, {place[f][1]} as run_place, {k}Y as form, slice({f}, i + 1, {n}) as slots))"
+        f"transform(array_compact(transform({f}w{n}, (h, i) -> case when {keep('h')} then i end)), i -> struct(element_at({f}w{n}, i + 1) as h, {place[f][0]} as place, {place[f][1]} as run_place, {k}Y as form, slice({f}, i + 1, {n}) as slots))"
         for k, f in enumerate(_FORMS)
         for n in sizes
     ]
-    exact = exact or {}
-    per_size += [
-        f"transform(array_compact(transform({'plain%d' % n if n in (1, 2, 4) else 'plainw%d' % n}, (h, i) -> case when {test} then i end)), i -> struct(xxhash64(slice(plain, i + 1, {n}), 'exact') as h, i as place, coalesce(get(at, i), i) as run_place, 3Y as form, slice(plain, i + 1, {n}) as slots))"
-        for n, test in exact.items()
-    ]
+    for n in exact:
+        h = f"xxhash64(slice(plain, i + 1, {n}), 'exact')"
+        per_size.append(f"transform(array_compact(transform({'plain%d' % n if n in (1, 2, 4) else 'plainw%d' % n}, (h, i) -> case when {keep(h)} then i end)), i -> struct({h} as h, i as place, coalesce(get(at, i), i) as run_place, 3Y as form, slice(plain, i + 1, {n}) as slots))")
+    whole = f"concat({', '.join(per_size)})"
+    if test:  # bound once, however often it is asked
+        whole = f"element_at(transform(array({test.words}), bits -> {whole}), 1)"
     others = [c for c in rows.columns if c not in (*_FORMS, "at")]
-    return _hashed(rows, sizes, [n for n in exact if n not in (1, 2, 4)]).select(*others, F.inline(F.expr(f"concat({', '.join(per_size)})")))
+    return _hashed(rows, sizes, [n for n in exact if n not in (1, 2, 4)]).select(*others, F.inline(F.expr(whole)))
 
 
 def _canonical(slots: str) -> str:
     return f"transform({slots}, t -> case when t < '{_REST}' then left(t, 1) else t end)"
 
 
-def _bitmap(hashes: DataFrame, h: str) -> str:
-    """A test whether ``h`` may be among ``hashes``: twelve bits choose a word of the bitmap and six more a bit; at most _BITMAP rows come to the driver."""
-    bits = hashes.select(F.expr(f"cast(h & {_BITMAP - 1}L as int) as word"), F.expr("shiftleft(1L, cast(shiftright(h, 12) & 63L as int)) as bit"))
-    words = [0] * _BITMAP
-    for word, bit in bits.groupBy("word").agg(F.bit_or("bit")).collect():
-        words[word] = bit
-    bitmap = f"cast(split('{','.join(map(str, words))}', ',') as array<bigint>)"
-    return f"getbit(get({bitmap}, cast({h} & {_BITMAP - 1}L as int)), cast(shiftright({h}, 12) & 63L as int)) = 1"
+class _Bitmap:
+    """Which hashes may be among some: the low bits choose a word and six more a bit.  At most ``_BITMAP[1]`` rows come to the driver."""
+
+    def __init__(self, hashes: DataFrame, n: int):
+        size = min(_BITMAP[1], max(_BITMAP[0], 1 << max(0, (n - 1).bit_length() - 2)))
+        self.mask, self.shift = size - 1, size.bit_length() - 1
+        bits = hashes.select(F.expr(f"cast(h & {self.mask}L as int) as word"), F.expr(f"shiftleft(1L, cast(shiftright(h, {self.shift}) & 63L as int)) as bit"))
+        words = [0] * size
+        for word, bit in bits.groupBy("word").agg(F.bit_or("bit")).collect():
+            words[word] = bit
+        self.words = f"cast(split('{','.join(map(str, words))}', ',') as array<bigint>)"
+
+    def holds(self, h: str) -> str:
+        return f"getbit(get(bits, cast({h} & {self.mask}L as int)), cast(shiftright({h}, {self.shift}) & 63L as int)) = 1"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadcast: int = 1_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,7 +122,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
 
     A pair counts if ``enough`` windows line up verbatim, or neighbouring ones consistently (13 words; all windows, if the item has
     fewer).  Windows with fewer than four words that are no placeholders, and items of
-    fewer than five words, count only where they are verbatim.  Null texts are empty; repeated documents
+    fewer than five words, count only where they are verbatim.  Other columns are not read; a text's cost is in
+    proportion to its length.  Null texts are empty; repeated documents
     or items count once; null ids are kept; without documents or items there are no rows.  The
     benchmark's windows are broadcast only if there are at most ``broadcast`` of them.
     """
@@ -126,19 +136,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
     sizes = sorted(set(lengths) | {WINDOW})  # at most four
     windows = _windows(own, sizes).where(f"size(slots) = case when form = 2 then run_own else own end and size(filter(slots, t -> t >= '{_REST}')) >= {LITERAL}")
     # windows of few words that are no placeholders, and short items, count where they are verbatim
-    few = _windows(own, [], exact=dict.fromkeys(range(1, WINDOW + 1), "true")).where(f"size(slots) = own and (own < {LEAST_WORDS} or size(filter(slots, t -> t >= '{_REST}')) < {LITERAL})")
+    few = _windows(own, [], exact=range(1, WINDOW + 1)).where(f"size(slots) = own and (own < {LEAST_WORDS} or size(filter(slots, t -> t >= '{_REST}')) < {LITERAL})")
     windows = windows.unionByName(few).withColumn("starts", F.expr("run_words - run_own")).withColumn("all_windows", F.expr("size_of - own + 1"))
     windows = stored(windows.select("item", "item_id", "h", "form", "starts", "all_windows", F.col("place").alias("item_place"), F.col("run_place").alias("item_run_place"), F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
     places = [F.expr("count(distinct case when form < 2 then item_place end)").alias("literal_windows"), F.expr("count(distinct case when form < 3 and item_run_place <= starts then item_run_place end)").alias("run_windows")]
     windows = windows.withColumn("item_form", F.expr("form = 3")).drop("form", "starts").join(windows.groupBy("item").agg(*places), "item").withColumnRenamed("all_windows", "item_windows")
     sizes_few = [r[0] for r in windows.where("item_form").select(F.size("item_slots")).distinct().collect()]
-    keep = _bitmap(windows.where("not item_form").select("h"), "h")
-    canonical = lambda n: f"xxhash64(slice(plain, i + 1, {n}), 'exact')"
-    exact = {n: _bitmap(windows.where(f"item_form and size(item_slots) = {n}").select("h"), canonical(n)) for n in sizes_few}
-    if windows.count() <= broadcast:
+    n = windows.count()
+    test = _Bitmap(windows.select("h"), n)
+    if n <= broadcast:
         windows = F.broadcast(windows)
-    rows = renamed(docs, doc_id=key, text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    hits = _windows(_with_words(rows), sizes, keep, exact).join(windows, "h").where(f"(form = 3) = item_form and case when item_form then slots = item_slots else {_canonical('slots')} = {_canonical('item_slots')} end")
+    rows = renamed(docs, doc_id=key, text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("row", _row(F.col("doc_id"), F.col("text")))
+    hits = _windows(_with_words(rows), sizes, test, sizes_few).join(windows, "h").where(f"(form = 3) = item_form and case when item_form then slots = item_slots else {_canonical('slots')} = {_canonical('item_slots')} end")
     # of a run of names the last one is compared: words before it may be none, such as the first of a sentence
     value = lambda x: f"case when contains({x}, '{_JOIN}') then concat('{_NAME}', substring_index({x}, '{_JOIN}', -1)) else {x} end"
     pairs = F.expr(f"transform(filter(zip_with(item_slots, slots, (b, d) -> struct(b as b, d as d)), p -> p.b < '{_REST}'), p -> struct({value('p.b')} as b, {value('p.d')} as d))")
@@ -151,15 +160,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
     # slots are to be consistent in a stretch of as many neighbouring windows as are needed, not on the whole line
     lines = lines.withColumn("places", F.expr("array_distinct(transform(held, x -> x.spot))"))
     stretch = "array_distinct(flatten(transform(filter(held, x -> x.spot between places[i] and places[i + need - 1]), x -> x.pairs)))"
-    sound = f"exists(sequence(0, size(places) - cast(need as int)), i -> exists(array({stretch}), s -> size(array_distinct(transform(s, p -> p.b))) = size(s)))".replace("need - 1", "cast(need as int) - 1")
+    # a value always meets the same one, and different names meet different ones
+    one_to_one = f"size(array_distinct(transform(s, p -> p.b))) = size(s) and size(array_distinct(transform(filter(s, p -> p.b >= '{_NAME}'), p -> p.d))) = size(filter(s, p -> p.b >= '{_NAME}'))"
+    sound = f"exists(sequence(0, size(places) - cast(need as int)), i -> exists(array({stretch}), s -> {one_to_one}))".replace("need - 1", "cast(need as int) - 1")
     found = lines.where(f"case when is_verbatim then true when need > 0 and size(places) >= need then {sound} else false end").withColumn("reparameterised", ~F.col("is_verbatim"))
     return found.groupBy("row", "doc_id", "item_id", "item_windows").agg(
         F.max("n_windows").alias("n_windows"), F.min("place").alias("place"), F.min("reparameterised").alias("reparameterised")
     ).select("row", "doc_id", "item_id", "n_windows", "item_windows", "place", "reparameterised")
 
 
+def _row(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("string"), F.coalesce(text, F.lit("")))
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; the others keep all their columns."""
-    held = contaminated(docs, benchmark, **options).select(F.col("row").alias("__row")).distinct()
-    row = F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(held.hint("shuffle_hash"), row == F.col("__row"), "left_anti")
+    """``docs`` without the documents that hold a benchmark item; the others keep all their columns, whatever their names.
+    Only the found documents' hashes are joined with the documents; see ``without``."""
+    held = stored(contaminated(docs, benchmark, **options).select("row").distinct(), "contaminated")
+    own = identified(docs)
+    plain = [c for c in own.columns if c not in ("id", "row", "body")]
+    at = dict(zip(docs.columns, plain))
+    own = own.withColumn("row", _row(F.col(at["doc_id"]), F.col("body")))
+    return without(own, held, ["row"]).select(*plain).toDF(*docs.columns)

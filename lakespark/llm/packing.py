@@ -15,9 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, scratch, ship
+from .common import renamed, scratch, ship, tidy
 from .tokens import crc32, encoder, gathered
 
+#: Distinct chunks that a worker keeps, and characters that it encodes at once: other stages have used the same workers.
+CACHE, CHARACTERS = 300_000, 2_000_000
 BINS = "sequence_id long, size int, doc_id array<long>, piece array<int>, start array<long>, length array<int>, ids_crc32 array<long>"
 _LISTS = ("doc_id", "piece", "start", "length", "ids_crc32")
 _TYPES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int32(), "ids_crc32": pa.int64()}
@@ -59,7 +61,7 @@ def _ids(turn: int, n: int, at: int) -> list[int]:
 
 def _first(tokenizer: str, end: int, capacity: int, pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, given = encoder(tokenizer), 0
+        own, given = encoder(tokenizer, CACHE), 0
         held: list[tuple] = []
 
         def pack() -> pa.RecordBatch:
@@ -71,8 +73,8 @@ def _first(tokenizer: str, end: int, capacity: int, pieces: int):
             held = []
             return out
 
-        for docs, texts in gathered(batches):
-            for first, last, ids, counts in own.encode_in_blocks(texts):
+        for docs, texts in gathered(batches, CHARACTERS):
+            for first, last, ids, counts in own.encode_in_blocks(texts, CHARACTERS):
                 ids = np.insert(ids, np.cumsum(counts), end)
                 ends = np.cumsum(counts + 1)
                 for doc, stop, n in zip(docs[first:last], ends.tolist(), (counts + 1).tolist()):
@@ -86,6 +88,7 @@ def _first(tokenizer: str, end: int, capacity: int, pieces: int):
                     yield pack()
         if held:
             yield pack()
+        tidy()
 
     return run
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, renamed, ship, stored, with_column
+from .common import held_out, renamed, ship, stored, tidy, valued, with_column
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -26,7 +26,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are features.
 STEMS = range(3, 9)
 #: Words whose features a worker keeps.
-_KNOWN = 300_000
+_KNOWN = 200_000
 
 
 def words_of(text: str | None) -> set[str]:
@@ -181,6 +181,8 @@ def _score(model: Model):
         for b in batches:
             logits = np.array([model.logit(t) for t in b.column("text").to_pylist()], np.float64)
             yield b.append_column("value", pa.array(_sigmoid(logits)))
+        model.known.clear()
+        tidy()
 
     return run
 
@@ -202,5 +204,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sampl
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample) -> DataFrame:
-    """``docs`` without the texts that score ``threshold`` or more; the others keep all their columns."""
-    return score(docs, learn(docs, labels, **sample), name="__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    """``docs`` without the texts that score ``threshold`` or more; the others keep all their columns, whatever their
+    names.  Null and empty texts hold no word and stay unless the prior is that high; repeated rows are judged alike."""
+    return valued(docs, "text", "double", _score(learn(docs, labels, **sample))).where(F.col("value") < threshold).drop("value").toDF(*docs.columns)
