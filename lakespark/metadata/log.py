@@ -152,12 +152,14 @@ class Log:
         properties: dict[str, str] | None = None,
         base: int | None = None,
         check: Callable[[Snapshot | None], None] | None = None,
+        renumber: bool = True,
     ) -> Snapshot | None:
         """Publishes a snapshot; None if there was nothing to do.
 
         Files to remove must still be active.  ``base`` is the snapshot that the change was computed from: an
         overwrite fails if rows came or went since, unless ``removed`` is a function that looks again.
-        ``check`` can reject what was published since.  A commit that ``user`` has made with this
+        ``check`` can reject what was published since.  Files take this commit's number as their sequence, unless they
+        are compacted ones or ``renumber`` is false.  A commit that ``user`` has made with this
         ``identifier`` before isn't made again.
         """
         repeat = user is not None and identifier is not None
@@ -182,24 +184,26 @@ class Log:
             if check:
                 check(last)
             number = last.id + 1 if last else 1
-            new = [f if kind == COMPACT else replace(f, sequence=number) for f in added]
+            new = [f if kind == COMPACT or not renumber else replace(f, sequence=number) for f in added]
             entries = [("DELETE", f) for f in gone] + [("ADD", f) for f in new]
             delta = self._put_manifest(f"delta-{number}", entries)
-            manifests = (*(last.manifests if last else ()), delta)
+            manifests, base_manifest = (*(last.manifests if last else ()), delta), None
             if len(manifests) > self.options.base_every:
                 paths = {f.path for f in gone}
                 whole = [f for p, f in active.items() if p not in paths] + new
-                manifests = (self._put_manifest(f"base-{number}", [("ADD", f) for f in whole]),)
+                base_manifest = self._put_manifest(f"base-{number}", [("ADD", f) for f in whole])
+                manifests = (base_manifest,)
             plus, minus = sum(f.rows for f in new), sum(f.rows for f in gone)
             numbered = dict(last.numbered) if last else {}
             if repeat:
                 numbered[f"{user} {kind}"] = max(identifier, numbered.get(f"{user} {kind}", identifier))
             made = Snapshot(
-                number, last.schema_id if schema_id is None and last and not added else schema_id or 0, kind, user, identifier, int(time.time() * 1000), manifests, delta, (last.total_rows if last else 0) + plus - minus, plus - minus, watermark, properties or {}, numbered
+                number, schema_id if schema_id is not None else last.schema_id if last else 0, kind, user, identifier, int(time.time() * 1000), manifests, delta, (last.total_rows if last else 0) + plus - minus, plus - minus, watermark, properties or {}, numbered
             )
             if self.store.create(f"{self.root}/snapshot/snapshot-{number}", json.dumps(asdict(made), indent=1)):
                 return made
-            self.store.delete(f"{self.root}/manifest/{delta}")
+            for m in filter(None, (delta, base_manifest)):
+                self.store.delete(f"{self.root}/manifest/{m}")
             turn += 1
             if turn > self.options.retries or time.monotonic() - began > self.options.timeout:
                 raise CommitConflict(f"gave up after {turn} tries")

@@ -59,6 +59,15 @@ class LocalStore:
                     found[os.path.relpath(full, path)] = os.path.getsize(full)
         return found
 
+    def times(self, path: str) -> dict[str, int]:
+        """Relative path and time of writing, in milliseconds, of every file below a folder."""
+        found = {}
+        for top, _, names in os.walk(path):
+            for n in names:
+                full = os.path.join(top, n)
+                found[os.path.relpath(full, path)] = int(os.path.getmtime(full) * 1000)
+        return found
+
     def move(self, source: str, target: str) -> None:
         os.makedirs(os.path.dirname(target), exist_ok=True)
         os.rename(source, target)
@@ -74,10 +83,11 @@ class LocalStore:
 
 
 class HadoopStore:
-    """Any file system that Spark reads; ``create`` needs one whose create-without-overwrite is atomic (HDFS is)."""
+    """Any file system that Spark reads.  ``create`` writes aside and then takes the name with all content at once, by a
+    rename that doesn't overwrite (atomic on HDFS), or a hard link on local disks."""
 
     def __init__(self, spark):
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _of(self, path: str):
         p = self._jvm.org.apache.hadoop.fs.Path(path)
@@ -97,13 +107,26 @@ class HadoopStore:
     def create(self, path: str, text: str) -> bool:
         from py4j.protocol import Py4JJavaError
 
+        fs, p = self._of(path)
+        if fs.exists(p):
+            return False
+        aside = self._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}.tmp")
+        self._put(aside.toString(), text, False)
         try:
-            self._put(path, text, False)
+            if fs.getScheme() == "file":
+                file = lambda x: self._jvm.java.nio.file.Path.of(fs.makeQualified(x).toUri().getPath(), self._gateway.new_array(self._jvm.java.lang.String, 0))
+                self._jvm.java.nio.file.Files.createLink(file(p), file(aside))
+            else:
+                once = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                once[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf).rename(aside, p, once)
             return True
         except Py4JJavaError:
-            if self.exists(path):
+            if fs.exists(p):
                 return False
             raise
+        finally:
+            fs.delete(aside, False)
 
     def _put(self, path: str, text: str, over: bool) -> None:
         fs, p = self._of(path)
@@ -131,6 +154,15 @@ class HadoopStore:
                 found[s.getPath().toString()[len(root) + 1 :]] = s.getLen()
         return found
 
+    def times(self, path: str) -> dict[str, int]:
+        fs, p = self._of(path)
+        found, root = {}, fs.makeQualified(p).toString()
+        files = fs.listFiles(p, True) if fs.exists(p) else None
+        while files is not None and files.hasNext():
+            s = files.next()
+            found[s.getPath().toString()[len(root) + 1 :]] = s.getModificationTime()
+        return found
+
     def move(self, source: str, target: str) -> None:
         fs, p = self._of(source)
         _, q = self._of(target)

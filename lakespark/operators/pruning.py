@@ -1,6 +1,6 @@
 """Which files can't hold a row that a predicate asks for: by partition, least and most, and sets of values.
 
-Only what must hold as a whole is looked at; an OR, a NOT or a missing statistic keeps the file.  Files
+Of an OR one side must be possible; a NOT or a missing statistic keeps the file.  Files
 of a primary-key table are pruned by key fields alone while newer versions of a row can be in others.
 """
 
@@ -11,7 +11,7 @@ import decimal
 
 from ..metadata.files import DataFile
 from ..metadata.schema import Schema
-from .predicate import Compare, In, IsNull, PartitionPredicate, Predicate
+from .predicate import And, Compare, In, IsNull, Or, PartitionPredicate, Predicate
 
 _NUMBERS = (int, float, decimal.Decimal)
 
@@ -65,6 +65,10 @@ def may_match(f: DataFile, part: Predicate, schema: Schema) -> bool:
         return any(_can_hold(f, key, "eq", v) for v in part.values if v is not None)
     if isinstance(part, IsNull):
         return f.nulls.get(str(schema[part.field].id), 1) > 0
+    if isinstance(part, And):
+        return all(may_match(f, p, schema) for p in part.of)
+    if isinstance(part, Or):
+        return any(may_match(f, p, schema) for p in part.of)
     return True
 
 

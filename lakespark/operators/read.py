@@ -47,6 +47,15 @@ def read_rows(spark: SparkSession, root: str, files: list[DataFile], schema: Sch
     return _scan(spark, root, files, schema).select(*_columns(schema))
 
 
+def with_path(spark: SparkSession, root: str, files: list[DataFile], schema: Schema) -> DataFrame:
+    """Rows of files as they are, with the file's path in ``_path``."""
+    parts = [_scan(spark, root, own, schema).select(*_columns(schema), F.col("_metadata.file_path").alias("_path")) for kind in FORMATS if (own := [f for f in files if f.path.endswith(f".{kind}")])]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionAll(p)
+    return whole
+
+
 def sections(files: list[DataFile], schema: Schema) -> tuple[list[DataFile], list[DataFile]]:
     """(files whose rows no other file can hide, the others), by ranges of the first key field.
 

@@ -140,9 +140,17 @@ def _statistics(spark, staged: str, schema: Schema, indexes: dict[str, set[str]]
         wanted += [F.min(c).alias(f"{s}-least"), F.max(c).alias(f"{s}-most"), F.count(c).alias(f"{s}-count")]
     for n in bitmaps:
         c = F.col(schema[n].stored)
-        wanted += [F.slice(F.sort_array(F.collect_set(c)), 1, BITMAP + 1).alias(f"{schema[n].stored}-values"), F.count(c).alias(f"{schema[n].stored}-held")]
+        wanted += [F.approx_count_distinct(c).alias(f"{schema[n].stored}-distinct"), F.count(c).alias(f"{schema[n].stored}-held")]
+    path = F.col("_metadata.file_path").alias("file")
+    told = list(rows.groupBy(path).agg(*wanted).toLocalIterator())
+    # sets of values are gathered only where an estimate says that they are small
+    sets: dict[str, dict] = {}
+    few = {n: [r["file"] for r in told if r[f"{schema[n].stored}-distinct"] <= 1.25 * BITMAP] for n in bitmaps}
+    if any(few.values()):
+        value = lambda n: F.collect_set(F.when(path.isin(few[n]), F.col(schema[n].stored))).alias(schema[n].stored)
+        sets = {r["file"]: r.asDict() for r in rows.groupBy(path).agg(*[value(n) for n in bitmaps if few[n]]).toLocalIterator()}
     found = {}
-    for r in rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(*wanted).toLocalIterator():
+    for r in told:
         d = {"rows": r["rows"], "least": {}, "most": {}, "nulls": {}, "values": {}}
         for n in ranged:
             s, k = schema[n].stored, str(schema[n].id)
@@ -153,7 +161,7 @@ def _statistics(spark, staged: str, schema: Schema, indexes: dict[str, set[str]]
         for n in bitmaps:
             s, k = schema[n].stored, str(schema[n].id)
             d["nulls"][k] = r["rows"] - r[f"{s}-held"]
-            if len(r[f"{s}-values"]) <= BITMAP:
-                d["values"][k] = list(r[f"{s}-values"])
+            if r["file"] in few[n] and len(sets[r["file"]][s]) <= BITMAP:
+                d["values"][k] = sorted(sets[r["file"]][s])
         found[unquote(r["file"]).rpartition(f"/{staged.rpartition('/')[2]}/")[2]] = d
     return found

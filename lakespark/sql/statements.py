@@ -1,7 +1,8 @@
 """SQL over tables of a catalog.
 
 Statements are parsed by Spark; tables in them are found in its syntax tree, bound to DataFrames as
-temporary views, and the rest is left to Spark.  DDL and changes of rows go to the catalog and tables.  In
+temporary views, and the rest is left to Spark.  Filters that Catalyst moves down to a table choose its
+files (``pushdown``).  DDL and changes of rows go to the catalog and tables.  In
 CREATE TABLE, columns that are NOT NULL make up the primary key, unless the property ``primary-key`` names it.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from ..errors import SchemaError, Unsupported
 from ..identifiers import Identifier
 from ..metadata.schema import spark_type
+from .pushdown import StandIn, filters
 
 _CREATE = re.compile(r"\s*create\s+table\s+(?P<if>if\s+not\s+exists\s+)?(?P<name>[\w.`$-]+)\s*\(", re.I)
 
@@ -84,11 +86,15 @@ def _with_bodies(plan):
                 yield from _with_bodies(ctes.next()._2())
 
 
-def query(catalog, text: str) -> DataFrame:
-    """A query as a DataFrame.  ``t VERSION AS OF n`` and ``TIMESTAMP AS OF`` (milliseconds or a time) read older versions."""
+def query(catalog, text: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A query as a DataFrame.  ``t VERSION AS OF n`` and ``TIMESTAMP AS OF`` (milliseconds or a time) read older versions.
+
+    ``known`` gives names that stand for DataFrames.
+    """
     plan = _parse(catalog, text)
     hidden = _cte_names(plan)
     edits: dict[tuple[int, int], str] = {}
+    tables: dict[str, tuple] = {}
     inside = set()
     for node in _with_bodies(plan):
         kind = node.getClass().getSimpleName()
@@ -114,25 +120,35 @@ def query(catalog, text: str) -> DataFrame:
         if at in edits:
             continue
         # Spark counts UTF-16 units and, for time travel, may leave out the table's name
-        first = min(at[0], relation.origin().startIndex().get())
+        first, stop = min(at[0], relation.origin().startIndex().get()), at[1]
         name = _name(parts)
-        if not catalog.table_exists(Identifier.parse(name, catalog.current)):
+        given = (known or {}).get(name)
+        if given is None and not catalog.table_exists(Identifier.parse(name, catalog.current)):
             if len(parts) == 1 and catalog.spark.catalog.tableExists(parts[0]):
                 continue
         view = f"_lake_{uuid.uuid4().hex}"
-        catalog.read(name, **options).createOrReplaceTempView(view)
-        stop = _after_version(text, at[1]) if kind == "RelationTimeTravel" else at[1]
+        i = Identifier.parse(name, catalog.current)
+        if given is not None:
+            given.createOrReplaceTempView(view)
+        elif i.system is not None:
+            catalog.read(name, **options).createOrReplaceTempView(view)
+        else:
+            table = catalog.table(i)
+            tables[view] = table, options, StandIn(catalog.spark, table.schema)
         named = re.match(r"\s*(?:as\s+)?(?!(?:where|join|on|inner|left|right|full|cross|semi|anti|natural|group|order|having|limit|union|intersect|except|minus|window|lateral|tablesample|using|sort|cluster|distribute|pivot|unpivot|offset|qualify)\b)[A-Za-z_`]", text[stop + 1 :], re.I)
-        edits[(first, stop)] = f"`{view}`" + ("" if named else f" AS `{Identifier.parse(name, catalog.current).table}`")
+        edits[(first, stop)] = f"`{view}`" + ("" if named else f" AS `{i.table}`")
     for (first, stop), to in sorted(edits.items(), reverse=True):
         text = text[:first] + to + text[stop + 1 :]
+    asked: dict = {}
+    if tables:
+        for view, (_, _, stand_in) in tables.items():
+            stand_in.rows.createOrReplaceTempView(view)
+        asked = filters(catalog.spark.sql(text), [x[2] for x in tables.values()])
+    for view, (table, options, stand_in) in tables.items():
+        table.scan(table.plan(asked.get(stand_in.name), **options)).createOrReplaceTempView(view)
     return catalog.spark.sql(text)
 
 
-def _after_version(text: str, stop: int) -> int:
-    return stop
-
-
 def _done(catalog, **values) -> DataFrame:
     schema = T.StructType([T.StructField(k, T.LongType() if isinstance(v, int) else T.StringType()) for k, v in values.items()])
     return catalog.spark.createDataFrame([tuple(values.values())], schema)
@@ -316,17 +332,32 @@ def _change(catalog, text: str, word: str) -> DataFrame:
     if kind == "DeleteFromTable":
         t = catalog.table(_name(_parts(_relation(plan.table()))))
         condition = plan.condition().sql()
+        if _has_subquery(plan.condition()):
+            return _snapshot(catalog, t.rewrite(lambda rows: _chosen(catalog, rows, t, text, "*", "not coalesce(({condition}), false)")))
         return _snapshot(catalog, t.delete(None if condition.lower() == "true" else condition))
     if kind == "UpdateTable":
         t = catalog.table(_name(_parts(_relation(plan.table()))))
         changes = {a.key().sql().strip("`"): F.expr(a.value().sql()) for a in _items(plan.assignments())}
         where = plan.condition().get().sql() if plan.condition().isDefined() else None
+        if where and _has_subquery(plan.condition().get()) or any(_has_subquery(a.value()) for a in _items(plan.assignments())):
+            raise Unsupported("subqueries in UPDATE; MERGE can say the same")
         return _snapshot(catalog, t.update(changes, where))
     if kind == "MergeIntoTable":
         return _merge(catalog, text, plan)
     raise Unsupported(f"{word.upper()}: {kind}")
 
 
+def _has_subquery(expression) -> bool:
+    return next(_subqueries(expression), None) is not None
+
+
+def _chosen(catalog, rows: DataFrame, t, text: str, columns: str, test: str) -> DataFrame:
+    """Rows of ``t`` for which ``test`` of a statement's WHERE condition, as text, holds; tables in it are those of the catalog."""
+    m = re.match(r"delete\s+from\s+(?P<name>[\w.`$-]+)(?:\s+(?:as\s+)?(?P<alias>(?!where\b)\w+))?\s+where\s+(?P<condition>.*)", text, re.I | re.S)
+    alias = m["alias"] or t.identifier.table
+    return query(catalog, f"SELECT {columns} FROM _rows AS `{alias}` WHERE {test.format(condition=m['condition'])}", {"_rows": rows})
+
+
 def _alias(node) -> str | None:
     return node.alias() if node.getClass().getSimpleName() == "SubqueryAlias" else None
 
@@ -356,10 +387,33 @@ def _merge(catalog, text: str, plan) -> DataFrame:
             return condition, {n: F.col(f"`{using}`.`{n}`") for n in names if n.lower() in own}
         return condition, {a.key().sql().split(".")[-1].strip("`"): F.expr(a.value().sql()) for a in _items(action.assignments())}
 
-    if _items(plan.notMatchedBySourceActions()):
-        raise Unsupported("WHEN NOT MATCHED BY SOURCE")
-    matched, unmatched = [clause(x) for x in _items(plan.matchedActions())], [clause(x) for x in _items(plan.notMatchedActions())]
-    return _snapshot(catalog, t.merge_clauses(source, F.expr(plan.mergeCondition().sql()), matched, unmatched, _alias(plan.targetTable()) or t.identifier.table, using))
+    own_name = _alias(plan.targetTable()) or t.identifier.table
+    matched, unmatched, lone = ([clause(x) for x in _items(a)] for a in (plan.matchedActions(), plan.notMatchedActions(), plan.notMatchedBySourceActions()))
+    stars = all(sets is None or x.getClass().getSimpleName() == "UpdateStarAction" or not {t.schema[n].name for n in sets} & set(t.schema.primary_key) for x, (_, sets) in zip(_items(plan.matchedActions()), matched))
+    keys = _equalities(plan.mergeCondition(), own_name, using, t.schema) if stars else None
+    return _snapshot(catalog, t.merge_clauses(source, F.expr(plan.mergeCondition().sql()), matched, unmatched, own_name, using, lone, keys))
+
+
+def _equalities(condition, target: str, using: str, schema) -> dict | None:
+    """The source's columns that a condition equates with the primary key, if it asks for nothing else."""
+    if condition.getClass().getSimpleName() == "And":
+        sides = [_equalities(c, target, using, None) for c in _items(condition.children())]
+        found = None if None in sides else {k: v for s in sides for k, v in s.items()}
+    elif condition.getClass().getSimpleName() in ("EqualTo", "EqualNullSafe"):
+        names = [_parts_of(c) for c in _items(condition.children())]
+        by = {p[0].lower(): p[1] for p in names if p and len(p) == 2}
+        found = {by[target.lower()]: F.col(f"`{by[using.lower()]}`")} if using and {target.lower(), using.lower()} == set(by) else None
+    else:
+        found = None
+    if schema is None or found is None:
+        return found
+    known = {n.lower(): n for n in schema.names}
+    found = {known.get(k.lower(), k): v for k, v in found.items()}
+    return found if schema.primary_key and set(found) == set(schema.primary_key) else None
+
+
+def _parts_of(e) -> list[str] | None:
+    return _items(e.nameParts()) if e.getClass().getSimpleName() == "UnresolvedAttribute" else None
 
 
 def _relation(node):

@@ -16,6 +16,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+#: The column of the operation: I, or D for a row that takes its key away.
+OPERATION = "_op"
+
 
 def _numbers(root: str, kind: str) -> list[int]:
     """Ids of a table's snapshots or schemas."""
@@ -37,9 +40,26 @@ class _File(InputPartition):
         self.path, self.columns = path, columns
 
 
+def _batches(path: str, wanted: list[str]) -> Iterator:
+    """Record batches of a data file with those of the wanted columns that it has."""
+    if path.endswith(".orc"):
+        from pyarrow import orc
+
+        file = orc.ORCFile(path)
+        held = set(file.schema.names)
+        for k in range(file.nstripes):
+            yield file.read_stripe(k, columns=[c for c in wanted if c in held])
+        return
+    import pyarrow.parquet as pq
+
+    with pq.ParquetFile(path) as file:
+        held = set(file.schema_arrow.names)
+        yield from file.iter_batches(columns=[c for c in wanted if c in held])
+
+
 class _Reader(DataSourceStreamReader):
-    def __init__(self, root: str, after: int, schema: StructType):
-        self.root, self.after, self.schema = root, after, schema
+    def __init__(self, root: str, after: int, changes: bool, schema: StructType):
+        self.root, self.after, self.changes, self.schema = root, after, changes, schema
 
     def initialOffset(self) -> dict:
         return {"snapshot": self.after}
@@ -57,35 +77,46 @@ class _Reader(DataSourceStreamReader):
             if snapshot["kind"] == "APPEND":
                 with open(f"{self.root}/manifest/{snapshot['delta']}", encoding="utf-8") as lines:
                     entries = [json.loads(x) for x in lines]
-                found += [_File(f"{self.root}/{e['file']['path']}", columns) for e in entries if e["kind"] == "ADD"]
+                files = [e["file"] for e in entries if e["kind"] == "ADD"]
+                if not self.changes and any(f.get("tombstones") for f in files):
+                    raise ValueError(f"snapshot {n} deletes rows; the option changes=true gives them with their operation in {OPERATION}")
+                found += [_File(f"{self.root}/{f['path']}", columns) for f in files]
         return found
 
     def read(self, partition: _File) -> Iterator:
         import pyarrow as pa
-        import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import to_arrow_schema
 
         wanted = to_arrow_schema(self.schema)
-        with pq.ParquetFile(partition.path) as file:
-            held = set(file.schema_arrow.names)
-            for batch in file.iter_batches(columns=[s for s, _ in partition.columns if s in held]):
-                columns = [batch.column(s).cast(wanted.field(n).type) if s in held else pa.nulls(batch.num_rows, wanted.field(n).type) for s, n in partition.columns]
-                yield pa.RecordBatch.from_arrays(columns, schema=wanted)
+        for batch in _batches(partition.path, [*(s for s, _ in partition.columns), *[OPERATION] * self.changes]):
+            held = set(batch.schema.names)
+            columns = [batch.column(s).cast(wanted.field(n).type) if s in held else pa.nulls(batch.num_rows, wanted.field(n).type) for s, n in partition.columns]
+            if self.changes:
+                columns.append(batch.column(OPERATION).cast(pa.string()).fill_null("I") if OPERATION in held else pa.array(["I"] * batch.num_rows, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema=wanted)
 
 
 class LakeSource(DataSource):
     """``readStream.format("lake").option("path", root of a table).option("after", snapshot)``, for warehouses that
-    the driver and executors can open as files."""
+    the driver and executors can open as files.
+
+    ``option("changes", "true")`` adds the column ``_op``: I for rows that came, D for rows whose key went.  Without
+    it, a snapshot with deletions is an error, and an overwrite (or a rollback) always is.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "lake"
 
+    def _changes(self) -> bool:
+        return str(self.options.get("changes", "false")).lower() == "true"
+
     def schema(self) -> str:
-        return ", ".join(f"`{f['name']}` {f['type']}" for f in _fields(self.options["path"]))
+        fields = ", ".join(f"`{f['name']}` {f['type']}" for f in _fields(self.options["path"]))
+        return f"{fields}, {OPERATION} string" if self._changes() else fields
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _Reader(self.options["path"], int(self.options.get("after", 0)), schema)
+        return _Reader(self.options["path"], int(self.options.get("after", 0)), self._changes(), schema)
 
 
 def register_source(spark: SparkSession) -> None:

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, replace
 from typing import TYPE_CHECKING
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from .metadata.log import ANALYZE, APPEND, COMPACT, OVERWRITE, CommitOptions, Lo
 from .metadata.schema import Schema
 from .operators.predicate import PartitionPredicate, Predicate
 from .operators.pruning import prune
-from .operators.read import OPERATION, merge_rows, read_merged, read_rows, sections, with_sequence
+from .operators.read import OPERATION, merge_rows, read_merged, read_rows, sections, with_path, with_sequence
 from .operators.write import conform, latest_of_batch, write_files
+from .sql.pushdown import StandIn, pruning
 
 if TYPE_CHECKING:
     from .catalog import Catalog
@@ -28,7 +30,7 @@ if TYPE_CHECKING:
 class Write:
     """Files that are durable but in no snapshot yet; ``commit`` publishes them, ``abort`` takes them away."""
 
-    def __init__(self, table: "Table", added: list[DataFile], removed=(), kind: str = APPEND, base: int | None = None, check=None):
+    def __init__(self, table: "Table", added: list[DataFile], removed=(), kind: str = APPEND, base: int | None = None, check: Callable[[Snapshot | None], None] | None = None):
         self.table, self.added, self.removed, self.kind, self.base, self.check, self.open = table, added, removed, kind, base, check, True
 
     def commit(self, user: str | None = None, identifier: int | None = None, watermark: int | None = None, properties: dict[str, str] | None = None) -> Snapshot | None:
@@ -84,6 +86,10 @@ class Table:
         merged = not schema.primary_key or not sections(files, schema)[1]
         return prune(files, schema, predicate, partition, merged)
 
+    def scan(self, files: list[DataFile]) -> DataFrame:
+        """All rows of files, the latest of each key."""
+        return (read_merged if self.schema.primary_key else read_rows)(self.spark, self.root, files, self.schema)
+
     def read(self, columns: Sequence[str] | None = None, predicate: Predicate | None = None, partition: PartitionPredicate | dict[str, str] | None = None, snapshot: int | None = None, as_of: int | None = None) -> DataFrame:
         """Rows of a version (the latest, a snapshot's, or that of a time in milliseconds) as a DataFrame.
 
@@ -91,8 +97,7 @@ class Table:
         for in any order, and more than once.
         """
         schema = self.schema
-        files = self.plan(predicate, partition, snapshot, as_of)
-        rows = (read_merged if schema.primary_key else read_rows)(self.spark, self.root, files, schema)
+        rows = self.scan(self.plan(predicate, partition, snapshot, as_of))
         if partition is not None:
             rows = rows.where((PartitionPredicate.of(partition) if isinstance(partition, dict) else partition).column())
         if predicate is not None:
@@ -201,7 +206,9 @@ class Table:
         if last is None:
             return None
         files = list(self.log.files(last).values())
-        touched = prune(files, schema, predicate, None, True) if isinstance(predicate, Predicate) else files
+        if isinstance(predicate, (str, Column)):
+            predicate = pruning(self.spark, schema, predicate)
+        touched = prune(files, schema, predicate, None, True)
         if schema.primary_key and touched:
             alone, mixed = sections(files, schema)
             paths = {f.path for f in touched}
@@ -209,8 +216,7 @@ class Table:
             touched = [f for f in alone if f.path in paths] + (mixed if any(f.path in paths for f in mixed) else [])
         if not touched:
             return None
-        rows = (read_merged if schema.primary_key else read_rows)(self.spark, self.root, touched, schema)
-        return Write(self, write_files(conform(change(rows), schema), self.root, schema, self.store), touched, OVERWRITE, last.id).commit(**commit)
+        return Write(self, write_files(conform(change(self.scan(touched)), schema), self.root, schema, self.store), touched, OVERWRITE, last.id).commit(**commit)
 
     def _condition(self, where: Predicate | Column | str | None) -> Column:
         if where is None:
@@ -223,15 +229,24 @@ class Table:
         """Takes away rows for which ``where`` is true; all, if there is none."""
         if where is None:
             return Write(self, [], lambda last: list(self.log.files(last).values()), OVERWRITE).commit(**commit)
-        if isinstance(where, Predicate):
-            schema, last = self.schema, self.log.latest()
-            if where.fields() and {schema[n].name for n in where.fields()} <= set(schema.partition_keys) and last:
-                whole = self._whole_partitions(where, list(self.log.files(last).values()))
-                if whole is not None:
-                    return Write(self, [], whole, OVERWRITE, last.id).commit(**commit) if whole else None
+        schema, last = self.schema, self.log.latest()
+        names = self._names(where)
+        if names and names <= set(schema.partition_keys) and last:
+            whole = self._whole_partitions(self._condition(where), list(self.log.files(last).values()))
+            if whole is not None:
+                return Write(self, [], whole, OVERWRITE, last.id).commit(**commit) if whole else None
         return self.rewrite(lambda rows: rows.where(~self._condition(where)), where, **commit)
 
-    def _whole_partitions(self, where: Predicate, files: list[DataFile]) -> list[DataFile] | None:
+    def _names(self, where: Predicate | Column | str) -> set[str]:
+        """Fields that a condition looks at; none if it isn't one over rows alone."""
+        if isinstance(where, Predicate):
+            return {self.schema[n].name for n in where.fields()}
+        rows = StandIn(self.spark, self.schema)
+        plan = rows.rows.where(self._condition(where))._jdf.queryExecution().analyzed()
+        names = {plan.condition().references().toSeq().apply(k).name() for k in range(plan.condition().references().size())} if plan.condition().deterministic() else set()
+        return {n for n in self.schema.names if n in names}
+
+    def _whole_partitions(self, where: Column, files: list[DataFile]) -> list[DataFile] | None:
         """Files of partitions that a predicate takes whole, told by one row for each partition; None if a newer
         version of a row could be elsewhere."""
         schema = self.schema
@@ -242,7 +257,7 @@ class Table:
             return []
         rows = self.spark.createDataFrame([tuple(dict(s).get(k) for k in schema.partition_keys) for s in specs], ", ".join(f"`{k}` string" for k in schema.partition_keys))
         typed = rows.select(*[F.col(f"`{k}`").cast(schema[k].data_type).alias(k) for k in schema.partition_keys], *[F.col(f"`{k}`").alias(f"_{k}") for k in schema.partition_keys])
-        gone = {tuple(r) for r in typed.where(where.column()).select(*[f"`_{k}`" for k in schema.partition_keys]).collect()}
+        gone = {tuple(r) for r in typed.where(where).select(*[f"`_{k}`" for k in schema.partition_keys]).collect()}
         return [f for f in files if tuple(f.partition.get(k) for k in schema.partition_keys) in gone]
 
     def update(self, changes: dict[str, Column | str | object], where: Predicate | Column | str | None = None, **commit) -> Snapshot | None:
@@ -266,33 +281,52 @@ class Table:
         if update:
             matched.append((None, {n: F.col(f"s.`{n}`") for n in self.schema.names if n.lower() in given} if update is True else update))
         new = [(None, {n: F.col(f"s.`{n}`") for n in self.schema.names if n.lower() in given})] if insert else []
-        return self.merge_clauses(source, condition, matched, new, **commit)
+        keys = {self.schema[c].name: F.col(f"`{c}`") for c in on}
+        return self.merge_clauses(source, condition, matched, new, keys=keys if set(keys) == set(self.schema.primary_key) else None, **commit)
 
-    def merge_clauses(self, source: DataFrame, on: Column, matched: list[tuple[Column | None, dict[str, Column] | None]], unmatched: list[tuple[Column | None, dict[str, Column]]], target: str = "t", using: str = "s", **commit) -> Snapshot | None:
+    def merge_clauses(self, source: DataFrame, on: Column, matched: list[tuple[Column | None, dict[str, Column] | None]], unmatched: list[tuple[Column | None, dict[str, Column]]], target: str = "t", using: str = "s", lone: list[tuple[Column | None, dict[str, Column] | None]] = (), keys: dict[str, Column] | None = None, **commit) -> Snapshot | None:
         """MERGE: for each row with a partner the first clause of ``matched`` whose condition holds sets fields, or takes
         the row away (None); rows of the source without one are inserted by the first clause of ``unmatched`` that
-        holds.  A row that meets two of the source is an error."""
+        holds; rows of the table without one are changed by ``lone``.  A row that meets two of the source is an error.
+
+        ``keys`` tells that ``on`` asks for equality of the primary key and nothing else, with the source's columns:
+        then changed rows are written as new versions, and no file is rewritten.  Otherwise files with partners
+        are found first, and only they are rewritten (all of them, if ``lone`` has clauses).
+        """
         schema, last = self.schema, self.log.latest()
         files = list(self.log.files(last).values()) if last else []
-        rows = (read_merged if schema.primary_key else read_rows)(self.spark, self.root, files, schema)
-        t = rows.withColumn("_t", F.monotonically_increasing_id()).alias(target)
+        base = last.id if last else None
         s = source.withColumn("_s", F.lit(True)).alias(using)
-        both = t.join(s, on, "full" if unmatched else "left")
-        pair, lone = F.col("_t").isNotNull() & F.col("_s").isNotNull(), F.col("_t").isNull()
+        versions = bool(keys) and bool(schema.primary_key) and not lone
+        if versions:
+            files = self._of_keys(source, keys, files)
+            t = self.scan(files)
+            how = "right"
+        else:
+            if not lone and files:
+                files = self._with_partners(s, on, target, files)
+            t = self.scan(files)
+            how = "full" if unmatched else "left"
+        t = t.withColumn("_t", F.monotonically_increasing_id()).alias(target)
+        both = t.join(s, on, how)
+        pair, new = F.col("_t").isNotNull() & F.col("_s").isNotNull(), F.col("_t").isNull()
+        single = F.col("_s").isNull()
+        clauses = [*((pair, c) for c in matched), *((new, c) for c in unmatched), *((single, c) for c in lone)]
         which = F.when(F.lit(False), F.lit(0))
-        for k, (condition, _) in enumerate(matched):
-            which = which.when(pair & (F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))), k)
-        for k, (condition, _) in enumerate(unmatched, len(matched)):
-            which = which.when(lone & (F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))), k)
-        both = both.withColumn("_clause", which.otherwise(F.when(lone, -2).otherwise(-1)))
-        gone = [-2, *(k for k, (_, sets) in enumerate(matched) if sets is None)]
+        for k, (side, (condition, _)) in enumerate(clauses):
+            which = which.when(side & (F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))), k)
+        both = both.withColumn("_clause", which.otherwise(F.when(new, -2).otherwise(-1)))
+        gone = [k for k, (_, (_, sets)) in enumerate(clauses) if sets is None]
         columns = []
         for f in schema.fields:
-            value = F.when(F.col("_clause") == -1, F.col(f"{target}.`{f.name}`"))
-            for k, (_, sets) in enumerate([*matched, *unmatched]):
+            own = F.col(f"{target}.`{f.name}`")
+            value = F.when(F.col("_clause").isin(-1, *gone), own)
+            for k, (side, (_, sets)) in enumerate(clauses):
                 if sets is not None:
-                    kept = F.col(f"{target}.`{f.name}`") if k < len(matched) else F.lit(None)
-                    value = value.when(F.col("_clause") == k, {schema[n].name: c for n, c in sets.items()}.get(f.name, kept).cast(f.data_type))
+                    given = {schema[n].name: c for n, c in sets.items()}
+                    if versions and side is pair and f.name in schema.primary_key:
+                        given.pop(f.name, None)  # it is the same
+                    value = value.when(F.col("_clause") == k, given.get(f.name, F.lit(None) if side is new else own).cast(f.data_type))
             columns.append(value.cast(f.data_type).alias(f.name))
         # rows with several partners are rare; only if there are any do rows have to be gathered by target row
         several = both.where(pair).groupBy("_t").agg(F.count("*").alias("n"), F.sum((F.col("_clause") >= 0).cast("int")).alias("hits")).where("n > 1")
@@ -302,9 +336,46 @@ class Table:
         if worst:
             key = F.coalesce(F.col("_t"), -1 - F.monotonically_increasing_id())
             both = both.withColumn("_key", key).withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_clause")))).where("_place = 1")
-        checked = both.where(~F.col("_clause").isin(gone)).select(*columns)
+        if versions:
+            changed = both.where("_clause >= 0")
+            if gone:
+                columns.append(F.when(F.col("_clause").isin(gone), "D").otherwise("I").alias(OPERATION))
+            added = self._files(changed.select(*columns), schema, None)
+            return Write(self, added, kind=APPEND, check=self._unchanged(base)).commit(**commit)
+        checked = both.where(~F.col("_clause").isin(-2, *gone)).select(*columns)
         added = write_files(conform(checked, schema), self.root, schema, self.store)
-        return Write(self, added, files, OVERWRITE, last.id if last else None).commit(**commit)
+        return Write(self, added, files, OVERWRITE, base).commit(**commit) if added or files else None
+
+    def _unchanged(self, base: int | None) -> Callable[[Snapshot | None], None]:
+        """For ``check`` of a commit: rows came or went since a snapshot."""
+
+        def check(last: Snapshot | None) -> None:
+            since = [self.log.snapshot(n) for n in self.log.snapshot_ids() if n > (base or 0)] if last else []
+            if any(s.kind not in (COMPACT, ANALYZE) for s in since):
+                raise CommitConflict(f"the table changed since snapshot {base}")
+
+        return check
+
+    def _of_keys(self, source: DataFrame, keys: dict[str, Column], files: list[DataFile]) -> list[DataFile]:
+        """Files that can hold keys of the source, by the least and most of the first one."""
+        from .operators.predicate import between
+
+        first = self.schema.primary_key[0]
+        column = keys[first].cast(self.schema[first].data_type)
+        low, high = source.agg(F.min(column), F.max(column)).first()
+        if low is None or not files:
+            return []
+        return prune(files, self.schema, between(first, low, high), None, not sections(files, self.schema)[1])
+
+    def _with_partners(self, source: DataFrame, on: Column, target: str, files: list[DataFile]) -> list[DataFile]:
+        """Files with rows that meet one of the source; with files that hold other versions of their keys."""
+        schema = self.schema
+        rows = with_path(self.spark, self.root, files, schema).alias(target)
+        paths = {unquote(r[0]).rpartition(f"{self.root}/")[2] for r in rows.join(source, on, "left_semi").select("_path").distinct().toLocalIterator()}
+        if not schema.primary_key:
+            return [f for f in files if f.path in paths]
+        alone, mixed = sections(files, schema)
+        return [f for f in alone if f.path in paths] + (mixed if any(f.path in paths for f in mixed) else [])
 
     # maintenance
 
@@ -374,12 +445,25 @@ class Table:
             self.store.delete(f"{self.root}/{p}")
         return old
 
-    def remove_orphans(self) -> list[str]:
-        """Deletes staging folders that broken writes left behind; to be run while no write is under way."""
-        names = self.store.names(f"{self.root}/_staging")
-        for n in names:
-            self.store.delete(f"{self.root}/_staging/{n}")
-        return names
+    def remove_orphans(self, older_than: float = 0.0) -> list[str]:
+        """Deletes staging folders, and data files that no snapshot of any branch names, of broken writes, if they are
+        ``older_than`` seconds; to be run while no write that began before is under way."""
+        before = (time.time() - older_than) * 1000
+        gone = []
+        for n in self.store.names(f"{self.root}/_staging"):
+            if all(t <= before for t in self.store.times(f"{self.root}/_staging/{n}").values()):
+                self.store.delete(f"{self.root}/_staging/{n}")
+                gone.append(n)
+        names = [MAIN, *self.catalog.branches(self.identifier)]
+        needed: set[str] = set()
+        for log in (self.catalog.table(replace(self.identifier, branch=b)).log for b in names):
+            for s in log.snapshots():
+                needed |= set(log.files(s)) | {f.path for _, f in log.entries(s.delta)}
+        for path, written in self.store.times(f"{self.root}/data").items():
+            if f"data/{path}" not in needed and written <= before:
+                self.store.delete(f"{self.root}/data/{path}")
+                gone.append(f"data/{path}")
+        return gone
 
     def analyze(self) -> Snapshot | None:
         """Statistics of all columns, kept as properties of a snapshot of kind ANALYZE."""
@@ -406,8 +490,8 @@ class Table:
         return self._replace(back, [f for p, f in now.items() if p not in then], last)
 
     def _replace(self, back: list[DataFile], gone: list[DataFile], last: Snapshot) -> Snapshot:
-        # returning files keep their sequence, as compacted ones do
-        made = self.log.commit(back, gone, COMPACT, base=last.id) if back or gone else last
+        # returning files keep their sequence, as compacted ones do; rows come and go, so it is no compaction
+        made = self.log.commit(back, gone, OVERWRITE, schema_id=self.schema.id, base=last.id, renumber=False) if back or gone else last
         return made or last
 
     def tags(self) -> dict[str, int]:
