@@ -5,7 +5,7 @@ is confirmed by the whole sets: that joins copies that differ in little, whateve
 by prefix filtering: two sets with a similarity of at least t share one of their first |x| - ceil(t |x|) + 1 members in
 any order that holds for all sets.  The order is that of the hashes, with the most frequent members last, so that lines
 which many texts share make few candidates.  Only components are asked for, so of the texts that share a member one is
-held against the others first, in a few rounds; pairs are then made between those alone that are still in different
+held against the others first; pairs are then made between those alone that are still in different
 components.  Every link counts only if the whole sets confirm it, and no link between components is left out.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, ship, stored, tidy
+from .common import BROADCAST_KEYS, identified, ship, stored, tidy
 from .components import components
 from .simhash import _majorities, heads, links
 
@@ -28,6 +28,8 @@ LEAST = 16
 _BITMAP = 1 << 18
 
 
+#: Buckets of a set's counts: what two sets share in a bucket is at most the lesser count.
+_BUCKETS = 256
 #: Digests that a task remembers, so that it passes on what hangs on them once.
 _SEEN = 500_000
 
@@ -57,6 +59,16 @@ def first_members(size: int, least: int = LEAST) -> int:
     return size + least * size // -20 + 1 if size else 0
 
 
+def _counts(members: np.ndarray) -> bytes | None:
+    """How many members are in each bucket, a byte each; None if a byte doesn't hold it."""
+    n = np.bincount(members & (_BUCKETS - 1), minlength=_BUCKETS)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else None
+
+
+#: Of what ``_sets`` gives.
+SETS = "id long, row long, digest long, print long, counts binary, members array<long>"
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -68,7 +80,7 @@ def _sets(words: int):
                 prints = _majorities(np.concatenate(runs), np.array([len(x) for x in runs], np.int64)).view(np.int64)
                 found = [np.unique(x.view(np.int64)) for x in runs]
                 digests = np.array([xxh64_intdigest(x.tobytes(), 7) if len(x) else 0 for x in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(digests), pa.array(prints), pa.array(found, pa.list_(pa.int64()))], ["id", "row", "digest", "print", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(digests), pa.array(prints), pa.array(map(_counts, found), pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "row", "digest", "print", "counts", "members"])
         tidy()
 
     return run
@@ -124,22 +136,44 @@ def _passing(bitmap: np.ndarray):
     return run
 
 
-def _only(sets: DataFrame, asked: DataFrame) -> DataFrame:
-    """(digest, members) for the digests that are asked for; a bitmap of fixed size spares nearly all others the shuffle."""
+def _only(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """(digest, column) for the digests in pairs, once each; a bitmap of fixed size spares nearly all others the shuffle."""
+    asked = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select("b")).distinct()
     bits = asked.select(F.expr(f"cast(digest & {_BITMAP - 1}L as int) as word"), F.expr("shiftleft(1L, cast(shiftright(digest, 18) & 63L as int)) as bit"))
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most _BITMAP rows
     bitmap = np.zeros(_BITMAP, np.int64)
     bitmap[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
-    sets = sets.select("digest", "members")
-    return sets.mapInArrow(_passing(bitmap), sets.schema).join(asked, "digest", "left_semi").dropDuplicates(["digest"])
+    sets = sets.select("digest", column)
+    return stored(sets.mapInArrow(_passing(bitmap), sets.schema).join(asked, "digest", "left_semi").dropDuplicates(["digest"]), f"asked-{column}")
+
+
+def _both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    one = lambda digest, name: of.select(F.col("digest").alias(digest), F.col(column).alias(name))
+    return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b")
+
+
+def _close(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                known = np.flatnonzero(b.column("x").is_valid().to_numpy(zero_copy_only=False) & b.column("y").is_valid().to_numpy(zero_copy_only=False))
+                x, y = (np.frombuffer(b"".join(b.column(c).take(pa.array(known)).to_pylist()), np.uint8).reshape(len(known), _BUCKETS) for c in "xy")
+                most, total = np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
+                kept = np.ones(b.num_rows, bool)
+                kept[known] = (20 + least) * most >= least * total
+                yield b.select(["a", "b"]).filter(pa.array(kept))
+
+    return run
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Of stored pairs (a, b) of digests those whose whole sets (digest, members) have a similarity of ``least`` twentieths or more."""
-    asked = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select("b")).distinct()
-    whole = stored(_only(sets, asked), "candidate-sets")
-    of = lambda digest, members: whole.select(F.col("digest").alias(digest), F.col("members").alias(members))
-    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    """Of stored pairs (a, b) of digests those whose whole sets (digest, counts, members) have a similarity of ``least`` twentieths or more.
+
+    Pairs whose counts by bucket rule that out are dropped before whole sets are sent to them.
+    """
+    near = stored(_both(pairs, _only(sets, pairs, "counts"), "counts").select("a", "b", "x", "y").mapInArrow(_close(least), "a long, b long"), "close")
+    both = _both(near, _only(sets, near, "members"), "members")
     return both.where(f"{20 + least} * size(array_intersect(x, y)) >= {least} * (size(x) + size(y))").select("a", "b")
 
 
@@ -155,32 +189,28 @@ def first_rows(sets: DataFrame, least: int = LEAST, often: int = 50, most: int =
     counts = once(sets.where(F.expr(f"pmod(digest, {share}) = 0")), np.empty(0, np.int64)).groupBy("member").count().where(F.col("count") >= max(2, often // share))
     hot = np.sort(counts.orderBy(F.desc("count"), "member").limit(most).select("member").toPandas()["member"].to_numpy(np.int64))
     rows = once(sets, hot)
-    met = rows.groupBy("member").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("member")
-    return stored(rows.join(met, "member", "left_semi"), "shared-members")
-
-
-def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(member, digest, size, part) of the members that digests of several components so far share."""
-    parts = rows.join(found, F.col("digest") == F.col("node"), "left").select("member", "digest", "size", F.coalesce("component", "digest").alias("part"))
-    met = parts.groupBy("member").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("member")
-    return stored(parts.join(met, "member", "left_semi"), "members-apart")
+    one = F.min(F.struct("digest", "size")).alias("one")
+    met = rows.groupBy("member").agg(one, F.max("digest").alias("hi")).where("one.digest < hi").select("member", F.col("one.digest").alias("one"), F.col("one.size").alias("one_size"))
+    return stored(rows.join(met, "member"), "shared-members")
 
 
 def _possible(n: str, m: str, least: int) -> str:
     return f"20 * least({n}, {m}) >= {least} * greatest({n}, {m})"
 
 
-def _with_one(rows: DataFrame, turn: int, least: int) -> DataFrame:
-    """(a, b): of the digests that share a member, one with each of another component; a row for each of ``rows`` at most."""
-    one = (F.max_by if turn % 2 else F.min_by)(F.struct(F.col("digest").alias("a"), F.col("size").alias("n"), F.col("part").alias("p")), F.xxhash64("digest", F.lit(turn // 2)))
-    hubs = rows.groupBy("member").agg(one.alias("hub")).select("member", "hub.*")
-    return rows.join(hubs, "member").where(f"part <> p and {_possible('n', 'size', least)}").select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
+def _with_one(rows: DataFrame, least: int) -> DataFrame:
+    """(a, b): of the digests that share a member, the smallest one with each other; a row for each of ``rows`` at most."""
+    return rows.where(f"digest <> one and {_possible('one_size', 'size', least)}").select(F.col("one").alias("a"), F.col("digest").alias("b")).distinct()
 
 
-def _all_apart(rows: DataFrame, least: int) -> DataFrame:
-    """(a, b): all pairs of different components that share as many members as the similarity asks for."""
-    a = rows.select("member", F.col("digest").alias("a"), F.col("size").alias("n"), F.col("part").alias("p"))
-    b = rows.select("member", F.col("digest").alias("b"), F.col("size").alias("m"), F.col("part").alias("q"))
+def _all_apart(rows: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(a, b): all pairs of different components (``found``: node, component) that share as many members as the similarity asks for."""
+    found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+    parts = rows.join(found, F.col("digest") == F.col("node"), "left").select("member", "digest", "size", F.coalesce("component", "digest").alias("part"))
+    met = parts.groupBy("member").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("member")
+    apart = parts.join(met, "member", "left_semi")
+    a = apart.select("member", F.col("digest").alias("a"), F.col("size").alias("n"), F.col("part").alias("p"))
+    b = apart.select("member", F.col("digest").alias("b"), F.col("size").alias("m"), F.col("part").alias("q"))
     pairs = a.join(b, (a["member"] == b["member"]) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & F.expr(_possible("n", "m", least)))
     pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
     # behind the end of one of both beginnings only the rest of that set can be shared: at most floor(size * least / 20), rounded up, less one
@@ -188,24 +218,20 @@ def _all_apart(rows: DataFrame, least: int) -> DataFrame:
     return pairs.where(f"{20 + least} * (shared + greatest({rest('n')}, {rest('m')})) >= {least} * (n + m)").select("a", "b")
 
 
-def similar_components(sets: DataFrame, least: int = LEAST, within: int = 3, rounds: int = 1, **limits: int) -> DataFrame:
-    """(node, component) of the digests of ``sets`` (digest, print, members) that links of a similarity of ``least``
+def similar_components(sets: DataFrame, least: int = LEAST, within: int = 3, **limits: int) -> DataFrame:
+    """(node, component) of the digests of ``sets`` (digest, print, counts, members) that links of a similarity of ``least``
     twentieths or more join to others.  ``limits`` go to ``first_rows``."""
     prints = stored(sets.select("print", "digest").distinct().groupBy("print").agg(F.min("digest").alias("digest"), F.count("*").alias("n")), "prints")
     near = links(prints.select(F.col("print").alias("fp")), within)
     first = lambda c: prints.select(F.col("print").alias(c), F.col("digest").alias(f"{c}_digest"))
     pairs = near.join(first("a"), "a").join(first("b"), "b").select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b"))
     alike = sets.select("print", F.col("digest").alias("b")).distinct().join(prints.where("n > 1").select("print", F.col("digest").alias("a")), "print").where("a <> b").select("a", "b")
-    links_so_far = stored(confirmed(sets, stored(pairs.unionAll(alike), "simhash-links"), least), "confirmed")
     rows = first_rows(sets, least, **limits)
-    found = stored(components(links_so_far), "components")
-    for turn in range(rounds + 1):
-        apart = _apart(rows, found)
-        pairs = stored(_with_one(apart, turn, least) if turn < rounds else _all_apart(apart, least), "candidates")
-        more = stored(confirmed(sets, pairs, least), "confirmed")
-        links_so_far = links_so_far.unionAll(more)
-        found = stored(components(links_so_far), "components")
-    return found
+    pairs = pairs.unionAll(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(_with_one(rows, least))
+    found = stored(confirmed(sets, stored(pairs.distinct(), "candidates"), least), "confirmed")
+    now = stored(components(found), "components")
+    more = stored(confirmed(sets, stored(_all_apart(rows, now, least), "candidates"), least), "confirmed")
+    return components(found.unionAll(more))
 
 
 def one_of_each_similar(docs: DataFrame, words: int = 5, least: int = LEAST, within: int = 3, **limits: int) -> DataFrame:
@@ -214,9 +240,9 @@ def one_of_each_similar(docs: DataFrame, words: int = 5, least: int = LEAST, wit
     whole row; an empty table gives none; a text's cost is in proportion to its length.  ``limits`` go to ``first_rows``."""
     ship(docs.sparkSession)
     own = identified(docs)
-    sets = stored(own.select("id", "row", "body").mapInArrow(_sets(words), "id long, row long, digest long, print long, members array<long>"), "shingles")
+    sets = stored(own.select("id", "row", "body").mapInArrow(_sets(words), SETS), "shingles")
     rows = sets.select("id", "row", F.col("digest").alias("node"))
-    found = similar_components(sets.select("digest", "print", "members"), least, within, **limits)
+    found = similar_components(sets.select("digest", "print", "counts", "members"), least, within, **limits)
     nodes = rows.select("node").distinct()
     classes = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return heads(own, rows, classes).toDF(*docs.columns)

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 from conftest import DATA
 from lakespark.llm import shingles
 
@@ -51,9 +52,9 @@ def test_every_similar_pair_is_found(spark, documents):
     for limits in ({}, {"often": 2, "most": 100, "share": 1}):
         assert {r.doc_id for r in shingles.one_of_each_similar(df, **limits).collect()} == plain_heads(rows)
     # with nothing joined before, all pairs come from the first members
-    held = spark.createDataFrame([(k, shingles.shingles(t).tolist()) for k, t in rows], "digest long, members array<long>").dropDuplicates(["members"])
-    apart = shingles._apart(shingles.first_rows(held, often=5), spark.createDataFrame([], "node long, component long"))
-    assert near and shingles.confirmed(held, shingles.stored(shingles._all_apart(apart, shingles.LEAST), "pairs")).count() == len(near)
+    held = spark.createDataFrame([(k, shingles.shingles(t).tolist(), shingles._counts(shingles.shingles(t))) for k, t in rows], "digest long, members array<long>, counts binary").dropDuplicates(["members"])
+    apart = shingles._all_apart(shingles.first_rows(held, often=5), spark.createDataFrame([], "node long, component long"), shingles.LEAST)
+    assert near and shingles.confirmed(held, shingles.stored(apart, "pairs")).count() == len(near)
     assert {r.doc_id for r in cp.near_duplicates(spark, df, DATA).collect()} == plain_heads(rows)
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     assert {r.doc_id for r in cp.near_duplicates(spark, documents, DATA).collect()} == plain_heads(rows)
@@ -72,10 +73,19 @@ def test_large_groups_of_near_copies(spark):
                 copy[at] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for rounds in (0, 1, 3):
-        sets = df.selectExpr("doc_id as id", "doc_id as row", "text as body").mapInArrow(shingles._sets(5), "id long, row long, digest long, print long, members array<long>")
-        found = shingles.similar_components(shingles.stored(sets, "sets").select("digest", "print", "members"), rounds=rounds)
-        assert len({r.component for r in found.collect()}) == len(plain_heads(rows))
+    kept = shingles.one_of_each_similar(df, often=10).collect()
+    assert {r.doc_id for r in kept} == plain_heads(rows) and len(kept) < 100
+
+
+def test_counts_rule_out_no_similar_pair():
+    rng = random.Random(5)
+    for n in (1, 7, 300, 4000, 90_000):
+        members = [rng.getrandbits(64) - (1 << 63) for _ in range(n + n // 3 + 1)]
+        x, y = (np.array(sorted(m), np.int64) for m in (members[:n], members[n // 3 :]))
+        cx, cy = shingles._counts(x), shingles._counts(y)
+        assert (cx is None) == (n == 90_000)
+        if cx is not None and cy is not None:
+            assert np.minimum(np.frombuffer(cx, np.uint8), np.frombuffer(cy, np.uint8)).sum() >= len(np.intersect1d(x, y))
 
 
 def test_odd_rows(spark, odd, none):
