@@ -3,9 +3,10 @@
 Fingerprints over the same shingles are searched by vantage-point trees first (``simhash.links``), and what links there
 is confirmed by the whole sets: that joins copies that differ in little, whatever their number.  The rest is completed
 by prefix filtering: two sets with a similarity of at least t share one of their first |x| - ceil(t |x|) + 1 members in
-any order that holds for all sets.  The order is that of the hashes, with the most frequent members last, so that lines
-which many texts share make few candidates.  Only components are asked for, so of the texts that share a member one is
-held against the others first; pairs are then made between those alone that are still in different
+any order that holds for all sets.  The order is that of the hashes, with frequent members last, the most frequent ones
+behind all, so that lines which many texts share make few candidates; and of what two sets share, the first member stands
+so early in both that enough can follow.  Only components are asked for, so of the texts that share a member the one in
+which it stands first is held against the others before all else; pairs are then made between those alone that are still in different
 components.  Every link counts only if the whole sets confirm it, and no link between components is left out.
 """
 
@@ -103,7 +104,7 @@ class _New:
         return kept
 
 
-def _first(least: int, hot: np.ndarray):
+def _first(least: int, hot: np.ndarray, tiers: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = _New()
         for whole in batches:
@@ -112,14 +113,18 @@ def _first(least: int, hot: np.ndarray):
                 b = whole.slice(at, 100)
                 sizes = b.column("members").value_lengths().to_numpy().astype(np.int64)
                 flat = b.column("members").flatten().to_numpy()
-                late = np.isin(flat, hot) if len(hot) else np.zeros(len(flat), bool)
+                tier = np.zeros(len(flat), np.uint8)
+                if len(hot):
+                    near = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
+                    tier = np.where(hot[near] == flat, tiers[near], 0)
                 of = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((late, of))  # stable: by hash among the frequent, and among the others
+                order = np.lexsort((tier, of))  # stable: by hash within a tier
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 firsts = np.array([first_members(n, least) for n in sizes.tolist()], np.int64)
                 kept = place < firsts[of] if len(of) else np.zeros(0, bool)
                 who = of[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[order][kept]), pa.array(b.column("digest").to_numpy()[who]), pa.array(sizes[who].astype(np.int32))], ["member", "digest", "size"])
+                columns = [pa.array(flat[order][kept]), pa.array(b.column("digest").to_numpy()[who]), pa.array(sizes[who].astype(np.int32)), pa.array(place[kept].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["member", "digest", "size", "place"])
         tidy()
 
     return run
@@ -177,45 +182,53 @@ def confirmed(sets: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFram
     return both.where(f"{20 + least} * size(array_intersect(x, y)) >= {least} * (size(x) + size(y))").select("a", "b")
 
 
-def first_rows(sets: DataFrame, least: int = LEAST, often: int = 50, most: int = 50_000, share: int = 8) -> DataFrame:
-    """(member, digest, size): the first members of each set that more than one set begins with.
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    new = _New()
+    for b in batches:
+        b = b.filter(pa.array(new(b.column("digest").to_numpy())))
+        yield pa.RecordBatch.from_arrays([b.column("members").flatten()], ["member"])
 
-    At most ``most`` members, those that about ``often`` or more sets begin with (counted in one of ``share`` sets: any
-    choice of members gives the same links), come to the driver and are put last.
+
+def first_rows(sets: DataFrame, least: int = LEAST, often: int = 32, most: int = 500_000, share: int = 16) -> DataFrame:
+    """(member, digest, size, place, one...): the first members of each set that more than one set begins with, and beside
+    them the set in which each member stands first.
+
+    At most ``most`` members, those that about ``often`` or more sets hold (counted in one of ``share`` sets: any
+    order of members gives the same links), come to the driver, 9 bytes each, and are put last by the logarithm of their number.
     """
-    form = "member long, digest long, size int"
+    form = "member long, digest long, size int, place int"
     sets = sets.select("digest", "members")
-    once = lambda some, hot: some.mapInArrow(_first(least, hot), form).repartition("member").distinct()
-    counts = once(sets.where(F.expr(f"pmod(digest, {share}) = 0")), np.empty(0, np.int64)).groupBy("member").count().where(F.col("count") >= max(2, often // share))
-    hot = np.sort(counts.orderBy(F.desc("count"), "member").limit(most).select("member").toPandas()["member"].to_numpy(np.int64))
-    rows = once(sets, hot)
-    one = F.min(F.struct("digest", "size")).alias("one")
-    met = rows.groupBy("member").agg(one, F.max("digest").alias("hi")).where("one.digest < hi").select("member", F.col("one.digest").alias("one"), F.col("one.size").alias("one_size"))
+    some = sets.where(F.expr(f"pmod(digest, {share}) = 0")).mapInArrow(_members, "member long")
+    counts = some.groupBy("member").agg(F.count("*").alias("count")).where(F.col("count") >= max(2, often // share))
+    hot = counts.orderBy(F.desc("count"), "member").limit(most).select("member", F.ceil(F.log2("count")).cast("tinyint").alias("tier")).toPandas().sort_values("member")
+    rows = sets.mapInArrow(_first(least, hot["member"].to_numpy(np.int64), 1 + hot["tier"].to_numpy(np.uint8)), form).repartition("member").distinct()
+    one = F.min(F.struct("place", "digest", "size")).alias("one")
+    met = rows.groupBy("member").agg(one, F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
+    met = met.select("member", F.col("one.digest").alias("one"), F.col("one.size").alias("one_size"), F.col("one.place").alias("one_place"))
     return stored(rows.join(met, "member"), "shared-members")
 
 
-def _possible(n: str, m: str, least: int) -> str:
-    return f"20 * least({n}, {m}) >= {least} * greatest({n}, {m})"
+def _possible(n: str, m: str, i: str, j: str, least: int) -> str:
+    """Whether sets of ``n`` and ``m`` members whose first shared one stands at ``i`` and ``j`` can be similar enough."""
+    return f"{20 + least} * (1 + least({n} - {i} - 1, {m} - {j} - 1)) >= {least} * ({n} + {m})"
 
 
 def _with_one(rows: DataFrame, least: int) -> DataFrame:
-    """(a, b): of the digests that share a member, the smallest one with each other; a row for each of ``rows`` at most."""
-    return rows.where(f"digest <> one and {_possible('one_size', 'size', least)}").select(F.col("one").alias("a"), F.col("digest").alias("b")).distinct()
+    """(a, b): of the digests that share a member, that in which it stands first with each other; a row for each of ``rows`` at most."""
+    met = rows.where(f"digest <> one and {_possible('size', 'one_size', 'place', 'one_place', least)}")
+    return met.select(F.least("one", "digest").alias("a"), F.greatest("one", "digest").alias("b")).distinct()
 
 
 def _all_apart(rows: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(a, b): all pairs of different components (``found``: node, component) that share as many members as the similarity asks for."""
+    """(a, b): all pairs of different components (``found``: node, component) that share a member so early that they can be similar."""
     found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
-    parts = rows.join(found, F.col("digest") == F.col("node"), "left").select("member", "digest", "size", F.coalesce("component", "digest").alias("part"))
+    parts = rows.join(found, F.col("digest") == F.col("node"), "left").select("member", "digest", "size", "place", F.coalesce("component", "digest").alias("part"))
     met = parts.groupBy("member").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("member")
     apart = parts.join(met, "member", "left_semi")
-    a = apart.select("member", F.col("digest").alias("a"), F.col("size").alias("n"), F.col("part").alias("p"))
-    b = apart.select("member", F.col("digest").alias("b"), F.col("size").alias("m"), F.col("part").alias("q"))
-    pairs = a.join(b, (a["member"] == b["member"]) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & F.expr(_possible("n", "m", least)))
-    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
-    # behind the end of one of both beginnings only the rest of that set can be shared: at most floor(size * least / 20), rounded up, less one
-    rest = lambda n: f"(cast(ceil({least} * {n} / 20) as int) - 1)"
-    return pairs.where(f"{20 + least} * (shared + greatest({rest('n')}, {rest('m')})) >= {least} * (n + m)").select("a", "b")
+    a = apart.select("member", *(F.col(c).alias(k) for c, k in zip(("digest", "size", "place", "part"), "anip")))
+    b = apart.select("member", *(F.col(c).alias(k) for c, k in zip(("digest", "size", "place", "part"), "bmjq")))
+    test = (a["member"] == b["member"]) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & F.expr(_possible("n", "m", "i", "j", least))
+    return a.join(b, test).select("a", "b").distinct()
 
 
 def similar_components(sets: DataFrame, least: int = LEAST, within: int = 3, **limits: int) -> DataFrame:
