@@ -70,6 +70,37 @@ def test_nnpu_finds_the_positive_direction():
     assert (predicted == (x[:, 0] > 0)).mean() > 0.98 and w[0] > 3 * np.abs(w[1:]).max()
 
 
+def test_few_labels(spark):
+    """At sf0.001, ten toxic texts may be learnt from; at sf0.01, 45: words that hardly any text holds otherwise are found."""
+    for sf, found, wrong in (("sf0.001", 6, 2), ("sf0.01", 33, 10)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").collect()
+        assert sum(r.predicted == r.toxic == 1 for r in rows) >= found and sum(r.predicted > r.toxic for r in rows) <= wrong
+        held = [r for r in rows if r.held_out and r.toxic == 1]
+        assert sum(r.predicted for r in held) >= 0.6 * len(held)
+
+
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_nnpu_gradient_is_the_risks_slope(shift):
+    """In both branches, against differences; distinct rows count as often as they stand."""
+    rng = np.random.default_rng(3)
+    p, u, prior = rng.random((40, 5)) < 0.5, rng.random((90, 5)) < 0.3, 0.9 if shift else 0.4
+    theta = np.append(rng.normal(0, 0.3, 5), -shift)
+    theta[:5] += shift / 2
+    (dp, np_), (du, nu) = toxicity._distinct(p), toxicity._distinct(u)
+    given = (dp, du, prior, np_ / 40, nu / 90)
+    gain, rest, grad = toxicity.nnpu_risk(theta, *given)
+    f = lambda rows: rows @ theta[:5] + theta[5]
+    assert np.isclose(gain, prior * np.log1p(np.exp(-f(p))).mean()) and np.isclose(rest, np.log1p(np.exp(f(u))).mean() - prior * np.log1p(np.exp(f(p))).mean())
+    assert (rest < 0) == (shift > 0)
+    for k in range(6):
+        a, b = theta.copy(), theta.copy()
+        a[k], b[k] = a[k] + 1e-5, b[k] - 1e-5
+        (ga, ra, _), (gb, rb, _) = toxicity.nnpu_risk(a, *given), toxicity.nnpu_risk(b, *given)
+        slope = ((ga + ra) - (gb + rb)) / 2e-5 if rest >= 0 else -(ra - rb) / 2e-5
+        assert np.isclose(grad[k], slope, atol=1e-5)
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(1)
     x, counts, y = rng.standard_normal((9, 5)).astype(np.float32), np.array([2, 4, 3]), np.array([1, 0, 1], np.float32)
