@@ -25,12 +25,14 @@ from .common import renamed, ship
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Runs of numbers with a dot between them; the pattern of an address, [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+), matches four and
+#: four of them from the left, and this takes each run once, however long it is.
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Tokens of the longest entity.
-SPAN = 5
+#: Tokens and characters of the longest entity that the model proposes; with the punctuation around it four times as many.
+SPAN, LONGEST = 5, 64
 _SIGNS = re.compile(r"[0-9@]+")
 #: White space, and punctuation that stands in no entity; both part tokens.
 _CUT = frozenset(",:;&\"'`[]{}<>=/|\\")
@@ -60,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 0, m.end()) for m in _emails(text)]
     if not _SIGNS.search(text):
         return found
-    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if _octets(m[0].split("."))]
+    found += _addresses(text)
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             found.append((m.start(), 2, m.end()))
@@ -69,6 +71,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int, int]]:
+    for m in DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            stop = at + sum(map(len, parts[k : k + 4])) + 3
+            if _octets(parts[k : k + 4]):
+                yield at, 1, stop
+            at = stop + 1
+
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -89,7 +102,7 @@ def _emails(text: str) -> Iterator[re.Match]:
 
 def features(piece: str, tokens: int, before: str) -> tuple[str, ...] | None:
     """Of a whole segment; None if its text can't be an entity."""
-    if len(piece) > 64:
+    if len(piece) > LONGEST:
         return None
     digits = _digits(piece)
     n = len(digits)
@@ -162,8 +175,10 @@ def segments(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, int,
     for i in range(len(run)):
         before = _before(text, run[i][0])
         for j in range(i + 1, min(i + SPAN, len(run)) + 1):
+            if run[j - 1][1] - run[i][0] > 4 * LONGEST:
+                break
             start, stop = _trimmed(text, run[i][0], run[j - 1][1])
-            if stop - start > 64:
+            if stop - start > LONGEST:
                 break
             got = features(text[start:stop], j - i, before) if start < stop else None
             if got:
@@ -353,7 +368,8 @@ def _scan(model: Model):
 def find_personal_data(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and all spans of every row.
 
-    Base spans come from the patterns; the model adds entities that overlap none of them.  Null text is
+    Base spans come from the patterns, of any length; the model adds entities of up to five tokens and 64 characters that
+    overlap none of them.  A text's cost is in proportion to its length.  Null text is
     empty and has no spans; repeated rows and null ids give a row each; an empty table gives none.  Other
     columns are not read.
     """
