@@ -77,13 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_ball_tree_top_k": """
         with rows as (
-            select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+            select row_number() over () as place, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
             where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), scored as (
-            select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
-            from rows q join rows c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 20 = 0
+            select q.place as query_place, q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+            from rows q join rows c on c.place <> q.place and len(c.v) = len(q.v) where q.vec_id % 20 = 0
         ), ranked as (
-            select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored
+            select query_id, row_number() over (partition by query_place order by score desc, vec_id)::int as rank, vec_id, score from scored
         )
         select query_id, rank, vec_id, score from ranked where rank <= 20
     """,

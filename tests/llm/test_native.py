@@ -93,9 +93,9 @@ def test_odd_documents(spark, odd):
 
 def plain_top(rows, every, k):
     found = []
-    for q, x in rows:
+    for at, (q, x) in enumerate(rows):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q and len(y) == len(x))[:k]
+            scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for k, (i, y) in enumerate(rows) if k != at and len(y) == len(x))[:k]
             found += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     return sorted(found)
 
@@ -104,7 +104,7 @@ def quantised(x):
     return [int(np.floor(64 * float(v))) for v in x]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard": 30, "block": 3, "together": 1, "leaf": 8, "sample": 5}, {"leaf": 4, "sample": 0}])
+@pytest.mark.parametrize("options", [{}, {"shard": 30, "block": 3, "leaf": 8, "sample": 5}, {"leaf": 4, "sample": 0, "shard": 10, "most": 3}])
 def test_top_k(spark, options):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 0.2, (180, 6)), np.tile(rng.normal(0, 0.3, (1, 6)), (60, 1)), np.zeros((10, 6))]).astype(np.float32)
@@ -118,18 +118,60 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.5, -1.0]), (6, [1.0, 1.0, 1.0]), (7, [2.0, 2.0]), (None, [9.0, 9.0]), (20, [-1.0, 0.25]), (40, [1e30, -1e30])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = ball_tree.top_k(df, every=20, k=3).collect()
-    held = [(0, [1.0, 2.0]), (5, [0.5, -1.0]), (7, [2.0, 2.0]), (20, [-1.0, 0.25]), (40, [float(np.float32(1e30)), -float(np.float32(1e30))])]
+    held = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (5, [0.5, -1.0]), (7, [2.0, 2.0]), (20, [-1.0, 0.25]), (40, [float(np.float32(1e30)), -float(np.float32(1e30))])]
     low, high = -(1 << 63), (1 << 63) - 1
     want = []
-    for q, x in held:
+    for at, (q, x) in enumerate(held):
         if q % 20 == 0:
-            scores = sorted((-min(max(sum(int(np.floor(64 * a)) * int(np.floor(64 * b)) for a, b in zip(x, y)), low), high), i) for i, y in held if i != q)[:3]
+            scores = sorted((-min(max(sum(int(np.floor(64 * a)) * int(np.floor(64 * b)) for a, b in zip(x, y)), low), high), i) for k, (i, y) in enumerate(held) if k != at)[:3]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert ball_tree.top_k(df.limit(0)).count() == 0
     assert ball_tree.top_k(spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    rows = [(20, [1.0, 0.5]), (20, [0.5, 2.0]), (20, [0.5, 2.0]), (7, [1.0, 1.0]), (40, [0.25, 0.25])] + [(9, [3.0, 3.0])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    held = [(i, quantised(v)) for i, v in rows]
+    for options in ({}, {"shard": 4, "leaf": 2, "sample": 0}):
+        assert sorted(map(tuple, ball_tree.top_k(df, every=20, k=4, **options).collect())) == plain_top(held, 20, 4)
+
+
+def test_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ball_tree, "LENGTHS", 2)
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(0, 1, 1 + k % 5).tolist()) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ball_tree.top_k(df, every=6, k=5, shard=8, leaf=4, sample=0).collect()))
+    assert got == plain_top([(i, quantised(v)) for i, v in rows], 6, 5)
+
+
+def test_clustered_vectors_visit_few_shards(spark, monkeypatch):
+    """Visits grow with the queries, not with queries times shards."""
+    rng = np.random.default_rng(8)
+    seen = {}
+    for n in (600, 2400):
+        centres = rng.normal(0, 1, (n // 60, 16))
+        centres *= 6 / np.sqrt((centres**2).sum(1, keepdims=True))
+        x = np.repeat(centres, 60, axis=0) + rng.normal(0, 0.02, (n, 16))
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        counted = []
+        met = ball_tree._met
+        monkeypatch.setattr(ball_tree, "_met", lambda visits, *rest: counted.append(visits.count()) or met(visits, *rest))
+        got = sorted(map(tuple, ball_tree.top_k(df, every=20, k=10, shard=60, leaf=16).collect()))
+        monkeypatch.setattr(ball_tree, "_met", met)
+        q = np.floor(64 * x)
+        s = (q @ q.T).astype(np.int64)
+        want = []
+        for i in range(0, n, 20):
+            order = sorted((-int(v), j) for j, v in enumerate(s[i]) if j != i)[:10]
+            want += [(i, r + 1, j, -v) for r, (v, j) in enumerate(order)]
+        assert got == sorted(want)
+        seen[n] = sum(counted) / (n // 20)
+    assert seen[2400] < 2 * seen[600] and seen[2400] < 0.25 * (2400 // 60), seen
+
+
 def test_trees_prune():
     rng = np.random.default_rng(5)
     x = np.floor(64 * np.concatenate([rng.normal(c, 0.05, (500, 8)) for c in (-2, 0, 2)]))
