@@ -2,7 +2,7 @@
 
 Each task encodes its documents, cuts those that are too long, and packs the pieces best-fit decreasing.
 Bins that are nearly full are final.  The others become items: groups of them meet in fewer tasks, round by
-round, and are packed best-fit again, until one task holds them all or a round no longer helps.
+round, and are packed best-fit again, until one task holds them all or a round saves next to nothing.
 """
 
 from __future__ import annotations
@@ -125,12 +125,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, slack: int = 2, group: int = 50_000, pieces: int = 200_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, slack: int = 2, group: int = 50_000, pieces: int = 200_000, gain: float = 0.001, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``end``; only longer ones are cut, into pieces of ``capacity`` of which the
     first may be shorter.  Bins with at most ``slack`` tokens of room are final.  ``group`` bounds the bins
-    that meet in a task of a later round, ``pieces`` the pieces that a task of the first one holds at once.
+    that meet in a task of a later round, ``pieces`` the pieces that a task of the first one holds at once.  Rounds go on
+    until one group is left or a round closes less than the part ``gain`` of the open bins.  A text's cost is in proportion to its length.
     Null and empty texts are the end id alone; repeated rows and null ids are packed like others; an empty
     table gives no rows.  Other columns are not read.
     """
@@ -147,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int
         open_bins = bins.where(F.col("size") < capacity - slack)
         before, left = left, open_bins.count()
         groups = -(-left // group)
-        done = left < 2 or (turn > 0 and (tasks == 1 or left > 0.95 * before))
+        done = left < 2 or (turn > 0 and (tasks == 1 or left > (1 - gain) * before))
         final.append(bins if done else bins.where(F.col("size") >= capacity - slack))
         if done:
             break
