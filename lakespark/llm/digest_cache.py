@@ -11,11 +11,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, ship, stored
+from .common import among, renamed, ship, stored, tidy, without
 from .tokens import encoder, vocabulary_path
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -29,10 +28,9 @@ def tokenizer_version(tokenizer: str) -> str:
 
 def cached_counts(spark, cache: str, version: str) -> DataFrame:
     """(digest, n_tokens) that the cache holds for a tokenizer version, once each; empty if there is no cache yet."""
-    try:
-        rows = spark.read.schema(CACHE).parquet(cache)
-    except AnalysisException:
-        rows = spark.createDataFrame([], CACHE)
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    rows = spark.read.schema(CACHE).parquet(cache) if known else spark.createDataFrame([], CACHE)
     return rows.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
@@ -43,6 +41,7 @@ def _encode(tokenizer: str):
             texts, digests = b.column("text").to_pylist(), b.column("digest")
             for first, last, _, counts in own.encode_in_blocks(texts):
                 yield pa.RecordBatch.from_arrays([digests.slice(first, last - first), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+        tidy()
 
     return run
 
@@ -51,7 +50,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
     """doc_id, n_bytes, n_tokens and over_limit (more tokens than ``limit``) of every row of ``docs``.
 
     Null text counts as empty (0 bytes, 0 tokens); repeated rows and null ids give a row each; an empty
-    table gives none and adds nothing to the cache.  Other columns of ``docs`` are not read.
+    table gives none and adds nothing to the cache.  A text's cost is in proportion to its length.  Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -60,11 +59,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
     keys = stored(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     # counts are stored before they are joined: then only the join needs rows of a digest together, and adaptive
     # execution can split one that a large part of all rows share
-    missing = keys.join(stored(cached_counts(spark, cache, version), "known-counts"), "digest", "left_anti")
-    # one row stands for each distinct missing text; only that row's text is encoded
-    chosen = missing.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).hint("shuffle_hash")
-    same = (texts["digest"] == chosen["digest"]) & texts["doc_id"].eqNullSafe(chosen["doc_id"])
-    counts = texts.join(chosen, same, "left_semi").select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
+    known = stored(cached_counts(spark, cache, version), "known-counts")
+    # one row stands for each distinct missing text; only that row's text is encoded.  The keys of the rows that are encoded, or
+    # of the others, whichever are fewer, go to the texts, so that texts stay where they are as long as these are few
+    missing = keys.join(known, "digest", "left_anti").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
+    told = keys.join(missing, "digest", "left")
+    is_first = F.col("first").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    told = stored(told.select("digest", "doc_id", is_first.alias("is_first")).distinct(), "first-rows")
+    chosen, others = (told.where(c).select("digest", "doc_id") for c in ("is_first", "not is_first"))
+    few = chosen.count() <= others.count()
+    counts = (among(texts, chosen, ["digest", "doc_id"]) if few else without(texts, others, ["digest", "doc_id"])).select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows can be repeated with their ids
     counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     found = keys.join(stored(cached_counts(spark, cache, version), "counts"), "digest")
