@@ -6,7 +6,8 @@ stably parted by its bit, zeros first, before the next one is taken.  With count
 
 File format of a shard, little-endian: ``WVM1``, u32 number of planes, u64 ids, u64 documents; then
 zstd frames, each after its u64 length: document ids (i64), which of them are null (u8), ids per document
-(i64), and for each plane its packed bits and its block counts (u32).
+(i64), and for each plane its block counts (u32) and its packed bits, in frames of ``CHUNK`` bytes.  A reader keeps the
+frames as they are and unpacks those that a query asks for.
 Shards are rows of a Parquet table (columns of ``SHARDS``), so that Spark's committer publishes each once.
 """
 
@@ -29,6 +30,38 @@ SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
 BLOCK = 512
 #: Distinct chunks that a writer keeps, and characters that it encodes at once.
 CACHE, BLOCK_CHARACTERS = 1_000_000, 8_000_000
+#: Bytes of a plane that are packed together.
+CHUNK = 1 << 15
+#: Bytes of text in a range of ids, as Spark estimates them.
+RANGE_BYTES = 128 << 20
+
+
+class Plane:
+    """Packed bits in compressed chunks; slices unpack the chunks that they touch, the last few of which are kept."""
+
+    def __init__(self, chunks: list[bytes], size: int):
+        self.chunks, self.size, self.kept = chunks, size, {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _chunk(self, k: int) -> np.ndarray:
+        if k not in self.kept:
+            if len(self.kept) >= 4:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.chunks[k]), np.uint8)
+        return self.kept[k]
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self._chunk(at // CHUNK)[at % CHUNK]
+        first, last, _ = at.indices(self.size)
+        parts = [self._chunk(k)[max(0, first - k * CHUNK) : last - k * CHUNK] for k in range(first // CHUNK, -(-last // CHUNK))]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint8)
+
+    def whole(self) -> np.ndarray:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return np.frombuffer(b"".join(map(unpack, self.chunks)), np.uint8)
 
 
 class WaveletMatrix:
@@ -130,7 +163,8 @@ class WaveletMatrix:
         """All ids, from the last plane up."""
         now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            plane = self.planes[level]
+            one = np.unpackbits(plane.whole() if isinstance(plane, Plane) else plane, count=self.n, bitorder="little").view(bool)
             above = np.empty_like(now)
             above[np.flatnonzero(~one)] = now[: self.zeros[level]]
             above[np.flatnonzero(one)] = now[self.zeros[level] :] | now.dtype.type(1 << (len(self.planes) - 1 - level))
@@ -143,7 +177,7 @@ def shard_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray,
     pack = zstandard.ZstdCompressor(level=1).compress
     frames = [np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], np.uint8), np.asarray(counts, "<i8")]
     for plane, ranks in zip(matrix.planes, matrix.ranks):
-        frames += [plane, ranks.astype("<u4")]
+        frames += [ranks.astype("<u4"), *(plane[at : at + CHUNK] for at in range(0, len(plane), CHUNK))]
     packed = [pack(f.tobytes()) for f in frames]
     return b"".join([b"WVM1", struct.pack("<IQQ", bits, len(ids), len(doc_ids)), *(x for p in packed for x in (struct.pack("<Q", len(p)), p))])
 
@@ -155,14 +189,16 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     bits, n, n_docs = struct.unpack_from("<IQQ", data, 4)
     at, frames = 24, []
     unpack = zstandard.ZstdDecompressor().decompress
-    for _ in range(3 + 2 * bits):
-        (size,) = struct.unpack_from("<Q", data, at)
-        frames.append(unpack(data[at + 8 : at + 8 + size]))
-        at += 8 + size
-    keys, missing, counts = np.frombuffer(frames[0], "<i8"), np.frombuffer(frames[1], np.uint8), np.frombuffer(frames[2], "<i8")
-    planes = [np.frombuffer(f, np.uint8) for f in frames[3::2]]
-    ranks = [np.frombuffer(f, "<u4") for f in frames[4::2]]
-    return [None if m else k for k, m in zip(keys.tolist(), missing.tolist())], counts, WaveletMatrix(planes, n, ranks)
+    size = -(-n // 8)
+    chunks = -(-size // CHUNK)
+    for _ in range(3 + bits * (1 + chunks)):
+        (length,) = struct.unpack_from("<Q", data, at)
+        frames.append(data[at + 8 : at + 8 + length])
+        at += 8 + length
+    keys, missing, counts = (np.frombuffer(unpack(f), kind) for f, kind in zip(frames, ("<i8", np.uint8, "<i8")))
+    own = [frames[k : k + 1 + chunks] for k in range(3, len(frames), 1 + chunks)]
+    ranks = [np.frombuffer(unpack(f[0]), "<u4") for f in own]
+    return [None if m else k for k, m in zip(keys.tolist(), missing.tolist())], counts, WaveletMatrix([Plane(f[1:], size) for f in own], n, ranks)
 
 
 def _write(tokenizer: str, end: int | None, shard_tokens: int):
@@ -198,6 +234,15 @@ def _write(tokenizer: str, end: int | None, shard_tokens: int):
     return run
 
 
+def _ranges(rows: DataFrame) -> int:
+    """Ranges of ids by the bytes that Spark expects to read, and one for each core at least."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size >= 1 << 60:  # not known
+        return max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // RANGE_BYTES))
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None = None, shard_tokens: int = 1 << 21, key: str = "doc_id", text: str = "text") -> None:
     """Encodes whole texts in ascending order of their ids into wavelet-matrix shards at ``path``.
 
@@ -207,9 +252,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None = N
     """
     spark = docs.sparkSession
     ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = renamed(docs, doc_id=F.col(f"`{key}`").cast("long"), text=F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(_ranges(rows), "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_write(tokenizer, end, shard_tokens), SHARDS).write.parquet(path)
 
 
