@@ -8,6 +8,7 @@ unsafe is encoded whole.  Line ends between other characters are cut too.  ``nul
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -29,10 +30,23 @@ _MARK = "\x00"
 _APART = (".", ",")
 _LINE = f" {_MARK}\n {_MARK}"
 
-#: How byte-level tokenizers spell bytes: visible characters stand for themselves, the rest follow from 256 on.
+#: How byte-level tokenizers spell bytes: visible characters stand for themselves, the rest follow from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
+#: The normalizers and pre-tokenizers whose cuts the chunks follow, as tokenizer files have them.  Texts of other
+#: tokenizers are encoded whole.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_KNOWN = (
+    (None, _BYTE_LEVEL | {"use_regex": True}, None),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+        "</w>",
+    ),
+)
+
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -61,6 +75,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        model = told["model"]
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        special = all(t["special"] and not t["normalized"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"] and t["content"].startswith("<|") for t in told["added_tokens"])
+        #: Whether texts can be cut into chunks as below.
+        self.known = plain and special and (told["normalizer"], told["pre_tokenizer"], model.get("end_of_word_suffix")) in _KNOWN
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.spaced = self.tokenizer.normalizer is None
         self.entries = entries
@@ -187,6 +207,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (uint32), and the number of each text's ids."""
+        if not self.known:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         if len(self.starts) > self.entries:
             self._clear()
         kind, names, sizes = self._cut(texts)

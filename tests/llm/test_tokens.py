@@ -57,3 +57,22 @@ def test_blocks(encoder):
     assert len(parts) > 5 and [p[:2] for p in parts][-1][1] == 50
     assert np.concatenate([p[2] for p in parts]).tolist() == whole.tolist() and np.concatenate([p[3] for p in parts]).tolist() == counts.tolist()
     assert crc32(np.array([1, 2], np.uint32)) == __import__("zlib").crc32(b"\x01\0\0\0\x02\0\0\0")
+
+
+def test_other_tokenizers_are_encoded_whole(tmp_path, documents):
+    """Chunks follow the cuts of known tokenizers only; any other gives the library's ids as well."""
+    import json
+
+    import public_tokenizers
+    from lakespark.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        told = json.load(f)
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    texts = [r.text for r in documents.limit(20).collect()] + [None, "", "a b", " a\n\nb "]
+    ids, counts = Encoder(str(path)).encode(texts)
+    want = [e.ids for e in Tokenizer.from_file(str(path)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
