@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,5 +29,14 @@ def with_time_partitions(rows: DataFrame, time: str, day: str = "dt", hour: str
 
 
 def bucket(columns: list[str], buckets: int) -> Column:
-    """The bucket of a key, from 0."""
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(buckets)).cast("int")
+    """The bucket of a key, from 0: of the MD5 of its fields as text the first 32 bits, modulo the number of buckets, so
+    that any engine can tell it; null fields are empty."""
+    whole = F.concat_ws("\x01", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+    return F.pmod(F.conv(F.substring(F.md5(whole.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
+def bucket_of(values: list, buckets: int) -> int | None:
+    """The same for whole numbers and text; None for others, whose text isn't certain."""
+    if not all(isinstance(v, (int, str)) and not isinstance(v, bool) for v in values):
+        return None
+    return int(hashlib.md5("\x01".join(map(str, values)).encode()).hexdigest()[:8], 16) % buckets

@@ -26,6 +26,9 @@ class DataFile:
     nulls: dict[str, int] = field(default_factory=dict)
     distinct: dict[str, int] = field(default_factory=dict)
     values: dict[str, list] = field(default_factory=dict)
+    #: The bucket of all its keys, and of how many buckets (0: none).
+    bucket: int = 0
+    buckets: int = 0
 
 
 def _pack(value: object) -> object:

@@ -127,3 +127,12 @@ class Schema:
     def from_json(cls, text: str) -> "Schema":
         d = json.loads(text)
         return cls(**(d | {"fields": tuple(Field(**f) for f in d["fields"]), "primary_key": tuple(d["primary_key"]), "partition_keys": tuple(d["partition_keys"])}))
+
+
+def bucketed(schema: "Schema") -> tuple[list[str], int]:
+    """Fields and number of the buckets that the options ``bucket`` and ``bucket-key`` (default: the key) ask for."""
+    n = int(schema.options.get("bucket", "0") or 0)
+    keys = [schema[c.strip()].name for c in schema.options.get("bucket-key", "").split(",") if c.strip()] or list(schema.primary_key)
+    if n > 0 and schema.primary_key and not set(keys) <= set(schema.primary_key):
+        raise SchemaError("buckets of a primary-key table go by its key")
+    return (keys, n) if n > 0 and keys else ([], 0)

@@ -9,8 +9,9 @@ from __future__ import annotations
 import datetime
 import decimal
 
+from ..functions.values import bucket_of
 from ..metadata.files import DataFile
-from ..metadata.schema import Schema
+from ..metadata.schema import Schema, bucketed
 from .predicate import And, Compare, In, IsNull, Or, PartitionPredicate, Predicate
 
 _NUMBERS = (int, float, decimal.Decimal)
@@ -80,4 +81,9 @@ def prune(files: list[DataFile], schema: Schema, predicate: Predicate | None = N
         return files
     safe = set(schema.names) if merged or not schema.primary_key else set(schema.primary_key)
     parts = [p for p in predicate.parts() if {schema[x].name for x in p.fields()} <= safe]
+    asked = {schema[p.field].name: p.value for p in parts if isinstance(p, Compare) and p.op == "eq"}
+    keys, buckets = bucketed(schema)
+    if buckets and set(keys) <= set(asked):
+        number = bucket_of([asked[k] for k in keys], buckets)
+        files = [f for f in files if number is None or f.buckets != buckets or f.bucket == number]
     return [f for f in files if all(may_match(f, p, schema) for p in parts)]

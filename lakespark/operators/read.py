@@ -60,8 +60,14 @@ def sections(files: list[DataFile], schema: Schema) -> tuple[list[DataFile], lis
     """(files whose rows no other file can hide, the others), by ranges of the first key field.
 
     Files are sorted by their least key; a run of files whose ranges overlap is merged, unless all of it comes
-    from one commit.  Without statistics all files are merged.
+    from one commit.  Without statistics all files are merged.  Buckets hold different keys and are told apart.
     """
+    if len({f.buckets for f in files}) == 1 and files[0].buckets and len({f.bucket for f in files}) > 1:
+        by: dict[int, list[DataFile]] = {}
+        for f in files:
+            by.setdefault(f.bucket, []).append(f)
+        found = [sections(own, schema) for own in by.values()]
+        return [f for alone, _ in found for f in alone], [f for _, mixed in found for f in mixed]
     if len({f.sequence for f in files}) <= 1 and not any(f.tombstones for f in files):
         return files, []
     key = str(schema[schema.primary_key[0]].id)

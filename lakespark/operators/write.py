@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError, Unsupported
 from ..metadata.files import DataFile
-from ..metadata.schema import Schema
+from ..metadata.schema import Schema, bucketed
+from ..functions.values import bucket
 from .read import FORMATS, OPERATION, merge_rows
 
 _PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -54,6 +55,10 @@ def indexed(schema: Schema) -> dict[str, set[str]]:
     return found
 
 
+#: The folder of a bucket.
+_BUCKET = "_bucket"
+
+
 def _plain(schema: Schema) -> list[str]:
     return [f.name for f in schema.fields if isinstance(f.data_type, _PLAIN)]
 
@@ -92,7 +97,14 @@ def write_files(rows: DataFrame, root: str, schema: Schema, store, dealt: bool =
         rows = rows.hint("rebalance", *schema.partition_keys)
     elif files and not dealt:
         rows = rows.repartition(files)
-    data = rows.select(*[F.col(f"`{f.name}`").alias(f.stored) for f in schema.fields], *([F.col(OPERATION)] if tombstones else []), *[F.col(f"`{k}`").cast("string").alias(k) for k in schema.partition_keys])
+    by, buckets = bucketed(schema)
+    if buckets:
+        rows = rows.withColumn(_BUCKET, bucket(by, buckets))
+        if not files:
+            # a file for each bucket of a partition; adaptive execution splits large ones
+            rows = rows.hint("rebalance", _BUCKET, *schema.partition_keys).sortWithinPartitions(_BUCKET, *[F.col(f"`{k}`") for k in dict.fromkeys([*schema.partition_keys, *keys])])
+    folders = [*([_BUCKET] if buckets else []), *schema.partition_keys]
+    data = rows.select(*[F.col(f"`{f.name}`").alias(f.stored) for f in schema.fields], *([F.col(OPERATION)] if tombstones else []), *([F.col(_BUCKET)] if buckets else []), *[F.col(f"`{k}`").cast("string").alias(k) for k in schema.partition_keys])
     indexes = indexed(schema)
     writer = data.write.option("maxRecordsPerFile", schema.options.get("target-file-rows", "5000000"))
     for name in schema.names:
@@ -101,8 +113,8 @@ def write_files(rows: DataFrame, root: str, schema: Schema, store, dealt: bool =
             # a column whose pages are all in a dictionary gets no bloom filter
             writer = writer.option(f"parquet.bloom.filter.enabled#{stored}", "true").option(f"parquet.enable.dictionary#{stored}", "false")
             writer = writer.option(f"parquet.bloom.filter.expected.ndv#{stored}", schema.options.get("bloom.ndv", "1000000"))
-    if schema.partition_keys:
-        writer = writer.partitionBy(*schema.partition_keys)
+    if folders:
+        writer = writer.partitionBy(*folders)
     kind = schema.options.get("file.format", "parquet").lower()
     if kind not in FORMATS:
         raise Unsupported(f"data files in {kind!r}; known: {FORMATS}")
@@ -119,9 +131,10 @@ def write_files(rows: DataFrame, root: str, schema: Schema, store, dealt: bool =
         if not stats or not stats["rows"]:
             continue
         spec = {k: None if v == _NULL else unquote(v) for k, _, v in (x.partition("=") for x in folders)}
+        number = int(spec.pop(_BUCKET)) if buckets else 0
         target = "/".join(["data", *folders, f"{batch[:8]}-{name}"])
         store.move(f"{staged}/{path}", f"{root}/{target}")
-        made.append(DataFile(path=target, size=size, schema_id=schema.id, partition=spec, tombstones=tombstones, **stats))
+        made.append(DataFile(path=target, size=size, schema_id=schema.id, partition=spec, tombstones=tombstones, bucket=number, buckets=buckets, **stats))
     store.delete(staged)
     return made
 

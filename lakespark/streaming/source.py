@@ -1,4 +1,5 @@
-"""The format ``lake`` of ``readStream``: rows as commits appended them, with snapshot ids as offsets.
+"""The format ``lake`` of ``readStream``, rows as commits appended them, with snapshot ids as offsets; and of ``read``, the
+rows of a version.
 
 Spark runs sources in Python processes of their own, which may not have this library, so this module is sent
 along by value and reads the log's files itself.
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 #: The column of the operation: I, or D for a row that takes its key away.
@@ -84,23 +85,80 @@ class _Reader(DataSourceStreamReader):
         return found
 
     def read(self, partition: _File) -> Iterator:
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
+        return _rows(partition, self.schema, self.changes)
+
+
+def _rows(partition: _File, schema: StructType, changes: bool) -> Iterator:
+    """A file's rows under the names of ``schema``; columns that it lacks are null."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = to_arrow_schema(schema)
+    for batch in _batches(partition.path, [*(s for s, _ in partition.columns), *[OPERATION] * changes]):
+        held = set(batch.schema.names)
+        columns = [batch.column(s).cast(wanted.field(n).type) if s in held else pa.nulls(batch.num_rows, wanted.field(n).type) for s, n in partition.columns]
+        if changes:
+            columns.append(batch.column(OPERATION).cast(pa.string()).fill_null("I") if OPERATION in held else pa.array(["I"] * batch.num_rows, pa.string()))
+        yield pa.RecordBatch.from_arrays(columns, schema=wanted)
+
+
+class _Batch(DataSourceReader):
+    """A version's files, less those that pushed filters rule out by least and most."""
+
+    def __init__(self, root: str, snapshot: int | None, schema: StructType):
+        self.root, self.snapshot, self.schema, self.tests = root, snapshot, schema, []
+
+    def pushFilters(self, filters: list) -> list:
+        kinds = {EqualTo: (True, True), GreaterThan: (False, True), GreaterThanOrEqual: (False, True), LessThan: (True, False), LessThanOrEqual: (True, False)}
+        for f in filters:
+            given = list(f.value) if isinstance(f, In) else [f.value] if type(f) in kinds else []
+            if given and len(f.attribute) == 1 and len({type(v) for v in given}) == 1 and type(given[0]) in (int, str):
+                below, above = kinds.get(type(f), (True, True))
+                self.tests.append((f.attribute[0], min(given, key=_ordered), max(given, key=_ordered), below, above))
+        return filters  # Spark tests every row again
+
+    def partitions(self) -> list[InputPartition]:
+        numbers = _numbers(self.root, "snapshot")
+        if not numbers:
+            return []
+        schema = _load(self.root, "schema", _numbers(self.root, "schema")[-1])
+        ids = {f["name"]: str(f["id"]) for f in schema["fields"]}
+        active: dict[str, dict] = {}
+        for m in _load(self.root, "snapshot", numbers[-1] if self.snapshot is None else self.snapshot)["manifests"]:
+            with open(f"{self.root}/manifest/{m}", encoding="utf-8") as lines:
+                for e in map(json.loads, lines):
+                    if e["kind"] == "ADD":
+                        active[e["file"]["path"]] = e["file"]
+                    else:
+                        active.pop(e["file"]["path"], None)
+        files = list(active.values())
+        if schema["primary_key"] and (any(f.get("tombstones") for f in files) or len({f.get("sequence", 0) for f in files}) > 1):
+            raise ValueError("rows of several commits have to be merged by key; compact the table fully, or read it through a Catalog")
+        columns = [(f"f{f['id']}", f["name"]) for f in schema["fields"]]
+        return [_File(f"{self.root}/{f['path']}", columns) for f in files if all(_may_hold(f, ids[n], *rest) for n, *rest in self.tests if n in ids)]
 
-        wanted = to_arrow_schema(self.schema)
-        for batch in _batches(partition.path, [*(s for s, _ in partition.columns), *[OPERATION] * self.changes]):
-            held = set(batch.schema.names)
-            columns = [batch.column(s).cast(wanted.field(n).type) if s in held else pa.nulls(batch.num_rows, wanted.field(n).type) for s, n in partition.columns]
-            if self.changes:
-                columns.append(batch.column(OPERATION).cast(pa.string()).fill_null("I") if OPERATION in held else pa.array(["I"] * batch.num_rows, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, schema=wanted)
+    def read(self, partition: _File) -> Iterator:
+        return _rows(partition, self.schema, False)
+
+
+def _ordered(v):
+    return v.encode() if isinstance(v, str) else v
+
+
+def _may_hold(file: dict, column: str, low, high, below: bool, above: bool) -> bool:
+    """Whether a file's range reaches a value's: ``below`` if its least must not exceed ``high``, ``above`` the other way."""
+    least, most = file.get("least", {}).get(column), file.get("most", {}).get(column)
+    if type(least) is not type(low) or type(most) is not type(low):
+        return True
+    return not (below and _ordered(least) > _ordered(high) or above and _ordered(most) < _ordered(low))
 
 
 class LakeSource(DataSource):
     """``readStream.format("lake").option("path", root of a table).option("after", snapshot)``, for warehouses that
     the driver and executors can open as files.
 
-    ``option("changes", "true")`` adds the column ``_op``: I for rows that came, D for rows whose key went.  Without
+    ``spark.read`` gives the rows of the latest version, or of the option ``snapshot``, and takes filters for choosing files;
+    tables whose commits have to be merged are read through a catalog.  In streams ``option("changes", "true")`` adds the column ``_op``: I for rows that came, D for rows whose key went.  Without
     it, a snapshot with deletions is an error, and an overwrite (or a rollback) always is.
     """
 
@@ -118,7 +176,12 @@ class LakeSource(DataSource):
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _Reader(self.options["path"], int(self.options.get("after", 0)), self._changes(), schema)
 
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Batch(self.options["path"], int(self.options["snapshot"]) if "snapshot" in self.options else None, schema)
+
 
 def register_source(spark: SparkSession) -> None:
+    """Also lets Spark hand filters to sources in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(LakeSource)

@@ -13,19 +13,24 @@ from pyspark.sql import DataFrame
 
 from ..errors import Unsupported
 from ..metadata.log import APPEND, OVERWRITE
+from ..operators.background import Compactor
 from ..table import Table
 
 
-def sink(table: Table, query: str, sequence: str | None = None, watermark: Callable[[DataFrame], int | None] | None = None, compact_at: int = 0) -> Callable[[DataFrame, int], None]:
+def sink(table: Table, query: str, sequence: str | None = None, watermark: Callable[[DataFrame], int | None] | None = None, compact_at: int = 0, compactor: Compactor | None = None) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: upserts into a primary-key table (a column ``_op`` can delete), or appends.
 
-    ``compact_at`` rewrites a primary-key table once so many commits hold overlapping keys.
+    ``compact_at`` rewrites a primary-key table once so many commits hold overlapping keys, beside the next batches if
+    there is a ``compactor``.
     """
 
     def publish(rows: DataFrame, batch: int) -> None:
         table.write(rows, sequence=sequence, user=query, identifier=batch, watermark=watermark(rows) if watermark else None)
         if compact_at and table.needs_compaction(compact_at):
-            table.compact(least=compact_at)
+            if compactor:
+                compactor.submit(table, least=compact_at)
+            else:
+                table.compact(least=compact_at)
 
     return publish
 
