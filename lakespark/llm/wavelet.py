@@ -32,8 +32,8 @@ BLOCK = 512
 CACHE, BLOCK_CHARACTERS = 1_000_000, 8_000_000
 #: Bytes of a plane that are packed together.
 CHUNK = 1 << 15
-#: Bytes of text in a range of ids, as Spark estimates them.
-RANGE_BYTES = 128 << 20
+#: Bytes of text in a range of ids, as Spark estimates them, and ranges at most (their borders come to the driver).
+RANGE_BYTES, RANGES = 32 << 20, 50_000
 
 
 class Plane:
@@ -237,10 +237,10 @@ def _write(tokenizer: str, end: int | None, shard_tokens: int):
 def _ranges(rows: DataFrame) -> int:
     """Ranges of ids by the bytes that Spark expects to read, and one for each core at least."""
     least = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # not known
         return max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(least, -(-size // RANGE_BYTES))
+    return max(least, min(RANGES, -(-size // RANGE_BYTES)))
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None = None, shard_tokens: int = 1 << 21, key: str = "doc_id", text: str = "text") -> None:
