@@ -258,8 +258,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, within: int = 3, key: str =
     """
     rows = stored(fingerprint_table(docs, words, key, text), "fingerprints")
     points = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    whole = points.join(_classes(points, within, limits), "fp")
-    heads = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    whole = stored(points.join(_classes(points, within, limits), "fp"), "classes")
+    # stored, so that adaptive execution can split a component that most fingerprints are in
+    heads = stored(whole.groupBy("component").agg(F.min("first").alias("component_id")), "first-ids")
     whole = stored(whole.join(heads, "component").select("fp", "component_id"), "classes")
     return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -292,8 +293,9 @@ def heads(own: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     are alike in all columns one stays.  Only the keys of rows to drop are joined with the documents.
     """
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("head")
-    nodes = rows.groupBy("node").agg(first).join(classes, "node")
-    best = nodes.groupBy("component").agg(F.min("head").alias("head"))
+    nodes = stored(rows.groupBy("node").agg(first).join(classes, "node"), "nodes")
+    # stored, so that adaptive execution can split a component that most nodes are in
+    best = stored(nodes.groupBy("component").agg(F.min("head").alias("head")), "best")
     to = stored(nodes.select("node", "component").join(best, "component").select("node", F.col("head.id").alias("head_id"), F.col("head.row").alias("head_row")), "heads")
     told = rows.join(to, "node").withColumn("stays", F.col("id").eqNullSafe(F.col("head_id")) & (F.col("row") == F.col("head_row")))
     told = stored(told.groupBy("id", "row").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "rows-to-drop")
