@@ -194,13 +194,17 @@ def first_rows(sets: DataFrame, least: int = LEAST, often: int = 32, most: int =
     them the set in which each member stands first.
 
     At most ``most`` members, those that about ``often`` or more sets hold (counted in one of ``share`` sets: any
-    order of members gives the same links), come to the driver, 9 bytes each, and are put last by the logarithm of their number.
+    order of members gives the same links), come to the driver, 9 bytes each, and are put last by the logarithm of their
+    number; where there are more, those of the lower logarithms are left out.
     """
     form = "member long, digest long, size int, place int"
     sets = sets.select("digest", "members")
     some = sets.where(F.expr(f"pmod(digest, {share}) = 0")).mapInArrow(_members, "member long")
     counts = some.groupBy("member").agg(F.count("*").alias("count")).where(F.col("count") >= max(2, often // share))
-    hot = counts.orderBy(F.desc("count"), "member").limit(most).select("member", F.ceil(F.log2("count")).cast("tinyint").alias("tier")).toPandas().sort_values("member")
+    counts = stored(counts.select("member", F.ceil(F.log2("count")).cast("tinyint").alias("tier")), "frequent-members")
+    sizes = dict(counts.groupBy("tier").count().collect())
+    tier = min((t for t in sizes if sum(n for u, n in sizes.items() if u >= t) <= most), default=127)
+    hot = counts.where(F.col("tier") >= tier).toPandas().sort_values("member")
     rows = sets.mapInArrow(_first(least, hot["member"].to_numpy(np.int64), 1 + hot["tier"].to_numpy(np.uint8)), form).repartition("member").distinct()
     one = F.min(F.struct("place", "digest", "size")).alias("one")
     met = rows.groupBy("member").agg(one, F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
