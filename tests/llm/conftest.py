@@ -20,7 +20,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
-    for name in ("fp", "digest", "score", "words", "row", "found", "base", "size", "node", "component_id", "h1", "place", "clean", "whole", "n_tokens", "sequence_id", "kind.of"):
+    for name in ("fp", "digest", "score", "words", "row", "found", "base", "size", "node", "component_id", "h1", "place", "clean", "whole", "n_tokens", "sequence_id", "kind.of", "__row", "__head", "__key", "__toxicity", "id", "body", "value", "c0", "head", "member", "print"):
         df = df.withColumn(name, F.lit(f"x-{name}"))
     return df
 
