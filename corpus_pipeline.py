@@ -13,22 +13,28 @@ from lakespark.llm.toxicity import remove_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that score 0.5 or more go; null and empty texts stay."""
     return remove_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each_similar(docs, words=5, least=16)  # a Jaccard similarity of 16 / 20
+    """Of texts that links of a Jaccard similarity of 16 / 20 over five-word shingles join, the row of the smallest id stays: found by
+    SimHash fingerprints within three bits through vantage-point trees, and completed by prefix filtering."""
+    return one_of_each_similar(docs, words=5, least=16, within=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other values, go."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark, and ``n_chars`` follows; no document goes."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its place in a sequence of at most 1,024 tokens."""
     return pack_documents(docs, "byte_bpe_50k.json", end=2, capacity=1024)
 
 
