@@ -81,8 +81,16 @@ class Log:
         return sorted(int(n.removeprefix("snapshot-")) for n in self.store.names(f"{self.root}/snapshot") if n.startswith("snapshot-"))
 
     def latest(self) -> Snapshot | None:
-        ids = self.snapshot_ids()
-        return self.snapshot(ids[-1]) if ids else None
+        """From the number that the last commit left behind and a look for the next ones; only without it from a listing."""
+        hint = f"{self.root}/snapshot/LATEST"
+        told = self.store.read(hint).strip() if self.store.exists(hint) else ""
+        number = int(told) if told.isdigit() else 0
+        if not number or not self.store.exists(f"{self.root}/snapshot/snapshot-{number}"):
+            ids = self.snapshot_ids()
+            return self.snapshot(ids[-1]) if ids else None
+        while self.store.exists(f"{self.root}/snapshot/snapshot-{number + 1}"):
+            number += 1
+        return self.snapshot(number)
 
     def snapshot(self, number: int) -> Snapshot:
         path = f"{self.root}/snapshot/snapshot-{number}"
@@ -201,6 +209,8 @@ class Log:
                 number, schema_id if schema_id is not None else last.schema_id if last else 0, kind, user, identifier, int(time.time() * 1000), manifests, delta, (last.total_rows if last else 0) + plus - minus, plus - minus, watermark, properties or {}, numbered
             )
             if self.store.create(f"{self.root}/snapshot/snapshot-{number}", json.dumps(asdict(made), indent=1)):
+                # a hint alone: it may be lost, or be behind
+                self.store.write(f"{self.root}/snapshot/LATEST", str(number))
                 return made
             for m in filter(None, (delta, base_manifest)):
                 self.store.delete(f"{self.root}/manifest/{m}")

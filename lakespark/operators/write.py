@@ -89,20 +89,18 @@ def write_files(rows: DataFrame, root: str, schema: Schema, store, dealt: bool =
     staged = f"{root}/_staging/{batch}"
     tombstones = OPERATION in rows.columns
     keys = [c.strip() for c in schema.options.get("cluster-by", "").split(",") if c.strip()] or list(schema.primary_key)
-    if keys and not dealt:
-        by = [F.col(f"`{k}`") for k in dict.fromkeys([*schema.partition_keys, *keys])]
-        rows = (rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
+    by, buckets = bucketed(schema)
+    order = [F.col(f"`{k}`") for k in dict.fromkeys([*schema.partition_keys, *keys])]
+    if buckets:
+        # a file for each bucket of a partition; adaptive execution splits large ones
+        rows = rows.withColumn(_BUCKET, bucket(by, buckets)).hint("rebalance", _BUCKET, *schema.partition_keys).sortWithinPartitions(_BUCKET, *order)
+    elif keys and not dealt:
+        rows = (rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
     elif schema.partition_keys and not dealt:
         # few files for each partition; adaptive execution splits large partitions
         rows = rows.hint("rebalance", *schema.partition_keys)
     elif files and not dealt:
         rows = rows.repartition(files)
-    by, buckets = bucketed(schema)
-    if buckets:
-        rows = rows.withColumn(_BUCKET, bucket(by, buckets))
-        if not files:
-            # a file for each bucket of a partition; adaptive execution splits large ones
-            rows = rows.hint("rebalance", _BUCKET, *schema.partition_keys).sortWithinPartitions(_BUCKET, *[F.col(f"`{k}`") for k in dict.fromkeys([*schema.partition_keys, *keys])])
     folders = [*([_BUCKET] if buckets else []), *schema.partition_keys]
     data = rows.select(*[F.col(f"`{f.name}`").alias(f.stored) for f in schema.fields], *([F.col(OPERATION)] if tombstones else []), *([F.col(_BUCKET)] if buckets else []), *[F.col(f"`{k}`").cast("string").alias(k) for k in schema.partition_keys])
     indexes = indexed(schema)
