@@ -23,17 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import renamed, ship
+from .common import renamed, ship, tidy
 from .tokens import crc32, encoder, gathered
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
 BLOCK = 512
 #: Distinct chunks that a writer keeps, and characters that it encodes at once.
-CACHE, BLOCK_CHARACTERS = 1_000_000, 8_000_000
+CACHE, BLOCK_CHARACTERS = 1_000_000, 6_000_000
 #: Bytes of a plane that are packed together.
 CHUNK = 1 << 15
 #: Bytes of text in a range of ids, as Spark estimates them, and ranges at most (their borders come to the driver).
-RANGE_BYTES, RANGES = 32 << 20, 50_000
+RANGE_BYTES, RANGES = 10 << 20, 100_000
 
 
 class Plane:
@@ -230,6 +230,7 @@ def _write(tokenizer: str, end: int | None, shard_tokens: int):
                     yield flush()
         if keys:
             yield flush()
+        tidy()
 
     return run
 
