@@ -76,19 +76,20 @@ def _hashed(rows: DataFrame, sizes: list[int], exact: list[int] | tuple = ()) ->
 
 
 def _windows(rows: DataFrame, sizes: list[int], test: "_Bitmap | None" = None, exact: list[int] | tuple = ()) -> DataFrame:
-    """A row for each window whose hash ``h`` passes ``test``: its place in words and among ``runs``, its form and its words.
-    Windows of ``plain`` of the sizes ``exact`` come as form 3, with a hash of their values."""
+    """A row for each window whose hash without values, ``loose_h``, passes ``test``: its place in words and among ``runs``, its
+    form and its words.  Windows of ``plain`` of the sizes ``exact`` come as form 3, with a hash of their values as ``h``."""
     keep = (lambda h: test.holds(h)) if test else (lambda h: "true")
     place = {f: ("i", "coalesce(get(at, i), i)") for f in _FORMS}
     place["runs"] = ("cast(array_position(at, i) - 1 as int)", "i")
     per_size = [
-        f"transform(array_compact(transform({f}w{n}, (h, i) -> case when {keep('h')} then i end)), i -> struct(element_at({f}w{n}, i + 1) as h, {place[f][0]} as place, {place[f][1]} as run_place, {k}Y as form, slice({f}, i + 1, {n}) as slots))"
+        f"transform(array_compact(transform({f}w{n}, (h, i) -> case when {keep('h')} then i end)), i -> struct(element_at({f}w{n}, i + 1) as h, element_at({f}w{n}, i + 1) as loose_h, {place[f][0]} as place, {place[f][1]} as run_place, {k}Y as form, slice({f}, i + 1, {n}) as slots))"
         for k, f in enumerate(_FORMS)
         for n in sizes
     ]
     for n in exact:
-        h = f"xxhash64(slice(plain, i + 1, {n}), 'exact')"
-        per_size.append(f"transform(array_compact(transform({'plain%d' % n if n in (1, 2, 4) else 'plainw%d' % n}, (h, i) -> case when {keep(h)} then i end)), i -> struct({h} as h, i as place, coalesce(get(at, i), i) as run_place, 3Y as form, slice(plain, i + 1, {n}) as slots))")
+        # the hash without values sorts out nearly all of them before one with values is made
+        h = f"plain{n}" if n in (1, 2, 4) else f"plainw{n}"
+        per_size.append(f"transform(array_compact(transform({h}, (h, i) -> case when {keep('h')} then i end)), i -> struct(xxhash64(slice(plain, i + 1, {n}), 'exact') as h, element_at({h}, i + 1) as loose_h, i as place, coalesce(get(at, i), i) as run_place, 3Y as form, slice(plain, i + 1, {n}) as slots))")
     whole = f"concat({', '.join(per_size)})"
     if test:  # bound once, however often it is asked
         whole = f"element_at(transform(array({test.words}), bits -> {whole}), 1)"
@@ -138,12 +139,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, enough: int = 6, broadca
     # windows of few words that are no placeholders, and short items, count where they are verbatim
     few = _windows(own, [], exact=range(1, WINDOW + 1)).where(f"size(slots) = own and (own < {LEAST_WORDS} or size(filter(slots, t -> t >= '{_REST}')) < {LITERAL})")
     windows = windows.unionByName(few).withColumn("starts", F.expr("run_words - run_own")).withColumn("all_windows", F.expr("size_of - own + 1"))
-    windows = stored(windows.select("item", "item_id", "h", "form", "starts", "all_windows", F.col("place").alias("item_place"), F.col("run_place").alias("item_run_place"), F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
+    windows = stored(windows.select("item", "item_id", "h", "loose_h", "form", "starts", "all_windows", F.col("place").alias("item_place"), F.col("run_place").alias("item_run_place"), F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
     places = [F.expr("count(distinct case when form < 2 then item_place end)").alias("literal_windows"), F.expr("count(distinct case when form < 3 and item_run_place <= starts then item_run_place end)").alias("run_windows")]
     windows = windows.withColumn("item_form", F.expr("form = 3")).drop("form", "starts").join(windows.groupBy("item").agg(*places), "item").withColumnRenamed("all_windows", "item_windows")
     sizes_few = [r[0] for r in windows.where("item_form").select(F.size("item_slots")).distinct().collect()]
     n = windows.count()
-    test = _Bitmap(windows.select("h"), n)
+    test = _Bitmap(windows.select(F.col("loose_h").alias("h")), n)
+    windows = windows.drop("loose_h")
     if n <= broadcast:
         windows = F.broadcast(windows)
     rows = renamed(docs, doc_id=key, text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("row", _row(F.col("doc_id"), F.col("text")))
