@@ -19,7 +19,7 @@ from .common import renamed, scratch, ship, tidy
 from .tokens import crc32, encoder, gathered
 
 #: Distinct chunks that a worker keeps, and characters that it encodes at once: other stages have used the same workers.
-CACHE, CHARACTERS = 300_000, 2_000_000
+CACHE, CHARACTERS = 400_000, 4_000_000
 BINS = "sequence_id long, size int, doc_id array<long>, piece array<int>, start array<long>, length array<int>, ids_crc32 array<long>"
 _LISTS = ("doc_id", "piece", "start", "length", "ids_crc32")
 _TYPES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int32(), "ids_crc32": pa.int64()}
