@@ -281,7 +281,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, shard: int = 4096, b
     Of rows with one vector, the ``k`` + 1 smallest ids are candidates: more can't be among a query's best.  Scores beyond a
     long take its ends.  No rows give no rows.  Other columns are not read.
 
-    Shards have about ``shard`` rows, or more once there are ``most`` of them (of each length), so that what all tasks
+    Shards have about ``shard`` rows, or more once there are ``most`` of them, so that what all tasks
     know of them has a bounded size; a leaf of many rows is several shards.  Tasks meet one shard and ``block`` queries.  At
     most ``sample`` rows of a length give queries a first k-th score.
     """
@@ -299,11 +299,14 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, shard: int = 4096, b
     trees: dict[int, list | int] = {}
     first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     target: dict[int, int] = {}
+    total = sum(r["n"] for r in lengths)
     for r in lengths:
         dim, own = r["dim"], rows.where(F.col("dim") == r["dim"])
-        leaves = max(1, min(most, MOST_BYTES // (8 * max(1, dim)), -(-r["n"] // shard)))
+        # a length's part of what may go to every task
+        bytes_of = int(MOST_BYTES * r["n"] / total) // (8 * max(1, dim))
+        leaves = max(1, min(int(most * r["n"] / total), bytes_of, -(-r["n"] // shard)))
         target[dim] = max(shard, -(-r["n"] // leaves))
-        size = max(2 * k, min(max(sample, 16 * leaves), MOST_BYTES // (8 * max(1, dim))))
+        size = max(2 * k, min(max(sample, 16 * leaves), bytes_of))
         some = own.orderBy(F.xxhash64("row")).limit(size).select("row", "embedding").toArrow().sort_by("row")
         x = quantised(some.column("embedding").combine_chunks())
         trees[dim] = parting(x, leaves) if leaves > 1 else 0
@@ -316,7 +319,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, shard: int = 4096, b
     shards = dealt.join(sizes, ["dim", "leaf"]).withColumn("sub", F.expr("cast(pmod(xxhash64(row), subs) as int)")).drop("subs")
     grown = stored(shards.groupBy("dim", "leaf", "sub").applyInArrow(_grow(leaf), "dim int, leaf int, sub int, centre array<double>, radius double, tree binary"), "ball-trees")
     routed = F.col("dim").isin(list(target))
-    told = grown.where(routed).select("dim", "leaf", "sub", "centre", "radius").orderBy("dim", "leaf", "sub").toArrow()  # at most twice ``most`` of each length
+    told = grown.where(routed).select("dim", "leaf", "sub", "centre", "radius").orderBy("dim", "leaf", "sub").toArrow()  # at most about twice ``most``
     balls: dict[int, Balls] = {}
     numbers: list[tuple[int, int, int, int]] = []
     dims, centres, radii = told.column("dim").to_numpy(), told.column("centre").to_pylist(), told.column("radius").to_numpy()
