@@ -49,7 +49,7 @@ def _literal(e):
     kind, v = T._parse_datatype_json_string(e.dataType().json()), e.value()
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return kind.fromInternal(v)
-    if isinstance(kind, T.StringType) and type(kind) is T.StringType:
+    if type(kind) is T.StringType and kind.isUTF8BinaryCollation():
         return v.toString()
     if isinstance(kind, T.DecimalType):
         return decimal.Decimal(v.toString())
