@@ -164,12 +164,12 @@ def sql_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.sql("SELECT * FROM nations")
 
 
-@query(f"select upper(substr(name, 1, 3)) as head, coalesce(region, -1) + 1 as next, length(name) as size from {_NATIONS} where name is not null")
+@query(f"select upper(substr(name, 1, 3)) as head, coalesce(region, -1) + 1 as next, length(name)::int as size from {_NATIONS} where name is not null")
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nations(spark, sf_dir).sql("SELECT upper(substr(name, 1, 3)) AS head, coalesce(region, -1) + 1 AS next, char_length(name) AS size FROM nations WHERE name IS NOT NULL")
 
 
-@query(f"select k, k * k + 1 as square from {_NATIONS}")
+@query(f"select k, (k * k + 1)::bigint as square from {_NATIONS}")
 def sql_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pandas as pd
 
@@ -199,7 +199,7 @@ for _name, _sql in (
     ("sql_lookup_join", "select c.c_name, n.name from {c} c join {n} n on n.k = c.c_nationkey where c.c_custkey in (3, 5, 8)"),
     ("sql_rollup", "select region, k, count(*) as n from {n} group by rollup (region, k)"),
     ("sql_cube", "select c_mktsegment, c_nationkey, count(*) as n from {c} where c_nationkey < 4 group by cube (c_mktsegment, c_nationkey)"),
-    ("sql_window", "select c_custkey, rank() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as place, count(*) over (partition by c_mktsegment) as peers from {c}"),
+    ("sql_window", "select c_custkey, cast(rank() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as int) as place, count(*) over (partition by c_mktsegment) as peers from {c}"),
     ("sql_union", "select k from {n} where region = 1 union select c_nationkey from {c} where c_acctbal > 9900"),
     ("sql_union_all", "select k from {n} where region = 1 union all select k from {n} where k < 3"),
     ("sql_intersect", "select k from {n} intersect select c_nationkey from {c} where c_acctbal > 9000"),
