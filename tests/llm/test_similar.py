@@ -93,3 +93,11 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and shingles.one_of_each_similar(none).count() == 0
     got = sorted((r.doc_id for r in kept.collect()), key=repr)
     assert got == [1, 2, 3, 6, 8, 9, None]
+
+
+def test_repeated_ids(spark):
+    a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
+    near = a.replace("a30", "x")
+    rows = [(1, a), (3, near), (3, b), (9, b), (9, a), (None, b), (4, "few words"), (4, "few words")]
+    kept = shingles.one_of_each_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in kept) == [(1, a), (3, b), (4, "few words")]
