@@ -62,8 +62,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
     known = stored(cached_counts(spark, cache, version), "known-counts")
     # one row stands for each distinct missing text; only that row's text is encoded.  The keys of the rows that are encoded, or
     # of the others, whichever are fewer, go to the texts, so that texts stay where they are as long as these are few
-    missing = keys.join(known, "digest", "left_anti").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
-    missing = stored(missing, "missing")  # so that a digest that many rows share can be split when they are joined
+    # rows of a digest are put together before the cache is asked, and stored, so that a digest that many rows share can be split
+    # when they are joined
+    missing = keys.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
+    missing = stored(missing.join(known, "digest", "left_anti"), "missing")
     told = keys.join(missing, "digest", "left")
     is_first = F.col("first").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     told = stored(told.select("digest", "doc_id", is_first.alias("is_first")).distinct(), "first-rows")
