@@ -205,11 +205,12 @@ def first_rows(sets: DataFrame, least: int = LEAST, often: int = 32, most: int =
     sizes = dict(counts.groupBy("tier").count().collect())
     tier = min((t for t in sizes if sum(n for u, n in sizes.items() if u >= t) <= most), default=127)
     hot = counts.where(F.col("tier") >= tier).toPandas().sort_values("member")
-    rows = sets.mapInArrow(_first(least, hot["member"].to_numpy(np.int64), 1 + hot["tier"].to_numpy(np.uint8)), form).repartition("member").distinct()
+    rows = sets.mapInArrow(_first(least, hot["member"].to_numpy(np.int64), 1 + hot["tier"].to_numpy(np.uint8)), form).repartition("member")
     one = F.min(F.struct("place", "digest", "size")).alias("one")
     met = rows.groupBy("member").agg(one, F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
     met = met.select("member", F.col("one.digest").alias("one"), F.col("one.size").alias("one_size"), F.col("one.place").alias("one_place"))
-    return stored(rows.join(met, "member"), "shared-members")
+    # tasks that met one digest have sent its rows alike; of the few that are left each is kept once
+    return stored(rows.join(met, "member").distinct(), "shared-members")
 
 
 def _possible(n: str, m: str, i: str, j: str, least: int) -> str:
